@@ -6,15 +6,100 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import read_table
 from siftwell.llm.exact_dedup import exact_dedup
+from siftwell.llm.mixing import mix
+from siftwell.llm.packing import pack
+from siftwell.llm.token_counts import token_counts
+from siftwell.llm.url_filter import filter_urls
+
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents")).drop("times")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts with an empty cache, so that every distinct text is encoded."""
+    return token_counts(read_table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op4_mixing": op4_mixing,
+    "op6_token_counts": op6_token_counts,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_packing": op10_packing,
+}
 
 ORACLE = {
+    "op1_url_filter": r"""
+WITH parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages AS p
+), rules AS (
+  SELECT * FROM (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+    ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'),
+    ('com/de/', 'com', '/de/', 'block')) AS t(rule, rule_host, rule_path, rule_verdict)
+), hits AS (
+  SELECT a.page_id, a.host, a.path, r.rule, r.rule_verdict,
+    row_number() OVER (PARTITION BY a.page_id, a.host, a.path ORDER BY length(r.rule) DESC) AS no
+  FROM parts AS a
+  LEFT JOIN rules AS r
+    ON (a.host = r.rule_host OR ends_with(a.host, '.' || r.rule_host)) AND starts_with(a.path, r.rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM hits WHERE no = 1
+""",
+    "op4_mixing": r"""
+WITH rows_ AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    -ln((CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
+      / greatest(0.1, CASE WHEN coalesce(text, '') = '' THEN 1.0 ELSE
+          CAST(length(translate(text, '!#$%&*|<>{}[]\^~_=+@', '')) AS DOUBLE) / CAST(length(text) AS DOUBLE) END) AS key
+  FROM documents AS d
+), sources AS (
+  SELECT source, CAST(sum(size) AS DOUBLE) AS n, 3.0 * sum(size) AS cap,
+    CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS w
+  FROM rows_ GROUP BY source
+), levels AS (
+  SELECT a.source, a.n, a.cap, a.w, a.cap / a.w AS ratio,
+    ((SELECT sum(n) FROM sources AS t) - coalesce((SELECT sum(b.cap) FROM sources AS b WHERE b.cap / b.w < a.cap / a.w), 0.0))
+      / ((SELECT sum(w) FROM sources AS t) - coalesce((SELECT sum(b.w) FROM sources AS b WHERE b.cap / b.w < a.cap / a.w), 0.0)) AS level
+  FROM sources AS a
+), targets AS (
+  SELECT source, n, least(cap, coalesce((SELECT arg_min(level, ratio) FROM levels AS l WHERE level <= ratio) * w, cap)) AS target FROM levels AS m
+), plan AS (
+  SELECT source, n, target, CASE WHEN n = 0 THEN 0 ELSE floor(target / n) END AS epochs,
+    target - CASE WHEN n = 0 THEN 0 ELSE floor(target / n) END * n AS rest
+  FROM targets AS t
+), ranked AS (
+  SELECT r.doc_id, r.size, p.n, p.target, p.epochs, p.rest,
+    coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM rows_ AS r JOIN plan AS p ON r.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target,
+  CAST((epochs + CASE WHEN 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM ranked AS k
+""",
     "op9_exact_dedup": """
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(coalesce(d.text, '')) AS text_sha256
 FROM documents AS d
