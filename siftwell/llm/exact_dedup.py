@@ -92,7 +92,7 @@ def _later(a: object, b: object) -> bool:
 
 def build_index(
     docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    bucket_rows: int = 16384, max_bits: int = 20, key_bits: int = 63,
+    bucket_rows: int = 2048, max_bits: int = 20, key_bits: int = 63,
 ) -> DataFrame:
     """The index as a table in the shared folder: for each distinct text the whole row that stays (largest id),
     its bucket, key, digest, the number of rows with this text (``__rows``) and of those with this id too (``__ties``)."""
