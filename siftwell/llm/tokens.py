@@ -71,8 +71,6 @@ class UnitEncoder:
 
     def _learn(self, units: list[str]) -> None:
         """Units without line breaks are encoded many at a time, joined by line breaks, each of which is one id."""
-        if len(self.seen) > self.limit:
-            self.seen.clear()
         plain = [u for u in units if not u.isspace()]
         self.seen.update((u, self._whole(u)) for u in units if u.isspace())
         for i in range(0, len(plain), 2000):
@@ -95,6 +93,8 @@ class UnitEncoder:
         get = self.seen.get
         found = [get(u) for u in units]
         if None in found:
-            self._learn(list({u for u, x in zip(units, found, strict=True) if x is None}))
+            if len(self.seen) > self.limit:
+                self.seen.clear()
+            self._learn([u for u in set(units) if u not in self.seen])
             found = [self.seen[u] for u in units]
         return b"".join(found)
