@@ -3,10 +3,11 @@
 Documents are cut into pieces, and pieces are dealt over partitions of bounded size.
 Each partition packs its pieces by best-fit decreasing and compares its number of
 sequences with the best of several dual-feasible-function bounds. A partition that
-meets its bound is finished. Partitions with a gap give the pieces of their
-sequences with room to an exchange, where they are dealt anew and packed again; a
-round counts only if it saves sequences. The rounds end when the global bound is
-met or a round saves nothing.
+meets its bound keeps its sequences but for the emptiest, which only rounds its
+bound up. Partitions with a gap give the pieces of all sequences with room, the
+others those of the emptiest one, to an exchange, where they are dealt anew and
+packed again; a round counts only if it saves sequences. The rounds end when the
+global bound is met or a round saves nothing.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def pack(
             fill = np.bincount(at, weights=lengths, minlength=made)
             gap = made > lower_bound(*np.unique(lengths, return_counts=True), capacity)
             base = (round_ << 56) | (int(key[0]) << 28)
-            return group[["id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=at + base, offset=offsets, open=gap & (fill[at] < capacity))
+            return group[["id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=at + base, offset=offsets, open=(fill[at] < capacity) & (gap | (at == fill.argmin())))
 
         return one
 
