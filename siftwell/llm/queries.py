@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwell.llm.common import read_table
 from siftwell.llm.exact_dedup import exact_dedup
 from siftwell.llm.mixing import mix
+from siftwell.llm.ngram_join import ngram_join
 from siftwell.llm.packing import pack
 from siftwell.llm.token_counts import token_counts
 from siftwell.llm.url_filter import filter_urls
@@ -28,6 +29,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop("times")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, similarity of 0.9 or more."""
+    return ngram_join(read_table(spark, sf_dir, "documents"), words=3, num=90, den=100).drop("class_digest")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts with an empty cache, so that every distinct text is encoded."""
     return token_counts(read_table(spark, sf_dir, "documents"))
@@ -44,6 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op4_mixing": op4_mixing,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
