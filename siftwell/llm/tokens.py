@@ -40,10 +40,11 @@ def tokenizer_json(path: str | None = None) -> str:
 class UnitEncoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit numbers.
 
-    At most ``limit`` units are remembered; then the memory starts anew.
+    When ``limit`` units are remembered, they become the old ones; the old ones before are forgotten, and old ones that
+    are met again are remembered anew. So 2 * limit units are held at most, and frequent ones stay.
     """
 
-    def __init__(self, definition: str, limit: int = 400_000):
+    def __init__(self, definition: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -56,6 +57,7 @@ class UnitEncoder:
         self.line = self._whole("\n")
         self.by_unit = self.by_unit and len(self.line) == 4
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.limit = limit
 
     @classmethod
@@ -67,9 +69,24 @@ class UnitEncoder:
         return state["encoder"]
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, units: list[str]) -> None:
+        """The pattern also cuts between a letter or digit and a comma or full stop that follow, so such units are put
+        together from their two parts."""
+        whole, ends = set(), []
+        for u in units:
+            stem = u.rstrip(",.")
+            if len(stem) < len(u) and stem[-1:].isalnum():
+                end = u[len(stem) :]
+                ends.append((u, stem, end))
+                whole.update(x for x in (stem, end) if x not in self.seen)
+            else:
+                whole.add(u)
+        self._encode(list(whole))
+        self.seen.update((u, self.seen[stem] + self.seen[end]) for u, stem, end in ends)
+
+    def _encode(self, units: list[str]) -> None:
         """Units without line breaks are encoded many at a time, joined by line breaks, each of which is one id."""
         plain = [u for u in units if not u.isspace()]
         self.seen.update((u, self._whole(u)) for u in units if u.isspace())
@@ -90,11 +107,12 @@ class UnitEncoder:
         if not self.by_unit or _WIDE_SPACE.search(text) or any(a in text for a in self.added):
             return self._whole(text)
         units = _UNIT.findall(text)
-        get = self.seen.get
-        found = [get(u) for u in units]
+        found = list(map(self.seen.get, units))
         if None in found:
+            missing = {u for u, x in zip(units, found, strict=True) if x is None}
             if len(self.seen) > self.limit:
-                self.seen.clear()
-            self._learn([u for u in set(units) if u not in self.seen])
+                self.old, self.seen, missing = self.seen, {}, set(units)
+            self.seen.update((u, self.old[u]) for u in missing if u in self.old)
+            self._learn([u for u in missing if u not in self.seen])
             found = [self.seen[u] for u in units]
         return b"".join(found)
