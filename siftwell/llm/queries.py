@@ -9,6 +9,7 @@ from siftwell.llm.exact_dedup import exact_dedup
 from siftwell.llm.mixing import mix
 from siftwell.llm.ngram_join import ngram_join
 from siftwell.llm.packing import pack
+from siftwell.llm.quality import score_quality
 from siftwell.llm.token_counts import token_counts
 from siftwell.llm.url_filter import filter_urls
 
@@ -39,6 +40,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the table ``labels``; fitted on 20,000 labelled and 10,000 other rows at most."""
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
+    "op7_quality": op7_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }

@@ -93,11 +93,12 @@ def filter_urls(
 
 
 def _by_trie(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(UrlTrie(rules))
+    shared = rows.sparkSession.sparkContext.broadcast(UrlTrie(rules).root)
 
     @F.pandas_udf("rule string, verdict string")
     def match(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        trie = shared.value
+        trie = UrlTrie([])
+        trie.root = shared.value
         return pd.DataFrame([trie.match(h, p) for h, p in zip(host, path, strict=True)], columns=["rule", "verdict"])
 
     return rows.withColumn("__m", match("host", "path")).select("__id", "host", "path", "__m.rule", "__m.verdict")
