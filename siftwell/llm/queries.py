@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import read_table
 from siftwell.llm.exact_dedup import exact_dedup
+from siftwell.llm.language_model import lm_scores
 from siftwell.llm.mixing import mix
 from siftwell.llm.ngram_join import ngram_join
 from siftwell.llm.packing import pack
@@ -26,6 +27,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pretrained PPM model with contexts of up to five bytes."""
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).drop("times")
 
@@ -55,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
