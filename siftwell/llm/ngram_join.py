@@ -140,8 +140,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int
             out.append(both * den >= num * (len(mine) + len(last_set) - both) and both > 0)
         return pd.Series(out, dtype=bool)
 
-    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("number").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("number").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").filter(linked("ta", "tb")).select("a", "b")
 
 
@@ -169,19 +169,26 @@ def ngram_join(
     first = _first_pass(rows, words, sketch_bits)
     members = first.filter("slice IS NULL").select("id", "sha", "n", "digest")
     classes = materialize(members.filter("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sha")).alias("rep")), "classes")
+    salt = 0  # classes get numbers, by a hash that is tried until no two are alike
+    while True:
+        number = F.xxhash64("digest", F.lit(salt))
+        if classes.agg(F.count("*") == F.count_distinct(number)).first()[0]:
+            break
+        salt += 1
+    classes = classes.withColumn("number", number)
     entries_by_class = _prefixes(rows, _sketch(first, sketch_bits), words, num, den)
 
-    entries = entries_by_class.select(F.col("digest").alias("c"), "n", F.posexplode("tokens").alias("pos", "token"))
-    hubs = entries.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("c").alias("x"), F.col("c").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+    entries = entries_by_class.select(number.alias("c"), "n", F.posexplode("tokens").alias("pos", "token"))
+    hubs = entries.groupBy("token").agg(F.min(F.struct("pos", F.col("c").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.min("c").alias("c1"), F.max("c").alias("c2"))
     hubs = hubs.filter("c1 < c2").select("token", "h.hub", "h.hub_n", F.col("h.pos").alias("hub_pos"))
     shared = materialize(entries.join(hubs, "token"), "shared")
 
     pairs = shared.filter(F.col("c") != F.col("hub")).filter(_may_link("n", "pos", "hub_n", "hub_pos", num, den)).select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = materialize(pairs, "hub-pairs")
-    wanted = shared.select(F.col("c").alias("digest")).distinct().join(classes, "digest").select("digest", F.col("rep.id").alias("rid"), F.col("rep.sha").alias("rsha"))
+    wanted = shared.select(F.col("c").alias("number")).distinct().join(classes, "number").select("number", F.col("rep.id").alias("rid"), F.col("rep.sha").alias("rsha"))
     bodies = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = bodies.join(wanted, (F.col("sha") == F.col("rsha")) & F.col("id").eqNullSafe(F.col("rid"))).select("digest", "text")
-    texts = materialize(texts.dropDuplicates(["digest"]), "texts")
+    texts = bodies.join(wanted, (F.col("sha") == F.col("rsha")) & F.col("id").eqNullSafe(F.col("rid"))).select("number", "text")
+    texts = materialize(texts.dropDuplicates(["number"]), "texts")
     links = materialize(_verified(pairs, texts, words, num, den), "hub-links")
 
     labels = connected_components(links, "a", "b")
@@ -194,14 +201,15 @@ def ngram_join(
     met = a.join(b, "token").filter((F.col("c_a") < F.col("c_b")) & (F.col("component_a") != F.col("component_b")) & _may_link("n_a", "pos_a", "n_b", "pos_b", num, den))
     met = met.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"), _needed("n_a", "n_b", num, den).alias("need")).distinct()
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    met = met.join(known, ["a", "b"], "left_anti")
-    cells = entries_by_class.select("digest", "cells").dropDuplicates(["digest"])
-    met = met.join(cells.select(F.col("digest").alias("a"), F.col("cells").alias("ca")), "a").join(cells.select(F.col("digest").alias("b"), F.col("cells").alias("cb")), "b")
+    met = materialize(met.join(known, ["a", "b"], "left_anti"), "met")
+    cells = entries_by_class.select(number.alias("number"), "cells")
+    cells = cells.join(met.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "number", "left_semi").dropDuplicates(["number"])
+    met = met.join(cells.select(F.col("number").alias("a"), F.col("cells").alias("ca")), "a").join(cells.select(F.col("number").alias("b"), F.col("cells").alias("cb")), "b")
     met = materialize(met.filter(_overlap_bound("ca", "cb") >= F.col("need")).select("a", "b"), "pairs")
     links = links.unionByName(_verified(met, texts, words, num, den))
 
     roots = connected_components(links, "a", "b")
-    grouped = classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("component", "digest"))
+    grouped = classes.join(roots.withColumnRenamed("node", "number"), "number", "left").withColumn("root", F.coalesce("component", "number"))
     smallest = grouped.groupBy("root").agg(F.min("rep.id").alias("component_id"))
     found = materialize(grouped.join(smallest, "root").select("digest", "component_id"), "components")
     linked = members.filter("n > 0").join(found, "digest")
