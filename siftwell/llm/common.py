@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siftwell-{spark.sparkContext.applicationId}"
 
 
+_scope: str | None = None
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Intermediate tables made inside go to a folder of their own, which ``drop_scope`` deletes."""
+    global _scope
+    _scope = name
+    try:
+        yield
+    finally:
+        _scope = None
+
+
+def drop_scope(spark: SparkSession, name: str) -> None:
+    _delete(spark, f"{shared_dir(spark)}/{name}")
+
+
 def table_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_scope or 'tables'}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -41,8 +61,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; results computed from them must be stored by then."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -50,6 +50,40 @@ def _targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> Dat
     return rows.select("source", "source_size", F.least("__cap", F.coalesce(first["__level"] * F.col("__w"), F.col("__cap"))).alias("target"))
 
 
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, buckets: int, quality: Column | None) -> dict[str, Column]:
+    """What the mix needs of every row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = -F.log(uniform(F.col(id_col), seed)) / (quality_weight(text) if quality is None else quality)
+    return {
+        "__id": F.col(id_col), "__source": F.col(source_col), "__size": F.regexp_count(text, F.lit(TOKEN)).cast("long"), "__key": key,
+        "__bucket": F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-key)) * buckets)).cast("int"),
+    }
+
+
+def _plan(rows: DataFrame, weights: tuple[float, ...], most: float, buckets: int) -> DataFrame:
+    """One row per source: __source, source_size, target, epochs, rest, last (the range in which the rest ends), before
+    (the sum of the ranges below)."""
+    ranges = rows.groupBy("__source", "__bucket").agg(F.sum("__size").alias("n"))
+    sources = _targets(ranges.groupBy(F.col("__source").alias("source")).agg(F.sum("n").alias("source_size")), weights, most)
+    sources = sources.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)).cast("long"))
+    sources = sources.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    sums = ranges.withColumn("until", F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket")))
+    ends = sums.alias("r").join(sources.alias("s"), F.col("r.__source").eqNullSafe(F.col("s.source"))).filter(F.col("until") > F.col("rest"))
+    ends = ends.groupBy("__source").agg(F.min(F.struct("__bucket", (F.col("until") - F.col("n")).alias("before"))).alias("end"))
+    return materialize(
+        sources.alias("s").join(ends.alias("e"), F.col("s.source").eqNullSafe(F.col("e.__source")), "left")
+        .select(F.col("source").alias("p_source"), "source_size", "target", "epochs", "rest", F.coalesce("e.end.__bucket", F.lit(buckets)).alias("last"), F.coalesce("e.end.before", F.lit(0)).alias("before")), "mix-plan",
+    )
+
+
+def _ending(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of the ranges in which the rests end, with extra: whether the fraction takes the row."""
+    inner = rows.join(plan, F.col("__source").eqNullSafe(F.col("p_source"))).filter(F.col("__bucket") == F.col("last"))
+    until = F.sum("__size").over(Window.partitionBy("__source").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1))
+    inner = inner.withColumn("until", F.col("before") + F.coalesce(until, F.lit(0)))
+    return inner.withColumn("extra", (2 * F.col("until") + F.col("__size") <= 2 * F.col("rest")).cast("long")).drop("until")
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
     most: float = 3.0, seed: int = 17, buckets: int = 4096, quality: Column | None = None,
@@ -62,27 +96,34 @@ def mix(
     target. Ties of keys go by id. Repeated rows are rows of their own. Reruns agree. An empty table gives an empty
     result. Other columns are ignored. quality: weights of documents, positive; by default ``quality_weight``.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = -F.log(uniform(F.col(id_col), seed)) / (quality_weight(text) if quality is None else quality)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("size"), key.alias("key"))
-    rows = materialize(rows.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int")), "mix")
-
-    ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    sources = _targets(ranges.groupBy("source").agg(F.sum("n").alias("source_size")), weights, most)
-    sources = sources.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", F.col("source_size").cast("double"))), F.lit(0)).cast("long"))
-    sources = sources.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    sums = ranges.withColumn("until", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")))
-    ends = sums.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).filter(F.col("until") > F.col("rest"))
-    ends = ends.groupBy("r.source").agg(F.min(F.struct("bucket", (F.col("until") - F.col("n")).alias("before"))).alias("end"))
-    plan = materialize(
-        sources.alias("s").join(ends.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
-        .select("s.*", F.coalesce("e.end.bucket", F.lit(buckets)).alias("last"), F.coalesce("e.end.before", F.lit(0)).alias("before")), "mix-plan",
-    )
-    joined = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "source_size", "target", "epochs", "rest", "last", "before")
-    inner = joined.filter(F.col("bucket") == F.col("last"))
-    until = F.sum("size").over(Window.partitionBy("source").orderBy("key", "__id", "size").rowsBetween(Window.unboundedPreceding, -1))
-    inner = inner.withColumn("__until", F.col("before") + F.coalesce(until, F.lit(0)))
-    inner = inner.withColumn("extra", (2 * F.col("__until") + F.col("size") <= 2 * F.col("rest")).cast("long")).drop("__until")
-    outer = joined.filter(F.col("bucket") != F.col("last")).withColumn("extra", (F.col("bucket") < F.col("last")).cast("long"))
+    drawn = _drawn(docs, id_col, text_col, source_col, seed, buckets, quality)
+    rows = materialize(docs.select(*(c.alias(n) for n, c in drawn.items())), "mix")
+    plan = _plan(rows, weights, most, buckets)
+    outer = rows.join(plan, F.col("__source").eqNullSafe(F.col("p_source"))).filter(F.col("__bucket") != F.col("last"))
+    outer = outer.withColumn("extra", (F.col("__bucket") < F.col("last")).cast("long"))
     times = F.col("epochs") + F.col("extra")
-    return outer.unionByName(inner).select(F.col("__id").alias(id_col), "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+    out = outer.unionByName(_ending(rows, plan))
+    return out.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), "source_size", "target", (times * F.col("__size")).alias("taken"), times.alias("times"))
+
+
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
+    most: float = 3.0, seed: int = 17, buckets: int = 4096, quality: Column | None = None,
+) -> DataFrame:
+    """The mix itself: rows with all their columns, each as often as ``mix`` takes it.
+
+    Which rows are taken follows from the last key that each source takes, so texts are not shuffled. Rows that repeat
+    id, size and key are taken together.
+    """
+    drawn = _drawn(docs, id_col, text_col, source_col, seed, buckets, quality)
+    rows = materialize(docs.select(*(c.alias(n) for n, c in drawn.items())), "mix")
+    plan = _plan(rows, weights, most, buckets)
+    last = _ending(rows, plan).filter("extra = 1").groupBy(F.col("__source").alias("l_source")).agg(F.max(F.struct("__key", "__id")).alias("top"))
+    plan = materialize(plan.join(last, F.col("p_source").eqNullSafe(F.col("l_source")), "left").select("p_source", "epochs", F.col("last").alias("__last"), "top"), "mix-plan")
+    plan = plan.select(F.col("p_source").alias("__p"), F.col("epochs").alias("__epochs"), "__last", F.col("top").alias("__top"))
+    own = docs.select("*", *(c.alias(n) for n, c in drawn.items() if n in ("__id", "__source", "__key", "__bucket")))
+    inner = F.coalesce(F.struct("__key", "__id") <= F.col("__top"), F.lit(False))
+    taken = (F.col("__bucket") < F.col("__last")) | ((F.col("__bucket") == F.col("__last")) & inner)
+    both = own.join(plan, F.col("__source").eqNullSafe(F.col("__p"))).withColumn("__times", F.col("__epochs") + taken.cast("long"))
+    repeated = both.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
+    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))

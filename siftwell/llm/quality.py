@@ -199,7 +199,7 @@ def fit_quality(
     rows = docs.select(*_inputs(docs, id_col, text_col)).join(F.broadcast(chosen), "__id").select("__id", "__text", "__lang", "__source", "__n", "__y")
     found = rows.mapInArrow(extract, "id string, y int, x binary").toArrow()
     found = found.take(pa.compute.sort_indices(found, [("id", "ascending"), ("x", "ascending")]))
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), "<f4").reshape(found.num_rows, -1).astype(float)
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), "<f4").reshape(found.num_rows, TEXT_SIZE + META_SIZE).astype(float)
     y = np.array([-1 if v is None else v for v in found.column("y").to_pylist()])
     fold = np.array([zlib.crc32(i.encode()) % 4 == 0 for i in found.column("id").to_pylist()], bool)
     a, b = x[y >= 0], x[y < 0]

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import read_table
 from siftwell.llm.exact_dedup import exact_dedup
+from siftwell.llm.hamming import top_k
 from siftwell.llm.language_model import lm_scores
 from siftwell.llm.mixing import mix
 from siftwell.llm.ngram_join import ngram_join
 from siftwell.llm.packing import pack
 from siftwell.llm.quality import score_quality
+from siftwell.llm.substring_dedup import repeated_passages
 from siftwell.llm.token_counts import token_counts
 from siftwell.llm.url_filter import filter_urls
 
@@ -27,6 +29,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every vector whose id is divisible by 100, among all vectors."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.filter("vec_id % 100 = 0"), k=10)
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pretrained PPM model with contexts of up to five bytes."""
     return lm_scores(read_table(spark, sf_dir, "documents"))
@@ -51,6 +59,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share, with four fifths of the words equal."""
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -61,11 +74,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_topk_search": op2_topk_search,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
@@ -89,6 +104,18 @@ WITH parts AS (
     ON (a.host = r.rule_host OR ends_with(a.host, '.' || r.rule_host)) AND starts_with(a.path, r.rule_path)
 )
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM hits WHERE no = 1
+""",
+    "op2_topk_search": """
+WITH codes AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings AS e WHERE embedding IS NOT NULL
+), pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id,
+    CAST(list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM codes AS q JOIN codes AS r ON q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, neighbor_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM pairs AS p
+)
+SELECT query_id, rank, neighbor_id, distance FROM ranked AS k WHERE rank <= 10
 """,
     "op4_mixing": r"""
 WITH rows_ AS (
