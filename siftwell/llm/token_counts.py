@@ -56,12 +56,16 @@ def token_counts(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, unpack, last = UnitEncoder.here(shared.value), zstandard.ZstdDecompressor(), None
         for batch in batches:  # sorted by digest: equal ones stand together
-            names, counts = [], []
+            names, counts, texts = [], [], []
             for name, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if name != last:
                     names.append(name)
-                    counts.append(len(encoder.encode(unpack.decompress(packed.as_py()).decode())) // 4)
+                    texts.append(unpack.decompress(packed.as_py()).decode())
                 last = name
+                if len(texts) == 500:
+                    counts += (len(x) // 4 for x in encoder.encode_many(texts))
+                    texts = []
+            counts += (len(x) // 4 for x in encoder.encode_many(texts))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([version] * len(names), pa.string()), pa.array(counts, pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
     known = _cached(spark, cache_path).filter(F.col("tokenizer") == version)

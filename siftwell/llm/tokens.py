@@ -44,7 +44,7 @@ class UnitEncoder:
     are met again are remembered anew. So 2 * limit units are held at most, and frequent ones stay.
     """
 
-    def __init__(self, definition: str, limit: int = 300_000):
+    def __init__(self, definition: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -104,15 +104,48 @@ class UnitEncoder:
                 self.seen.update((u, self._whole(u)) for u in part)
 
     def encode(self, text: str) -> bytes:
-        if not self.by_unit or _WIDE_SPACE.search(text) or any(a in text for a in self.added):
-            return self._whole(text)
-        units = _UNIT.findall(text)
-        found = list(map(self.seen.get, units))
-        if None in found:
-            missing = {u for u, x in zip(units, found, strict=True) if x is None}
-            if len(self.seen) > self.limit:
-                self.old, self.seen, missing = self.seen, {}, set(units)
-            self.seen.update((u, self.old[u]) for u in missing if u in self.old)
-            self._learn([u for u in missing if u not in self.seen])
-            found = [self.seen[u] for u in units]
-        return b"".join(found)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Units that are new in any of the texts are encoded together."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) < 2_000_000:
+                size += len(texts[end])
+                end += 1
+            out += self._encode_some(texts[at:end])
+            at = end
+        return out
+
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        if len(self.seen) > self.limit:
+            self.old, self.seen = self.seen, {}
+        get = self.seen.get
+        cut: list[bytes | tuple[list[bytes | None], list[tuple[int, str]]]] = []
+        missing: set[str] = set()
+        for text in texts:
+            if not self.by_unit or (not text.isascii() and _WIDE_SPACE.search(text)) or any(a in text for a in self.added):
+                cut.append(self._whole(text))
+                continue
+            units = _UNIT.findall(text)
+            found = list(map(get, units))
+            gaps, i = [], -1
+            for _ in range(found.count(None)):
+                i = found.index(None, i + 1)
+                gaps.append((i, units[i]))
+            missing.update(u for _, u in gaps)
+            cut.append((found, gaps))
+        again = [u for u in missing if u in self.old]
+        self.seen.update((u, self.old[u]) for u in again)
+        self._learn(list(missing.difference(again)))
+        out: list[bytes] = []
+        for x in cut:
+            if not isinstance(x, bytes):
+                found, gaps = x
+                for i, u in gaps:
+                    found[i] = self.seen[u]
+                x = b"".join(found)
+            out.append(x)
+        return out
