@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwell.llm.common import materialize
+from siftwell.llm.tokens import forget
 
 BUCKET, KEY, SHA, ROWS, TIES = "__bucket", "__key", "__sha", "__rows", "__ties"
 
@@ -107,6 +108,7 @@ def build_index(
     schema = T.StructType([*docs.schema.fields, *extra])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from siftwell.llm.common import materialize
 from siftwell.llm.components import connected_components
 from siftwell.llm.shingles import Shingler, shingle_set
+from siftwell.llm.tokens import forget
 
 SLICES, CELLS = 64, 128
 
@@ -42,6 +43,7 @@ def _first_pass(docs: DataFrame, words: int, bits: int) -> DataFrame:
     schema = f"id {kind}, sha string, n int, digest string, slice int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingler, sketch = Shingler(words), np.zeros(1 << bits, np.int32)
         id_type = None
         for batch in batches:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.llm.tokens import forget
+
 _LETTER, _UPPER = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + list(range(128, 256))] = True
 _UPPER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
@@ -154,19 +156,26 @@ def co_train(
     return out
 
 
-def _column(batch: pa.RecordBatch, name: str) -> list:
+#: The columns that the views read: text, language, source, number of characters.
+OWN = ("__text", "__lang", "__source", "__n")
+
+
+def _column(batch: pa.RecordBatch, name: str, kind: pa.DataType) -> list:
+    """Metadata columns may be missing or of another type."""
     at = batch.schema.get_field_index(name)
     if at < 0:
         return [None] * batch.num_rows
-    col = batch.column(at)
-    return (col.cast(pa.binary()) if pa.types.is_string(col.type) and name == "__text" else col).to_pylist()
+    try:
+        return batch.column(at).cast(kind).to_pylist()
+    except pa.ArrowInvalid:
+        return [None] * batch.num_rows
 
 
-def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _features(batch: pa.RecordBatch, names: tuple[str, ...] = OWN) -> tuple[np.ndarray, np.ndarray]:
     n = batch.num_rows
-    text = np.array([text_features(t or b"") for t in _column(batch, "__text")]).reshape(n, TEXT_SIZE)
-    meta = [meta_features(*row) for row in zip(_column(batch, "__lang"), _column(batch, "__source"), _column(batch, "__n"), strict=True)]
-    return text, np.array(meta).reshape(n, META_SIZE)
+    text = np.array([text_features(t or b"") for t in _column(batch, names[0], pa.binary())]).reshape(n, TEXT_SIZE)
+    parts = (_column(batch, name, kind) for name, kind in zip(names[1:], (pa.string(), pa.string(), pa.int64()), strict=True))
+    return text, np.array([meta_features(*row) for row in zip(*parts, strict=True)]).reshape(n, META_SIZE)
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -179,7 +188,7 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list:
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    max_labelled: int = 20_000, pool: int = 10_000, **options: float,
+    max_labelled: int = 12_000, pool: int = 6_000, **options: float,
 ) -> CoTrained:
     """Labels of ids that documents lack, and null labels, are ignored; of several labels of an id the larger counts."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
@@ -191,6 +200,7 @@ def fit_quality(
     chosen = labelled.unionByName(free)  # at most max_labelled + pool ids
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             text, meta = _features(batch)
             x = np.concatenate([text, meta], axis=1).astype("<f4")
@@ -199,7 +209,7 @@ def fit_quality(
     rows = docs.select(*_inputs(docs, id_col, text_col)).join(F.broadcast(chosen), "__id").select("__id", "__text", "__lang", "__source", "__n", "__y")
     found = rows.mapInArrow(extract, "id string, y int, x binary").toArrow()
     found = found.take(pa.compute.sort_indices(found, [("id", "ascending"), ("x", "ascending")]))
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), "<f4").reshape(found.num_rows, TEXT_SIZE + META_SIZE).astype(float)
+    x = np.frombuffer(b"".join(v.as_py() for c in found.column("x").chunks for v in c), "<f4").reshape(found.num_rows, TEXT_SIZE + META_SIZE)
     y = np.array([-1 if v is None else v for v in found.column("y").to_pylist()])
     fold = np.array([zlib.crc32(i.encode()) % 4 == 0 for i in found.column("id").to_pylist()], bool)
     a, b = x[y >= 0], x[y < 0]
@@ -231,15 +241,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """The rows that score_quality keeps, with all their columns."""
     model = fit_quality(docs, labels, id_col, text_col, **options)  # a few KB, which travel with the tasks
-    inputs = _inputs(docs, id_col, text_col)[1:]
-    width = len(docs.columns)
+    names = (text_col, "lang", "source", "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                both = model.score(*_features(part))[2]
+                both = model.score(*_features(part, names))[2]
                 kept = both >= model.threshold if model.text else np.ones(len(both), bool)
-                yield part.select(list(range(width))).filter(pa.array(kept))
+                yield part.filter(pa.array(kept))
 
-    return docs.select("*", *inputs).mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))

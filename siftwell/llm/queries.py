@@ -55,7 +55,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the table ``labels``; fitted on 20,000 labelled and 10,000 other rows at most."""
+    """Labels of the table ``labels``; fitted on 12,000 labelled and 6,000 other rows at most."""
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 

@@ -27,6 +27,12 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_siftwell_worker", types.ModuleType("_siftwell_worker")).__dict__
 
 
+def forget() -> None:
+    """Free what other operators have left in this Python process, which Spark uses again and again."""
+    worker_state().pop("encoder", None)
+    worker_state().pop("definition", None)
+
+
 def tokenizer_json(path: str | None = None) -> str:
     """The tokenizer's definition; by default that of the public byte-level BPE vocabulary of 50,257 ids."""
     if path is None:
@@ -44,7 +50,7 @@ class UnitEncoder:
     are met again are remembered anew. So 2 * limit units are held at most, and frequent ones stay.
     """
 
-    def __init__(self, definition: str, limit: int = 600_000):
+    def __init__(self, definition: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
