@@ -116,6 +116,17 @@ def test_stream_of_observations(spark, tmp_path):
     assert {(r.event_key, r.title, r.registration_state) for r in found.collect()} == {(k, "t1", "open") for k in range(3)}
 
 
+def test_events_expire(spark, tmp_path):
+    from siftwell.streaming.expiry import expiring
+
+    source, kinds = str(tmp_path / "in"), "event_key long, status string, ends_at timestamp"
+    past, future = dt.datetime(2020, 1, 1), dt.datetime(2090, 1, 1)
+    spark.createDataFrame([(1, "eligible", past), (2, "eligible", future), (3, "rejected", past), (4, "eligible", None)], kinds).write.parquet(source)
+    query = expiring(spark.readStream.schema(kinds).parquet(source)).writeStream.outputMode("update").format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {(r.event_key, r.status) for r in spark.table("expiring").collect()} == {(1, "expired"), (2, "eligible"), (3, "rejected"), (4, "eligible")}
+
+
 def test_day_bounds():
     assert day_bound("2026-10-12", False) == (dt.datetime(2026, 10, 11, 18, 30, tzinfo=dt.UTC), False)
     assert day_bound("2026-10-12", True) == (dt.datetime(2026, 10, 12, 18, 30, tzinfo=dt.UTC), True)
