@@ -59,6 +59,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` from which everything is computed and stored."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; results computed from them must be stored by then."""
     _delete(spark, shared_dir(spark))
