@@ -157,7 +157,7 @@ add("event_payload", lambda spark, sf: read(spark, sf, "pages").select("page_id"
 def revert_schedule(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    c = e.select(F.col("user_id").alias("event_id"), F.col("event_id").alias("id"), F.lag("event_type").over(order).alias("old_value"), F.col("event_type").alias("new_value"), F.col("ts").alias("observed_at"), F.row_number().over(order).alias("no")).filter("no BETWEEN 2 AND 5")
+    c = e.select(F.col("user_id").alias("event_id"), F.col("event_id").alias("id"), F.lag("event_type").over(order).alias("old_value"), F.col("event_type").alias("new_value"), F.col("ts").alias("observed_at"), F.row_number().over(order).alias("no")).filter("no >= 2")
     now = c.groupBy("event_id").agg(F.max_by("new_value", F.struct("observed_at", "id")).alias("starts_at"))
     return folds.reverted_schedules(c.drop("no").join(now, "event_id").withColumn("ends_at", F.lit(None).cast("string")))
 

@@ -102,6 +102,15 @@ def test_reverted_schedules(spark):
     assert {(r.event_id, r.id) for r in reverted_schedules(df).collect()} == {(1, 1), (1, 2)}
 
 
+def test_revert_schedule_reads_all_changes(spark):
+    events = {}
+    for r in sorted(spark.read.parquet(f"{SF}/events.parquet").select("user_id", "ts", "event_id", "event_type").collect(), key=lambda r: (r.ts, r.event_id)):
+        events.setdefault(r.user_id, []).append((r.event_id, r.event_type))
+    # the changes of an event are one path over its values, which returns where it began or not
+    want = {(k, i) for k, v in events.items() if v[0][1] == v[-1][1] for i, _ in v[1:]}
+    assert max(map(len, events.values())) > 5 and {(r.event_id, r.id) for r in catalog.QUERIES["revert_schedule"](spark, SF).collect()} == want
+
+
 def test_stream_of_observations(spark, tmp_path):
     from siftwell.streaming.upsert import upsert_stream
 
