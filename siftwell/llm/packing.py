@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,10 +76,9 @@ def cut(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer_pa
         for batch in batches:
             rows: list[int] = []
             out: list[tuple[int, int, int, int]] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            coded = (raw for at in range(0, len(texts), 500) for raw in encoder.encode_many(texts[at : at + 500]))
-            for i, raw in enumerate(coded):
-                raw = memoryview(raw + end)
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for i, ids in enumerate(encoder.ids_of(texts)):
+                raw = memoryview(ids.tobytes() + end)
                 n = len(raw) // 4
                 at, piece = 0, 0
                 while at < n:
@@ -97,48 +95,50 @@ def cut(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer_pa
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer_path: str | None = None,
-    end_id: int = 0, part_rows: int = 50_000, max_rounds: int = 8,
+    end_id: int = 0, part_rows: int = 50_000,
 ) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they occur. An empty table gives an
-    empty result. Other columns are ignored. part_rows bounds the pieces that one task packs.
+    empty result. Other columns are ignored. part_rows bounds the pieces that one task packs. Ids keep their type and
+    value, nulls among them too; rows with null ids are packed like others.
     """
     pieces = materialize(cut(docs, id_col, text_col, capacity, tokenizer_path, end_id), "pieces")
     seen = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `capacity` rows
     bound = lower_bound(np.array([r["length"] for r in seen]), np.array([r["n"] for r in seen]), capacity)
     kind = pieces.schema["id"].dataType.simpleString()
+    names = ["id", "piece", "start", "length", "ids_crc32"]
     columns = f"id {kind}, piece int, start long, length long, ids_crc32 long"
     schema = f"{columns}, sequence_id long, offset long, open boolean"
 
     def packer(round_: int):
-        def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True])
-            lengths = group["length"].to_numpy()
+        def one(key: tuple, group: pa.Table) -> pa.Table:
+            group = group.select(names).sort_by([("length", "descending"), ("id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+            lengths = group.column("length").to_numpy()
             where, offsets, made = best_fit(lengths.tolist(), capacity)
             at = np.asarray(where)
             fill = np.bincount(at, weights=lengths, minlength=made)
             gap = made > lower_bound(*np.unique(lengths, return_counts=True), capacity)
-            base = (round_ << 56) | (int(key[0]) << 28)
-            return group[["id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=at + base, offset=offsets, open=(fill[at] < capacity) & (gap | (at == fill.argmin())))
+            base = (round_ << 56) | (key[0].as_py() << 28)
+            open_ = (fill[at] < capacity) & (gap | (at == fill.argmin()))
+            return pa.table([*group.columns, pa.array(at + base), pa.array(offsets, pa.int64()), pa.array(open_)], names=[*names, "sequence_id", "offset", "open"])
 
         return one
 
     def packed(rows: DataFrame, n: int, round_: int) -> DataFrame:
         parts = max(1, -(-n // part_rows))
         part = F.pmod(F.xxhash64(F.lit(round_), "id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts)).alias("__part")
-        return materialize(rows.select("*", part).groupBy("__part").applyInPandas(packer(round_), schema), f"packed-{round_}")
+        return materialize(rows.select("*", part).groupBy("__part").applyInArrow(packer(round_), schema), f"packed-{round_}")
 
-    done, now = None, packed(pieces, sum(r["n"] for r in seen), 0)
+    done, now, round_ = None, packed(pieces, sum(r["n"] for r in seen), 0), 0
     total = now.agg(F.count_distinct("sequence_id")).first()[0]
-    for round_ in range(1, max_rounds + 1):
-        if total <= bound:
-            break
+    while total > bound:  # every round that counts saves a sequence at least
         old = now.filter("open")
         rows, bins = old.agg(F.count("*"), F.count_distinct("sequence_id")).first()
         if not rows:
             break
-        new = packed(old.select("id", "piece", "start", "length", "ids_crc32"), rows, round_)
+        round_ += 1
+        new = packed(old.select(names), rows, round_)
         saved = bins - new.agg(F.count_distinct("sequence_id")).first()[0]
         if saved <= 0:
             break

@@ -43,7 +43,7 @@ def token_counts(
     """One row per input row: id_col, n_bytes (of UTF-8), n_tokens, over_limit (more than limit tokens).
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows come back repeated; equal texts are encoded once.
-    cache_path: the cache to use and to extend; by default a new one in the shared folder. One run writes to a cache
+    A cache that holds a content twice (a run that failed and came again) counts once. cache_path: the cache to use and to extend; by default a new one in the shared folder. One run writes to a cache
     at a time. Other columns are ignored. Special strings inside texts count as the tokenizer's definition says.
     """
     spark = docs.sparkSession
@@ -56,22 +56,23 @@ def token_counts(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, unpack, last = UnitEncoder.here(shared.value), zstandard.ZstdDecompressor(), None
         for batch in batches:  # sorted by digest: equal ones stand together
-            names, counts, texts = [], [], []
+            names, counts, texts, size = [], [], [], 0
             for name, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if name != last:
                     names.append(name)
-                    texts.append(unpack.decompress(packed.as_py()).decode())
+                    texts.append(unpack.decompress(packed.as_py()))
+                    size += len(texts[-1])
                 last = name
-                if len(texts) == 500:
-                    counts += (len(x) // 4 for x in encoder.encode_many(texts))
-                    texts = []
-            counts += (len(x) // 4 for x in encoder.encode_many(texts))
+                if size > 4_000_000:
+                    counts += map(len, encoder.ids_of(texts))
+                    texts, size = [], 0
+            counts += map(len, encoder.ids_of(texts))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([version] * len(names), pa.string()), pa.array(counts, pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
     known = _cached(spark, cache_path).filter(F.col("tokenizer") == version)
     texts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_packed, "content string, packed binary")
     missing = texts.join(known.select("content"), "content", "left_anti").repartition("content").sortWithinPartitions("content")
     missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version).select("content", "n_tokens")
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version).select("content", "n_tokens").dropDuplicates(["content"])
     rows = docs.select(F.col(id_col).alias("__id"), F.sha2(text, 256).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
     return rows.join(counts, "content").select(F.col("__id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -26,14 +26,14 @@ def encoder():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from("aB9é's \n\t\r\x0b\x1c\x85\xa0\u2003\u3000.,!|<"), st.characters(codec="utf-8")), max_size=40))
+@given(st.text(alphabet=st.one_of(st.sampled_from("aB9é's -_”²\x01 \n\t\r\x0b\x1c\x85\xa0\u2003\u3000.,!|<"), st.characters(codec="utf-8")), max_size=40))
 def test_units_give_the_ids_of_the_library(text):
     encoder = test_units_give_the_ids_of_the_library.__dict__.setdefault("encoder", UnitEncoder(tokenizer_json(), limit=50))
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_units_on_chosen_texts(encoder, tokenizer):
-    for text in ("", " ", "a  b", "a \n b", "\n\na", "x<|endoftext|>y", "it's  we'll\n've", "a\xa0 b", "a \xa0b", "!\x1c a", "tail \n"):
+    for text in ("", " ", "a  b", "a \n b", "\n\na", "x<|endoftext|>y", "it's  we'll\n've", "a\xa0 b", "a \xa0b", "!\x1c a", "tail \n", "don't.5's", "a1b2c3 ...x ,y", "wor—d,”, 'x'd", " 's's5'll"):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
@@ -76,6 +76,21 @@ def test_packing(documents, nothing, tokenizer):
     assert pack(nothing).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_null(spark):
+    big = (1 << 60) + 1
+    rows = spark.createDataFrame([(big, "a"), (None, "b"), (big + 2, "c"), (big + 2, "c")], "doc_id long, text string")
+    found = pack(rows).collect()
+    assert sorted(str(r.doc_id) for r in found) == sorted(map(str, (big, big + 2, big + 2, None)))
+    assert len({r.sequence_id for r in found}) == 1 and sorted(r.offset for r in found) == [0, 2, 4, 6]
+
+
+def test_a_cache_with_repeated_rows_counts_once(spark, documents, tmp_path):
+    cache = str(tmp_path / "cache")
+    expected = sorted(map(str, token_counts(documents, cache_path=cache).collect()))
+    spark.read.parquet(cache).write.mode("append").parquet(cache)
+    assert sorted(map(str, token_counts(documents, cache_path=cache).collect())) == expected
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 12), max_size=7))
 def test_bounds_are_valid_and_best_fit_packs(lengths):
