@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import defaultdict
 
@@ -25,10 +26,15 @@ def encoder():
     return UnitEncoder(tokenizer_json(), limit=50)
 
 
+@functools.cache
+def _small_memory():
+    return UnitEncoder(tokenizer_json(), limit=50)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("aB9é's -_”²\x01 \n\t\r\x0b\x1c\x85\xa0\u2003\u3000.,!|<"), st.characters(codec="utf-8")), max_size=40))
 def test_units_give_the_ids_of_the_library(text):
-    encoder = test_units_give_the_ids_of_the_library.__dict__.setdefault("encoder", UnitEncoder(tokenizer_json(), limit=50))
+    encoder = _small_memory()
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
