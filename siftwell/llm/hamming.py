@@ -22,13 +22,13 @@ from siftwell.llm.common import materialize
 
 
 def sign_codes(rows: DataFrame, vector_col: str, id_col: str) -> DataFrame:
-    """(id, code): one bit for each element, set where it is positive. Null vectors and those with null elements, which
-    have no code, are left out."""
+    """(id, code): the number of elements in four bytes, then one bit for each element, set where it is positive. Null
+    vectors and those with null elements, which have no code, are left out."""
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [None if v is None or None in v else np.packbits(np.asarray(v, float) > 0).tobytes() for v in batch.column(1).to_pylist()]
+            codes = [None if v is None or None in v else len(v).to_bytes(4, "big") + np.packbits(np.asarray(v, float) > 0).tobytes() for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["id", "code"])
 
     return rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, f"id {kind}, code binary").filter("code IS NOT NULL")
@@ -106,13 +106,15 @@ def _searcher(shared, k: int):
         by_size: dict[int, list[int]] = {}
         codes, ids = group.column("code").to_pylist(), group.column("ids").to_pylist()
         for r, c in enumerate(codes):
-            by_size.setdefault(len(c), []).append(r)
+            by_size.setdefault(int.from_bytes(c[:4], "big"), []).append(r)
         out: list[tuple] = []
         for size, members in by_size.items():
-            index = MultiIndex(np.frombuffer(b"".join(codes[r] for r in members), np.uint8).reshape(len(members), size))
+            if not size:
+                continue
+            index = MultiIndex(np.frombuffer(b"".join(codes[r][4:] for r in members), np.uint8).reshape(len(members), -1), size)
             for q, code in zip(*shared.value, strict=True):
-                if len(code) == size and size:
-                    hits, dist, _ = index.nearest(np.frombuffer(code, np.uint8), k)
+                if int.from_bytes(code[:4], "big") == size:
+                    hits, dist, _ = index.nearest(np.frombuffer(code, np.uint8, offset=4), k)
                     best = sorted((int(d), x is None, x if x is not None else 0) for h, d in zip(hits, dist, strict=True) for x in ids[members[h]])
                     out += [(q, None if none else x, d) for d, none, x in best[:k]]
         cols = list(zip(*out, strict=True)) or [(), (), ()]
@@ -123,7 +125,7 @@ def _searcher(shared, k: int):
 
 
 def top_k(
-    rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", part_codes: int = 20_000, block: int = 20_000,
+    rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", part_codes: int = 100_000, block: int = 20_000,
 ) -> DataFrame:
     """For each distinct query id and code the k rows nearest in Hamming distance: query_id, rank, neighbor_id, distance.
 
@@ -149,6 +151,9 @@ def top_k(
         shared = sc.broadcast((table.column("q").to_pylist(), table.column("code").to_pylist()))
 
         got = index.groupBy("part").applyInArrow(_searcher(shared, k), schema)
+        if blocks > 1:  # a block's results are stored, and its queries leave the executors
+            got = materialize(got, "found")
+            shared.destroy()
         found = got if found is None else found.unionByName(got)
     best = Window.partitionBy("q").orderBy("distance", F.col("neighbor_id").asc_nulls_last())
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

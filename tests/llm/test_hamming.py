@@ -22,6 +22,12 @@ def test_index_against_all_distances(n, size):
             assert covered >= 0
 
 
+def test_lengths_of_the_same_bytes_stay_apart(spark):
+    rows = [(1, [1.0] * 9), (2, [1.0] * 9 + [-1.0]), (3, [1.0] * 9 + [-1.0] * 2), (4, [1.0] * 8 + [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.neighbor_id, r.distance) for r in top_k(df, df).collect()) == [(1, 1, 0), (1, 4, 1), (2, 2, 0), (3, 3, 0), (4, 1, 1), (4, 4, 0)]
+
+
 @pytest.mark.parametrize("options", [{}, {"part_codes": 7, "block": 3}])
 def test_top_k(spark, options):
     rng = random.Random(2)
