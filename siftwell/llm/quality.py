@@ -1,18 +1,20 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other.
 
-Both views are logistic models. In each round a view marks the documents of an unlabelled pool it is surest of, and the
-other view learns them; a view may do so only while its sure marks are right on the labelled fold held back for
-calibration. In the end both views are calibrated on that fold and a logistic model of the two combines them.
-
-Only fitting uses samples, of at most ``max_labelled`` labelled rows and ``pool`` unlabelled ones, chosen by a hash of the
-id; scoring covers every document and its whole text.
+Both views are logistic models. In each round all documents outside the labelled sample are scored in one distributed
+pass: those that a view is sure of are pseudo-labelled for the other view, which learns them as sums of gradients and
+Hessians that the tasks make at its current weights. A view may mark a class only while its sure marks are right on a
+labelled fold held back for that. In the end both views are calibrated on this fold, and a logistic model of the two
+combines them on another one, which sets the threshold too.
+
+Only the labelled rows are a sample, of at most ``max_labelled`` ids chosen by a hash; pseudo-labels and scores cover every
+document and its whole text.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -20,83 +22,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwell.llm.shingles import Shingler
 from siftwell.llm.tokens import forget
 
 _LETTER, _UPPER = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + list(range(128, 256))] = True
 _UPPER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _SIGN = np.array([33 <= i < 127 and not chr(i).isalnum() and chr(i) not in ".,;:'\"-?()" for i in range(256)])
-LANGS, SOURCES = 16, 64
-TEXT_SIZE, META_SIZE = 192 + 12, LANGS + SOURCES + 8
+LANGS, SOURCES, WORDS, GRAMS = 16, 64, 128, 128
+TEXT_SIZE, META_SIZE = 192 + 12 + WORDS + GRAMS, LANGS + SOURCES
+SLICES, CHUNK = 32, 2048
 
 
-def text_features(text: bytes) -> np.ndarray:
-    """Byte frequencies, and how words, lines and signs are shared out."""
-    out = np.zeros(TEXT_SIZE)
+def text_features(text: bytes, words: np.ndarray) -> np.ndarray:
+    """Byte frequencies; how words, lines and signs are shared out; hashed words (given as hashes) and runs of three bytes."""
+    out = np.zeros(TEXT_SIZE, np.float32)
     if not text:
-        out[-1] = 1
+        out[203] = 1
         return out
     b = np.frombuffer(text, np.uint8)
     counts = np.bincount(b, minlength=256)
-    freq = np.sqrt(counts / len(b))
-    out[:128] = freq[:128]
+    out[:128] = np.sqrt(counts[:128] / len(b))
     out[128:192] = np.sqrt((counts[128:192] + counts[192:256]) / len(b))
-    words = text.split()
-    n = max(1, len(words))
+    own = text.split()
+    n = max(1, len(own))
     lines = [x for x in text.split(b"\n") if x.strip()]
     letters = max(1, int(counts[_LETTER].sum()))
-    ends = np.frombuffer(b"".join(w[-1:] for w in words), np.uint8) if words else b[:0]
-    starts = np.frombuffer(b"".join(w[:1] for w in words), np.uint8) if words else b[:0]
-    extra = out[192:]
-    extra[0] = counts[_UPPER].sum() / letters
-    extra[1] = counts[_SIGN].sum() / len(b)
-    extra[2] = letters / len(b)
-    extra[3] = len(set(words)) / n
-    extra[4] = len(set(lines)) / max(1, len(lines))
-    extra[5] = _SIGN[ends].mean() if len(ends) else 0
-    extra[6] = min(1.0, len(b) / n / 20)
-    extra[7] = np.log1p(n) / 10
-    extra[8] = min(1.0, n / max(1, len(lines)) / 100)
-    extra[9] = (~_LETTER[starts]).mean() if len(starts) else 0
-    extra[10] = (np.diff(b.astype(np.int16)) == 0).mean() if len(b) > 1 else 0
+    ends = np.frombuffer(b"".join(w[-1:] for w in own), np.uint8)
+    starts = np.frombuffer(b"".join(w[:1] for w in own), np.uint8)
+    out[192:203] = [
+        counts[_UPPER].sum() / letters, counts[_SIGN].sum() / len(b), letters / len(b), len(set(own)) / n, len(set(lines)) / max(1, len(lines)),
+        _SIGN[ends].mean() if len(ends) else 0, min(1.0, len(b) / n / 20), np.log1p(n) / 10, min(1.0, n / max(1, len(lines)) / 100),
+        (~_LETTER[starts]).mean() if len(starts) else 0, (b[1:] == b[:-1]).mean() if len(b) > 1 else 0,
+    ]
+    out[204 : 204 + WORDS] = np.sqrt(np.bincount(words.view(np.int64) & (WORDS - 1), minlength=WORDS) / n)
+    wide = b.astype(np.uint32)
+    grams = (wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA6B) + wide[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(25)
+    out[204 + WORDS :] = np.sqrt(np.bincount(grams, minlength=GRAMS) / len(b))
     return out
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    out = np.zeros(META_SIZE)
+def meta_features(lang: str | None, source: str | None) -> np.ndarray:
+    out = np.zeros(META_SIZE, np.float32)
     out[zlib.crc32((lang or "?").encode()) % LANGS] = 1
     out[LANGS + zlib.crc32((source or "?").encode()) % SOURCES] = 1
-    size = np.log1p(max(0, n_chars or 0))
-    out[LANGS + SOURCES :] = [n_chars is None, size / 10, (size / 10) ** 2, size < 5, size < 6, size > 8, size > 9, size > 10]
     return out
 
 
+def features(texts: list[bytes], langs: list[str | None], sources: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of some documents."""
+    hashes, first = Shingler(1).words_of(texts) if texts else (np.zeros(0, np.uint64), np.zeros(1, int))
+    text = [text_features(t, hashes[a:b]) for t, a, b in zip(texts, first[:-1], first[1:], strict=True)]
+    return np.array(text, np.float32).reshape(-1, TEXT_SIZE), np.array([meta_features(*row) for row in zip(langs, sources, strict=True)], np.float32).reshape(-1, META_SIZE)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 @dataclass
 class Logistic:
+    """weight: of the standardised features, and last the bias."""
+
     mean: np.ndarray
     scale: np.ndarray
     weight: np.ndarray
-    bias: float
+
+    def _rows(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
+
+    def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Gradient and Hessian of the loss over these rows at the current weights, end to end."""
+        d = len(self.weight)
+        grad, hess = np.zeros(d), np.zeros((d, d))
+        for at in range(0, len(x), CHUNK):
+            z = self._rows(x[at : at + CHUNK])
+            p = _sigmoid(z @ self.weight)
+            grad += z.T @ (p - y[at : at + CHUNK])
+            hess += (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+        return np.concatenate([grad, hess.ravel()])
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 12) -> Logistic:
-        """Newton steps on the penalised likelihood."""
-        mean, scale = x.mean(axis=0), x.std(axis=0)
-        scale = np.where(scale < 1e-9, 1.0, scale)
-        z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-        w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], penalty)
+    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 20, start: Logistic | None = None, learned: np.ndarray | None = None) -> Logistic:
+        """Newton steps on the penalised likelihood of the rows and of what ``sums`` gave for others at ``start``."""
+        if start is None:
+            mean, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64)
+            start = cls(mean, np.where(scale < 1e-9, 1.0, scale), np.zeros(x.shape[1] + 1))
+        d = len(start.weight)
+        out, ridge = cls(start.mean, start.scale, start.weight.copy()), np.full(d, penalty)
         ridge[-1] = 1e-6
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (p - y) + ridge * w
-            step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(ridge), grad)
-            w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-            if np.abs(step).max() < 1e-4:
+            sums = out.sums(x, y)
+            grad, hess = sums[:d] + ridge * out.weight, sums[d:].reshape(d, d) + np.diag(ridge)
+            if learned is not None:
+                more = learned[d:].reshape(d, d)
+                grad, hess = grad + learned[:d] + more @ (out.weight - start.weight), hess + more
+            step = np.linalg.solve(hess, grad)
+            out.weight -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+            if np.abs(step).max() < 1e-3:
                 break
-        return cls(mean, scale, w[:-1], float(w[-1]))
+        return out
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(((x - self.mean) / self.scale) @ self.weight + self.bias, -20, 20)
+        return np.clip(self._rows(x) @ self.weight, -20, 20)
 
 
 @dataclass
@@ -110,7 +138,7 @@ class CoTrained:
     both: Logistic | None = None
     threshold: float = 0.5
     prior: float = 1.0
-    exchanged: tuple[int, int] = (0, 0)
+    exchanged: list[dict[str, int]] = field(default_factory=list)
 
     def score(self, x_text: np.ndarray, x_meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of good quality: text view, metadata view, both."""
@@ -118,138 +146,168 @@ class CoTrained:
             flat = np.full(len(x_text), self.prior)
             return flat, flat, flat
         a, b = self.text_map.logit(self.text.logit(x_text)[:, None]), self.meta_map.logit(self.meta.logit(x_meta)[:, None])
-        return tuple(1 / (1 + np.exp(-z)) for z in (a, b, self.both.logit(np.column_stack([a, b]))))
+        return tuple(_sigmoid(z) for z in (a, b, self.both.logit(np.column_stack([a, b]))))
 
+    def kept(self, score: np.ndarray) -> np.ndarray:
+        return score >= self.threshold if self.text else np.ones(len(score), bool)
 
-def co_train(
-    x_text: np.ndarray, x_meta: np.ndarray, y: np.ndarray, fold: np.ndarray, u_text: np.ndarray, u_meta: np.ndarray,
-    rounds: int = 3, share: float = 0.1, sure: float = 0.9, right: float = 0.95,
-) -> CoTrained:
-    """fold: True for rows held back for calibration. share: of the pool that a view may mark in each round."""
-    train = ~fold
-    if min(y[train].sum(), (1 - y[train]).sum(), y[fold].sum(), (1 - y[fold]).sum()) < 2:
-        return CoTrained(prior=float(y.mean()) if len(y) else 1.0)
-    views = {"text": (x_text, u_text), "meta": (x_meta, u_meta)}
-    marks: dict[str, dict[int, int]] = {"text": {}, "meta": {}}  # what each view has learned from the other
-    models = {}
-    for _ in range(rounds + 1):
-        for name, (x, u) in views.items():
-            at = np.array(sorted(marks[name]), int)
-            models[name] = Logistic.fit(np.concatenate([x[train], u[at]]), np.concatenate([y[train], np.array([marks[name][i] for i in at], float)]))
-        for name, other in (("text", "meta"), ("meta", "text")):
-            x, u = views[name]
-            held, p = 1 / (1 + np.exp(-models[name].logit(x[fold]))), 1 / (1 + np.exp(-models[name].logit(u)))
-            for label, conf, conf_held in ((1, p, held), (0, 1 - p, 1 - held)):
-                chosen = conf_held >= sure
-                if not chosen.any() or (y[fold][chosen] == label).mean() < right:
-                    continue
-                quota = int(len(u) * share * max(0.05, (y[train] == label).mean()))
-                for i in np.argsort(-conf, kind="stable")[:quota]:
-                    if conf[i] >= sure:
-                        marks[other].setdefault(int(i), label)
-    out = CoTrained(models["text"], models["meta"], exchanged=(len(marks["meta"]), len(marks["text"])))
-    held = {name: models[name].logit(views[name][0][fold])[:, None] for name in views}
-    out.text_map, out.meta_map = (Logistic.fit(held[n], y[fold], 1e-2) for n in ("text", "meta"))
-    out.both = Logistic.fit(np.column_stack([out.text_map.logit(held["text"]), out.meta_map.logit(held["meta"])]), y[fold], 1e-2)
-    scores = out.score(x_text[fold], x_meta[fold])[2]
-    out.threshold = float(min(0.5, np.quantile(scores[y[fold] == 1], 0.002)))
-    return out
 
+def pseudo_sums(models: dict[str, Logistic], open_: set[tuple[str, int]], sure: float, x: dict[str, np.ndarray]) -> dict[tuple[str, int], tuple[int, np.ndarray]]:
+    """(view that learns, label) -> number of rows that the other view is sure of, and their sums."""
+    out = {}
+    for view, other in (("text", "meta"), ("meta", "text")):
+        p = _sigmoid(models[view].logit(x[view]))
+        for label, conf in ((1, p), (0, 1 - p)):
+            if (view, label) in open_ and len(rows := np.flatnonzero(conf >= sure)):
+                out[other, label] = (len(rows), models[other].sums(x[other][rows], np.full(len(rows), float(label))))
+    return out
 
-#: The columns that the views read: text, language, source, number of characters.
-OWN = ("__text", "__lang", "__source", "__n")
 
+def co_train(x: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray, mark, rounds: int = 2, share: float = 1.0, sure: float = 0.9, right: float = 0.95) -> CoTrained:
+    """x: both views of the labelled rows. fold: 0 learns, 1 gates and calibrates, 2 combines. mark(models, open, sure) gives
+    ``pseudo_sums`` over all other rows. Pseudo-labels of a class weigh ``share`` of its labelled rows at most."""
+    train, gate, join = (fold == i for i in range(3))
+    if min(min(y[f].sum(), (1 - y[f]).sum()) for f in (train, gate, join)) < 2:
+        return CoTrained(prior=float(y.mean()) if len(y) else 1.0)
+    models = {view: Logistic.fit(x[view][train], y[train]) for view in x}
+    exchanged = []
+    for _ in range(rounds):
+        open_ = set()
+        for view in x:
+            held = _sigmoid(models[view].logit(x[view][gate]))
+            for label, conf in ((1, held), (0, 1 - held)):
+                chosen = conf >= sure
+                if chosen.any() and (y[gate][chosen] == label).mean() >= right:
+                    open_.add((view, label))
+        if not open_:
+            break
+        marks = mark(models, open_, sure)
+        exchanged.append({f"{view} {label}": n for (view, label), (n, _) in sorted(marks.items())})
+        for view in x:
+            learned = [sums * min(1.0, share * (y[train] == label).sum() / n) for (v, label), (n, sums) in marks.items() if v == view]
+            if learned:
+                models[view] = Logistic.fit(x[view][train], y[train], start=models[view], learned=np.sum(learned, axis=0))
+    out = CoTrained(models["text"], models["meta"], exchanged=exchanged)
+    out.text_map, out.meta_map = (Logistic.fit(models[v].logit(x[v][gate])[:, None], y[gate], 1e-2) for v in ("text", "meta"))
+    maps = np.column_stack([m.logit(models[v].logit(x[v][join])[:, None]) for v, m in (("text", out.text_map), ("meta", out.meta_map))])
+    out.both = Logistic.fit(maps, y[join], 1e-2)
+    scores = out.score(x["text"][join], x["meta"][join])[2]
+    out.threshold = float(min(0.5, np.quantile(scores[y[join] == 1], 0.002)))
+    return out
 
-def _column(batch: pa.RecordBatch, name: str, kind: pa.DataType) -> list:
-    """Metadata columns may be missing or of another type."""
-    at = batch.schema.get_field_index(name)
-    if at < 0:
-        return [None] * batch.num_rows
-    try:
-        return batch.column(at).cast(kind).to_pylist()
-    except pa.ArrowInvalid:
-        return [None] * batch.num_rows
 
+def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list:
+    """The columns that the views read, under their own names; metadata columns may be missing or of another type."""
+    def get(name: str):
+        return (F.col(name) if name in docs.columns else F.lit(None)).cast("string")
+
+    return [F.col(id_col).cast("string").alias("id"), get(text_col).alias("text"), get("lang").alias("lang"), get("source").alias("source")]
+
+
+def _parts(batch: pa.RecordBatch, text: pa.Array, lang: str = "lang", source: str = "source") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A batch in parts, with both views of each."""
+    text = text.cast(pa.binary())
+    for at in range(0, batch.num_rows, 1000):
+        part = batch.slice(at, 1000)
+        columns = (part.column(part.schema.get_field_index(c)).to_pylist() for c in (lang, source))
+        yield part, *features([t or b"" for t in text.slice(at, 1000).to_pylist()], *columns)
+
+
+def _marker(rows: DataFrame):
+    """mark() for ``co_train`` over rows (id, text, lang, source): one pass, whose tasks each give their sums once."""
+
+    def mark(models: dict[str, Logistic], open_: set[tuple[str, int]], sure: float) -> dict[tuple[str, int], tuple[int, np.ndarray]]:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
+            total: dict[tuple[str, int], tuple[int, np.ndarray]] = {}
+            for batch in batches:
+                for _, text, meta in _parts(batch, batch.column(1)):
+                    for key, (n, s) in pseudo_sums(models, open_, sure, {"text": text, "meta": meta}).items():
+                        m, t = total.get(key, (0, 0.0))
+                        total[key] = (m + n, t + s)
+            out = [(*key, i, n, piece.tobytes()) for key, (n, s) in total.items() for i, piece in enumerate(np.array_split(s, SLICES))]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["view", "label", "slice", "n", "sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple, tuple[int, np.ndarray]] = {}
+            for batch in batches:
+                for *key, n, s in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                    m, t = total.get(tuple(key), (0, 0.0))
+                    total[tuple(key)] = (m + n, t + np.frombuffer(s))
+            cols = list(zip(*((*key, n, s.tobytes()) for key, (n, s) in total.items()), strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["view", "label", "slice", "n", "sums"])
+
+        schema = "view string, label int, slice int, n long, sums binary"
+        found = rows.mapInArrow(sums, schema).repartition("view", "label", "slice").mapInArrow(add, schema).collect()  # 4 * SLICES rows at most
+        out = {}
+        for key in {(r["view"], r["label"]) for r in found}:
+            mine = sorted((r for r in found if (r["view"], r["label"]) == key), key=lambda r: r["slice"])
+            out[key] = (mine[0]["n"], np.concatenate([np.frombuffer(r["sums"]) for r in mine]))
+        return out
 
-def _features(batch: pa.RecordBatch, names: tuple[str, ...] = OWN) -> tuple[np.ndarray, np.ndarray]:
-    n = batch.num_rows
-    text = np.array([text_features(t or b"") for t in _column(batch, names[0], pa.binary())]).reshape(n, TEXT_SIZE)
-    parts = (_column(batch, name, kind) for name, kind in zip(names[1:], (pa.string(), pa.string(), pa.int64()), strict=True))
-    return text, np.array([meta_features(*row) for row in zip(*parts, strict=True)]).reshape(n, META_SIZE)
+    return mark
 
 
-def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list:
-    """The columns that the views read, under their own names; metadata columns may be missing."""
-    def get(name: str, kind: str):
-        return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind)
-
-    return [F.col(id_col).cast("string").alias("__id"), get(text_col, "string").alias("__text"), get("lang", "string").alias("__lang"), get("source", "string").alias("__source"), get("n_chars", "long").alias("__n")]
-
-
-def fit_quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    max_labelled: int = 12_000, pool: int = 6_000, **options: float,
-) -> CoTrained:
-    """Labels of ids that documents lack, and null labels, are ignored; of several labels of an id the larger counts."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
-    order = F.xxhash64("__id")
-    ids = docs.select(F.col(id_col).cast("string").alias("__id")).filter("__id IS NOT NULL").distinct()
-    marked = ids.join(known, "__id", "left")
-    labelled = marked.filter("__y IS NOT NULL").orderBy(order, "__id").limit(max_labelled)
-    free = marked.filter("__y IS NULL").orderBy(order, "__id").limit(pool)
-    chosen = labelled.unionByName(free)  # at most max_labelled + pool ids
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000, **options: float) -> CoTrained:
+    """Labels of ids that documents lack, and null labels, are ignored; of several labels of an id the larger counts, and of
+    several rows of an id the one whose text is the smallest. options: those of ``co_train``."""
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    ids = docs.select(F.col(id_col).cast("string").alias("id")).filter("id IS NOT NULL").distinct()
+    chosen = ids.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # max_labelled ids at most
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            text, meta = _features(batch)
-            x = np.concatenate([text, meta], axis=1).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("__y")), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
-
-    rows = docs.select(*_inputs(docs, id_col, text_col)).join(F.broadcast(chosen), "__id").select("__id", "__text", "__lang", "__source", "__n", "__y")
-    found = rows.mapInArrow(extract, "id string, y int, x binary").toArrow()
-    found = found.take(pa.compute.sort_indices(found, [("id", "ascending"), ("x", "ascending")]))
+            for part, text, meta in _parts(batch, batch.column(2)):
+                x = np.concatenate([text, meta], axis=1).astype("<f4")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
+
+    rows = docs.select(*_inputs(docs, id_col, text_col))
+    sample = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang", "source")).alias("row")).select("id", "y", "row.*")
+    found = sample.mapInArrow(extract, "id string, y int, x binary").toArrow()
+    found = found.take(pa.compute.sort_indices(found, [("id", "ascending")]))
     x = np.frombuffer(b"".join(v.as_py() for c in found.column("x").chunks for v in c), "<f4").reshape(found.num_rows, TEXT_SIZE + META_SIZE)
-    y = np.array([-1 if v is None else v for v in found.column("y").to_pylist()])
-    fold = np.array([zlib.crc32(i.encode()) % 4 == 0 for i in found.column("id").to_pylist()], bool)
-    a, b = x[y >= 0], x[y < 0]
-    return co_train(a[:, :TEXT_SIZE], a[:, TEXT_SIZE:], (y[y >= 0] > 0).astype(float), fold[y >= 0], b[:, :TEXT_SIZE], b[:, TEXT_SIZE:], **options)
+    y = (np.array(found.column("y").to_pylist(), float) > 0).astype(float)
+    fold = np.array([{0: 1, 4: 2}.get(zlib.crc32(i.encode()) % 8, 0) for i in found.column("id").to_pylist()], int)
+    del found
+    others = rows.join(F.broadcast(chosen.select("id")), "id", "left_anti")
+    return co_train({"text": x[:, :TEXT_SIZE], "meta": x[:, TEXT_SIZE:]}, y, fold, _marker(others), **options)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """One row per input row: id_col, text_score, meta_score, score (probabilities of good quality), kept.
 
     Rows below the threshold are not kept: 0.5, or lower where more than 0.2 % of the good documents held back would go.
-    Nulls count as empty texts or unknown metadata. Where labels lack a class every document gets their mean and is kept.
-    An empty table gives an empty result. Other columns are ignored.
+    Nulls count as empty texts or unknown metadata, which may have any type. Where labels lack a class every document gets
+    their mean and is kept. Repeated rows are scored alike. An empty table gives an empty result. Other columns are ignored.
     """
     model = fit_quality(docs, labels, id_col, text_col, **options)  # a few KB, which travel with the tasks
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                text, meta, both = model.score(*_features(part))
-                kept = both >= model.threshold if model.text else np.ones(len(both), bool)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v) for v in (text, meta, both, kept))], names=["id", "text_score", "meta_score", "score", "kept"])
+            for part, x_text, x_meta in _parts(batch, batch.column(1)):
+                text, meta, both = model.score(x_text, x_meta)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v) for v in (text, meta, both, model.kept(both)))], names=["id", "text_score", "meta_score", "score", "kept"])
 
     rows = docs.select(F.col(id_col).alias("id"), *_inputs(docs, id_col, text_col)[1:])
     return rows.mapInArrow(run, f"id {kind}, text_score double, meta_score double, score double, kept boolean").withColumnRenamed("id", id_col)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """The rows that score_quality keeps, with all their columns."""
+    """The rows that ``score_quality`` keeps, with all their columns, which may have any names and types."""
     model = fit_quality(docs, labels, id_col, text_col, **options)  # a few KB, which travel with the tasks
-    names = (text_col, "lang", "source", "n_chars")
+    inside = isinstance(docs.schema[text_col].dataType, T.StringType)  # then the text is read from the row and doesn't travel twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                both = model.score(*_features(part, names))[2]
-                kept = both >= model.threshold if model.text else np.ones(len(both), bool)
-                yield part.filter(pa.array(kept))
-
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+            text = batch.column(0).field(text_col) if inside else batch.column(3)
+            for part, x_text, x_meta in _parts(batch, text):
+                yield part.select([0]).filter(pa.array(model.kept(model.score(x_text, x_meta)[2])))
+
+    _, text, lang, source = _inputs(docs, id_col, text_col)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, lang, source, *([] if inside else [text]))
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
