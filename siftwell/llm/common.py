@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,27 +22,29 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or one set here where that is unset."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir``. Where that is unset a local master gets a temporary one;
+    on a cluster it is an error, as executors do not share their temporary folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/siftwell-{spark.sparkContext.applicationId}"
 
 
-_scope: str | None = None
+_scope: ContextVar[str] = ContextVar("scope", default="tables")
 
 
 @contextmanager
 def scope(spark: SparkSession, name: str) -> Iterator[None]:
     """Intermediate tables made inside go to a folder of their own, which ``drop_scope`` deletes."""
-    global _scope
-    _scope = name
+    token = _scope.set(name)
     try:
         yield
     finally:
-        _scope = None
+        _scope.reset(token)
 
 
 def drop_scope(spark: SparkSession, name: str) -> None:
@@ -49,7 +52,7 @@ def drop_scope(spark: SparkSession, name: str) -> None:
 
 
 def table_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{_scope or 'tables'}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_scope.get()}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -187,6 +187,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The rows that stay, with all their columns: they are read from the index, which holds them."""
-    index = build_index(docs, digest_table(docs, id_col, text_col), id_col, text_col, **options)
-    return index.select(*docs.columns)
+    """The rows that ``exact_dedup`` keeps, with all their columns: they are read from the index, which holds them.
+
+    Null texts count as empty, and one row of all those without a text stays. Null ids are smaller than any other; of rows
+    that repeat both text and id exactly one stays. An empty table gives an empty result. Columns may have any names.
+    """
+    own = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    id_, text = (f"c{docs.columns.index(name)}" for name in (id_col, text_col))
+    index = build_index(own, digest_table(own, id_, text), id_, text, **options)
+    return index.select(*own.columns).toDF(*docs.columns)

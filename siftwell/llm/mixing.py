@@ -4,8 +4,9 @@ Every document draws u from its id and gets the key -ln(u) / quality; within a s
 until the token budget is reached. A source whose target exceeds its size is first taken whole as often as it fits
 (complete epochs); the sampling fills the fraction that remains.
 
-No source is sorted as a whole: keys fall into ``buckets`` ranges of equal probability, sums of whole ranges give the
-one range in which the budget ends, and only that range is sorted.
+No source is sorted as a whole: keys fall into ``buckets`` ranges of equal probability, whose number grows with the rows;
+sums of whole ranges give the one range in which the budget ends, and only that range is sorted. Sources themselves are
+taken to be few (thousands): their targets are computed together.
 """
 
 from __future__ import annotations
@@ -50,6 +51,11 @@ def _targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> Dat
     return rows.select("source", "source_size", F.least("__cap", F.coalesce(first["__level"] * F.col("__w"), F.col("__cap"))).alias("target"))
 
 
+def _ranges(docs: DataFrame, buckets: int | None) -> int:
+    """4096 ranges, or as many as leave some 4096 rows in each."""
+    return buckets or min(1 << 20, max(4096, docs.count() // 4096))
+
+
 def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, buckets: int, quality: Column | None) -> dict[str, Column]:
     """What the mix needs of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -86,7 +92,7 @@ def _ending(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
-    most: float = 3.0, seed: int = 17, buckets: int = 4096, quality: Column | None = None,
+    most: float = 3.0, seed: int = 17, buckets: int | None = None, quality: Column | None = None,
 ) -> DataFrame:
     """One row per input row: id_col, size, source_size, target, taken, times.
 
@@ -96,6 +102,7 @@ def mix(
     target. Ties of keys go by id. Repeated rows are rows of their own. Reruns agree. An empty table gives an empty
     result. Other columns are ignored. quality: weights of documents, positive; by default ``quality_weight``.
     """
+    buckets = _ranges(docs, buckets)
     drawn = _drawn(docs, id_col, text_col, source_col, seed, buckets, quality)
     rows = materialize(docs.select(*(c.alias(n) for n, c in drawn.items())), "mix")
     plan = _plan(rows, weights, most, buckets)
@@ -108,22 +115,35 @@ def mix(
 
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1),
-    most: float = 3.0, seed: int = 17, buckets: int = 4096, quality: Column | None = None,
+    most: float = 3.0, seed: int = 17, buckets: int | None = None, quality: Column | None = None,
 ) -> DataFrame:
     """The mix itself: rows with all their columns, each as often as ``mix`` takes it.
 
-    Which rows are taken follows from the last key that each source takes, so texts are not shuffled. Rows that repeat
-    id, size and key are taken together.
+    Which rows are taken follows from the last key that each source takes, so texts are not shuffled; only where rows that
+    repeat id, size and key are not all taken, these are numbered. Nulls and empty texts have size 0: they are drawn like
+    others and come as often as ``mix`` says. An empty table gives an empty result. Columns may have any names.
     """
+    buckets = _ranges(docs, buckets)
     drawn = _drawn(docs, id_col, text_col, source_col, seed, buckets, quality)
     rows = materialize(docs.select(*(c.alias(n) for n, c in drawn.items())), "mix")
     plan = _plan(rows, weights, most, buckets)
-    last = _ending(rows, plan).filter("extra = 1").groupBy(F.col("__source").alias("l_source")).agg(F.max(F.struct("__key", "__id")).alias("top"))
-    plan = materialize(plan.join(last, F.col("p_source").eqNullSafe(F.col("l_source")), "left").select("p_source", "epochs", F.col("last").alias("__last"), "top"), "mix-plan")
-    plan = plan.select(F.col("p_source").alias("__p"), F.col("epochs").alias("__epochs"), "__last", F.col("top").alias("__top"))
-    own = docs.select("*", *(c.alias(n) for n, c in drawn.items() if n in ("__id", "__source", "__key", "__bucket")))
-    inner = F.coalesce(F.struct("__key", "__id") <= F.col("__top"), F.lit(False))
-    taken = (F.col("__bucket") < F.col("__last")) | ((F.col("__bucket") == F.col("__last")) & inner)
-    both = own.join(plan, F.col("__source").eqNullSafe(F.col("__p"))).withColumn("__times", F.col("__epochs") + taken.cast("long"))
-    repeated = both.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    place = F.struct("__key", "__id", "__size")
+    ending = materialize(_ending(rows, plan).select("__source", place.alias("place"), "extra"), "mix-ending")
+    last = ending.filter("extra = 1").groupBy(F.col("__source").alias("l_source")).agg(F.max("place").alias("top"))
+    same = F.col("__source").eqNullSafe(F.col("l_source")) & F.col("place").eqNullSafe(F.col("top"))
+    ties = ending.join(last, same).groupBy(F.col("__source").alias("t_source")).agg(F.sum("extra").alias("some"), F.count("*").alias("all"))
+    plan = plan.join(last, F.col("p_source").eqNullSafe(F.col("l_source")), "left").join(ties, F.col("p_source").eqNullSafe(F.col("t_source")), "left")
+    plan = materialize(plan.select("p_source", "epochs", "last", "top", F.when(F.col("some") < F.col("all"), F.col("some")).alias("some")), "mix-plan")
+
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in drawn.items()))
+    both = own.join(plan, F.col("__source").eqNullSafe(F.col("p_source")))
+    ends = F.col("__bucket") == F.col("last")  # sizes are counted in that range only
+    tied = F.coalesce(F.when(ends & F.col("some").isNotNull(), place.eqNullSafe(F.col("top"))), F.lit(False))
+    taken = (F.col("__bucket") < F.col("last")) | F.when(ends, F.coalesce(place <= F.col("top"), F.lit(False))).otherwise(False)
+    some = plan.filter("some IS NOT NULL").limit(1).count() > 0
+    counted = (both.filter(~tied) if some else both).select("row", (F.col("epochs") + taken.cast("long")).alias("times"))
+    if some:
+        no = F.row_number().over(Window.partitionBy("__source").orderBy("__key"))
+        counted = counted.unionByName(both.filter(tied).select("row", (F.col("epochs") + (no <= F.col("some")).cast("long")).alias("times")))
+    repeated = counted.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return repeated.select("row.*")

@@ -249,18 +249,9 @@ def sketch_size(n_bytes: int) -> int:
     return min(24, max(16, (n_bytes // 256).bit_length()))
 
 
-def ngram_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, sketch_bits: int | None = None,
-) -> DataFrame:
-    """One row per input row: id_col, n_shingles, component_id (the smallest id that links reach), class_digest (binary).
-
-    Two rows link when their sets of distinct shingles have a Jaccard similarity of num/den or more. A text of fewer
-    words than a shingle has one shingle; null, empty and blank texts have none and link with nothing. Rows with equal
-    sets link with each other. Repeated rows come back repeated. Null ids are ignored as smallest ids; a row with a
-    null id that links with no other has a null component. An empty table gives an empty result. Other columns are
-    ignored. sketch_bits: of the sketch that orders shingles, by default ``sketch_size`` of all texts; any size gives
-    the same result.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, sketch_bits: int | None) -> DataFrame:
+    """(id, sha, n, digest, component_id, first) of every row; first: id and sha of the first row of its component, by
+    smallest id, nulls last. Rows without shingles have only id, sha and n."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     bits = sketch_bits or sketch_size(rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
     first = _first_pass(rows, words, bits)
@@ -293,8 +284,37 @@ def ngram_join(
     links = links.unionByName(_verified(pairs, rows, classes, words, num, den))
 
     grouped = classes.join(_components(links).withColumnRenamed("c", "digest"), "digest", "left").withColumn("root", F.coalesce("component", "digest"))
-    smallest = grouped.groupBy("root").agg(F.min("rep.id").alias("component_id"))
-    found = materialize(grouped.join(smallest, "root").select("digest", "component_id"), "components")
-    linked = members.filter("n > 0").join(found, "digest")
-    alone = members.filter("n = 0").withColumn("component_id", F.col("id"))
-    return linked.unionByName(alone.select(linked.columns)).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("digest").alias("class_digest"))
+    firsts = grouped.groupBy("root").agg(F.min("rep").alias("first"))
+    found = materialize(grouped.join(firsts, "root").select("digest", F.col("first.id").alias("component_id"), F.struct("first.id", "first.sha").alias("first")), "components")
+    return members.filter("n > 0").join(found, "digest").unionByName(members.filter("n = 0"), allowMissingColumns=True)
+
+
+def ngram_join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100, sketch_bits: int | None = None,
+) -> DataFrame:
+    """One row per input row: id_col, n_shingles, component_id (the smallest id that links reach), class_digest (binary).
+
+    Two rows link when their sets of distinct shingles have a Jaccard similarity of num/den or more. A text of fewer
+    words than a shingle has one shingle; null, empty and blank texts have none and link with nothing. Rows with equal
+    sets link with each other. Repeated rows come back repeated. Null ids are ignored as smallest ids; a row with a
+    null id that links with no other has a null component. An empty table gives an empty result. Other columns are
+    ignored. sketch_bits: of the sketch that orders shingles, by default ``sketch_size`` of all texts; any size gives
+    the same result.
+    """
+    rows = _grouped(docs, id_col, text_col, words, num, den, sketch_bits)
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("digest").alias("class_digest"))
+
+
+def keep_unlike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, sketch_bits: int | None = None) -> DataFrame:
+    """The rows of docs of which no other like them stays, with all their columns: of each component of ``ngram_join`` the
+    row with the smallest id (nulls last), and every row without shingles.
+
+    Rows are told apart by id and text: an id that occurs with several texts is judged for each of them, and rows that
+    repeat both id and text stay or go together. A row with a null id goes if its component has another id. An empty
+    table gives an empty result. Columns may have any names.
+    """
+    rows = _grouped(docs, id_col, text_col, words, num, den, sketch_bits).filter("n > 0")
+    gone = rows.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("sha") == F.col("first.sha")))).select("id", "sha").distinct().alias("gone")
+    text = F.unhex(F.sha2(F.coalesce(F.col(f"docs.`{text_col}`").cast("string"), F.lit("")), 256))
+    return docs.alias("docs").join(gone, F.col(f"docs.`{id_col}`").eqNullSafe(F.col("gone.id")) & (text == F.col("gone.sha")), "left_anti")

@@ -26,6 +26,8 @@ URL_RULES = [
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A url that no rule fits is allowed. A null url, and one without ``://``, has an empty host and path; repeated rows come
+    back repeated; an empty table gives an empty result; other columns are ignored."""
     return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
@@ -41,6 +43,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have size 0, a null source is the last one; ties of keys go by id and size; repeated rows are rows
+    of their own; an empty table gives an empty result; other columns are ignored."""
     return mix(read_table(spark, sf_dir, "documents")).drop("times")
 
 
@@ -55,7 +59,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the table ``labels``; fitted on 12,000 labelled and 6,000 other rows at most."""
+    """Labels of the table ``labels``, of 20,000 ids at most; pseudo-labels and scores cover all documents."""
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
@@ -65,10 +69,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty ones; null ids are the smallest; of rows that repeat text and id one is kept; an empty table gives
+    an empty result; other columns are ignored."""
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are the end id alone; very long ones are cut; rows with null ids and repeated rows are packed like
+    others; an empty table gives an empty result; other columns are ignored."""
     return pack(read_table(spark, sf_dir, "documents"))
 
 
