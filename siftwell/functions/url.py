@@ -116,7 +116,8 @@ def same_destination(a: Column, b: Column) -> Column:
 
 
 def safe_outbound(url: Column) -> Column:
-    return F.when(is_valid(url), url)
+    """The normalised url, if it is valid."""
+    return F.when(is_valid(url), normalize(url))
 
 
 def host_suffixes(h: Column) -> Column:

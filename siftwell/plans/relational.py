@@ -49,10 +49,10 @@ LATEST_SQL = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION B
 
 def cadences(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "customer")
-    return c.filter("c_custkey <= 200").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("source_name"), ((F.col("c_custkey") % 3 + 1) * 12).alias("cadence_hours"))
+    return c.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("source_name"), ((F.col("c_custkey") % 3 + 1) * 12).alias("cadence_hours"))
 
 
-CADENCE_SQL = "src AS (SELECT 'u' || CAST(c_custkey AS VARCHAR) AS source_name, (c_custkey % 3 + 1) * 12 AS cadence_hours FROM customer AS c WHERE c_custkey <= 200)"
+CADENCE_SQL = "src AS (SELECT 'u' || CAST(c_custkey AS VARCHAR) AS source_name, (c_custkey % 3 + 1) * 12 AS cadence_hours FROM customer AS c)"
 
 
 def changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,7 +166,7 @@ def delivery_state(spark: SparkSession, sf: str) -> DataFrame:
 add("delivery_state", delivery_state, "SELECT l_orderkey AS run_id, CASE WHEN bool_and(l_linestatus = 'F') THEN 'sent' WHEN bool_or(l_linestatus <> 'F' AND CAST(floor(l_quantity) AS INTEGER) % 4 < 3) THEN 'partial' ELSE 'failed' END AS state FROM lineitem AS l GROUP BY 1")
 add("oldest_unfinished", lambda spark, sf: read(spark, sf, "orders").filter("o_orderstatus = 'P'").orderBy("o_orderdate", "o_orderkey").limit(1).select("o_orderkey", "o_orderdate"), "SELECT o_orderkey, o_orderdate FROM orders AS o WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 1")
 add("failed_carry", lambda spark, sf: read(spark, sf, "lineitem").filter("l_linestatus <> 'F'").join(read(spark, sf, "orders").filter("o_orderstatus = 'F' OR o_orderstatus = 'O'").join(read(spark, sf, "lineitem").filter("l_linestatus <> 'F'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").filter("o_orderdate < TIMESTAMP_NTZ '2000-01-01'").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber"), "WITH run AS (SELECT o_orderkey FROM orders AS o WHERE o_orderstatus IN ('F', 'O') AND o_orderdate < TIMESTAMP '2000-01-01' AND EXISTS (SELECT 1 FROM lineitem AS l WHERE l.l_orderkey = o.o_orderkey AND l_linestatus <> 'F') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) SELECT l_orderkey, l_linenumber FROM lineitem AS m JOIN run AS r ON m.l_orderkey = r.o_orderkey WHERE l_linestatus <> 'F'")
-add("carry_concat", lambda spark, sf: chunks(spark, sf).filter("run_id <= 50").select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("sent_at").isNotNull(), "chunk_index")) - 1).cast("long").alias("position"), F.col("chunk_index").cast("long").alias("chunk_index")), "SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linestatus = 'F', l_linenumber) - 1 AS position, CAST(l_linenumber AS BIGINT) AS chunk_index FROM lineitem AS l WHERE l_orderkey <= 50")
+add("carry_concat", lambda spark, sf: chunks(spark, sf).select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("sent_at").isNotNull(), "chunk_index")) - 1).cast("long").alias("position"), F.col("chunk_index").cast("long").alias("chunk_index")), "SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linestatus = 'F', l_linenumber) - 1 AS position, CAST(l_linenumber AS BIGINT) AS chunk_index FROM lineitem AS l")
 add("mark_digested", lambda spark, sf: changes(spark, sf).join(customers(spark, sf).filter("status = 'eligible'").select("event_id", F.lit(True).alias("hit")), "event_id", "left").select("id", F.coalesce("digested_at", F.when(F.col("hit"), F.lit(AS_OF).cast("timestamp_ntz"))).alias("digested_at")), f"WITH {CHANGES_SQL}, {CUSTOMERS_SQL} SELECT c.id, coalesce(c.digested_at, CASE WHEN u.event_id IS NOT NULL THEN TIMESTAMP '2024-01-31' END) AS digested_at FROM ch AS c LEFT JOIN cu AS u ON c.event_id = u.event_id AND u.status = 'eligible'")
 add("backoff", lambda spark, sf: chunks(spark, sf).select(F.least(F.lit(60), F.pow(F.lit(2), F.col("attempt_count") % 9)).cast("long").alias("minutes")).groupBy("minutes").agg(F.count("*").alias("n")), "SELECT CAST(least(60, power(2, CAST(floor(l_quantity) AS INTEGER) % 9)) AS BIGINT) AS minutes, count(*) AS n FROM lineitem AS l GROUP BY 1")
 add("latest_per_key", lambda spark, sf: latest_runs(runs(spark, sf)).select("source_name", "id"), f"WITH {RUNS_SQL}, {LATEST_SQL} SELECT source_name, id FROM latest AS l")

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INERT = ("script", "style", "template", "noscript", "svg", "head")
 #: Keys below which nodes of JSON documents are looked for.
-NODE_KEYS = ("@graph", "events", "data", "results", "items", "edges", "node")
+NODE_KEYS = ("@graph", "events", "data", "results", "items", "edges")
+#: Nesting beyond this is not followed: elements open there become siblings.
+DEEPEST = 500
 
 
 class Node:
@@ -26,22 +27,22 @@ class Node:
         self.tag, self.attrs, self.parent, self.children = tag, attrs or {}, parent, []
 
     def walk(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
-
-    def text(self, skip: tuple[str, ...] = ("script", "style")) -> str:
-        parts: list[str] = []
-
-        def go(n: Node) -> None:
-            for c in n.children:
-                if isinstance(c, str):
-                    parts.append(c)
-                elif c.tag not in skip:
-                    go(c)
-
-        go(self)
+        """Descendants in document order, without recursion."""
+        todo = self.children[::-1]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, Node):
+                yield n
+                todo += n.children[::-1]
+
+    def text(self, skip=lambda n: n.tag in ("script", "style")) -> str:
+        parts, todo = [], self.children[::-1]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, str):
+                parts.append(n)
+            elif not skip(n):
+                todo += n.children[::-1]
         return " ".join(" ".join(parts).split())
 
     def following(self) -> list[Node]:
@@ -86,22 +87,25 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root")
+        self.depth = 0
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and self.depth < DEEPEST:
             self.at = node
+            self.depth += 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
-        n = self.at
+        n, up = self.at, 1
         while n.parent is not None and n.tag != tag:
-            n = n.parent
+            n, up = n.parent, up + 1
         if n.parent is not None:
             self.at = n.parent
+            self.depth -= up
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -115,50 +119,74 @@ def parse(html: str | None) -> Node:
 
 
 def title(root: Node) -> str | None:
-    for sel, attr in (("meta[property=og:title]", "content"), ("h1", None), ("title", None)):
-        n = root.first(sel) if ":" not in sel else next((m for m in root.walk() if m.tag == "meta" and m.attrs.get("property") == "og:title"), None)
-        if n and (found := " ".join((n.attrs.get(attr, "") if attr else n.text()).split())):
-            return found
-    return None
+    """What the page says in og:title, else in its title element."""
+    said = next((m.attrs.get("content", "") for m in root.walk() if m.tag == "meta" and m.attrs.get("property") == "og:title"), None)
+    if said is None:
+        n = root.first("title")
+        said = n.text() if n else ""
+    return " ".join(said.split()) or None
+
+
+def join_url(base: str | None, link: str | None) -> str | None:
+    """The link as seen from base; null for links that are no urls."""
+    try:
+        return None if link is None else urljoin(base or "", link)
+    except ValueError:
+        return None
 
 
 def canonical(root: Node, url: str) -> str:
     n = root.first("link[rel=canonical]")
-    return urljoin(url, n.attrs.get("href", "")) if n else url
+    return (join_url(url, n.attrs.get("href", "")) if n else None) or url
 
 
 def label_value(root: Node, *labels: str) -> str | None:
-    """The value beside a label: the next sibling, the cell of a definition or table, or the rest of the container."""
+    """The value beside a label: the next sibling of the label's element, else what its container holds besides it."""
     wanted = {x.casefold() for x in labels}
     for n in root.walk():
-        for c in n.children:
-            if isinstance(c, str) and " ".join(c.split()).casefold().rstrip(":") in wanted:
-                after = n.following()
-                if after and (value := after[0].text()):
-                    return value
-                if n.parent is not None:
-                    value = re.sub(rf"^{re.escape(c.strip())}\s*:?[\s-]*", "", n.parent.text(), flags=re.I)
-                    if value and value != c.strip():
-                        return value
+        if not any(isinstance(c, str) and " ".join(c.split()).casefold().rstrip(": ") in wanted for c in n.children):
+            continue
+        beside = next((x.text() for x in n.following()[:1]), "")
+        if not beside and n.parent is not None:
+            beside = n.parent.text(lambda x: x is n or x.tag in ("script", "style")).lstrip(":- ")
+        if beside:
+            return beside
     return None
 
 
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: What challenge pages say. Fixed values.
+_CHALLENGE = re.compile(
+    r"\b(?:verify (?:that )?you are human|access denied|checking your browser|(?:complete|solve|enter) (?:(?:the|a) )?captcha|captcha (?:challenge|verification|required))\b", re.I,
+)
+
+
+def _unseen(n: Node) -> bool:
+    return n.tag in ("script", "style", "template") or "hidden" in n.attrs or n.attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(n.attrs.get("style", "")))
+
+
 def interstitial(html: str | None) -> bool:
-    """Challenge and CAPTCHA pages, by what can be seen on them."""
+    """Challenge and CAPTCHA pages, by what a visitor can see on them."""
     root = parse(html)
-    if root.select(".g-recaptcha, .h-captcha, #challenge-form, [data-sitekey], #cf-challenge-running"):
+    if _CHALLENGE.search(root.text(_unseen)):
         return True
-    seen = root.text(INERT).casefold()
-    if re.search(r"verify (?:that )?you are (?:a )?human|checking your browser|enable javascript and cookies to continue|unusual traffic from your", seen):
-        return True
-    return any(re.fullmatch(r"(?:just a moment\.*|access denied|attention required!?|security check)", n.text().casefold()) for n in root.select("h1, h2, title"))
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if n.tag in ("title", "h1", "h2") and re.fullmatch("(?:re)?captcha", n.text(_unseen), re.I):
+            return True
+        src = n.attrs.get("src", "") if n.tag == "iframe" else ""
+        if {"g-recaptcha", "h-captcha"} & set(n.attrs.get("class", "").split()) or "/recaptcha/" in src or "hcaptcha.com" in src:
+            return True
+        todo += [c for c in n.children if isinstance(c, Node) and not _unseen(c)]
+    return False
 
 
 def json_nodes(text: str | None) -> list[dict]:
     """All mappings of a JSON document that lie under the known keys, outermost first; none if it is malformed."""
     try:
         todo = [json.loads(text or "")]
-    except ValueError:
+    except (ValueError, RecursionError):
         return []
     out = []
     while todo:
@@ -175,9 +203,9 @@ def detail_links(html: str | None, url: str, selectors: str, prefixes: list[str]
     """Links that selectors and prefixes allow, without fragments, each once, in order."""
     out: dict[str, None] = {}
     for a in parse(html).select(selectors):
-        link = urldefrag(urljoin(url, a.attrs.get("href", "")))[0]
+        link = urldefrag(join_url(url, a.attrs.get("href", "")) or "")[0]
         path = "/" + link.split("://", 1)[-1].partition("/")[2]
-        if a.attrs.get("href") and any(link.startswith(p) if "://" in p else path.startswith(p) for p in prefixes):
+        if link and a.attrs.get("href") and any(link.startswith(p) if "://" in p else path.startswith(p) for p in prefixes):
             out.setdefault(link)
     return list(out)[:most]
 
@@ -219,7 +247,7 @@ def candidate(node: dict, url: str) -> dict | None:
     offer = (offers[0] if isinstance(offers, list) and offers else offers) or {}
     price = next((node[k] for k in ("price", "fee", "price_text") if node.get(k) is not None), offer.get("price") if isinstance(offer, dict) else offer)
     return {
-        "title": _text(name), "url": urljoin(url, str(_first(node, "url", "eventUrl", "event_url", "permalink", "link") or url)), "starts_at": _text(start),
+        "title": _text(name), "url": join_url(url, str(_first(node, "url", "eventUrl", "event_url", "permalink", "link") or url)) or url, "starts_at": _text(start),
         "ends_at": _text(_first(node, "endDate", "end_time", "endTime", "ends_at", "end_at", "endAt", "end")), "venue": _text(place),
         "city": _text(address.get("addressLocality")) if isinstance(address, dict) else _text(node.get("city")), "organizer": _text(_first(node, "organizer", "host", "organization", "organizerName")),
         "price": _text(price), "state": _text(offer.get("availability")) if isinstance(offer, dict) else None, "parser": "json",
@@ -227,32 +255,34 @@ def candidate(node: dict, url: str) -> dict | None:
 
 
 def candidates(html: str | None, url: str) -> list[dict]:
-    """JSON scripts, then cards, then labels, then the title of the page: the first that gives any."""
+    """All that JSON scripts, cards and labels give, each once by title, url and start; else the title of the page."""
     root = parse(html)
     nodes = [x for s in root.select("script[type*=json]") for x in json_nodes("".join(c for c in s.children if isinstance(c, str)))]
-    found = [c for c in (candidate(n, url) for n in nodes) if c]
     empty = dict.fromkeys(CANDIDATE.names)
-    if not found:
-        found = [empty | {"title": c["title"], "url": url, "starts_at": c["start"], "ends_at": c["end"], "venue": c["venue"], "city": c["city"], "price": c["price"], "parser": "card"} for c in cards(html, "article[data-event], [data-event-card]") if c["title"]]
-    when = label_value(root, "date", "when", "date & time")
-    if not found and when:
-        found = [empty | {"title": title(root), "url": canonical(root, url), "starts_at": when, "venue": label_value(root, "venue", "location", "where"), "organizer": label_value(root, "organizer", "host"), "price": label_value(root, "price", "fee"), "state": label_value(root, "registration", "status"), "parser": "label"}]
-    if not found and title(root):
-        found = [empty | {"title": title(root), "url": canonical(root, url), "parser": "title"}]
-    return found
+    found = [c for c in (candidate(n, url) for n in nodes) if c]
+    found += [empty | {"title": c["title"], "url": url, "starts_at": c["start"], "ends_at": c["end"], "venue": c["venue"], "city": c["city"], "price": c["price"], "parser": "card"} for c in cards(html, "article[data-event], [data-event-card]") if c["title"]]
+    when, said = label_value(root, "date", "when", "date & time"), title(root)
+    if when and said:
+        found.append(empty | {"title": said, "url": canonical(root, url), "starts_at": when, "venue": label_value(root, "venue", "location", "where"), "organizer": label_value(root, "organizer", "host"), "price": label_value(root, "price", "fee"), "state": label_value(root, "registration", "status"), "parser": "label"})
+    if not found and said:
+        found = [empty | {"title": said, "url": canonical(root, url), "parser": "title"}]
+    return list({(c["title"].casefold(), c["url"], c["starts_at"]): c for c in reversed(found)}.values())[::-1]
 
 
 def _column(fn, kind, *cols: Column) -> Column:
-    """An Arrow-batched function of columns."""
+    """An Arrow-batched function of columns; a row on which it fails gives null and leaves the others alone."""
+
+    def one(row: tuple):
+        try:
+            return fn(*(None if isinstance(x, float) and x != x else x for x in row))
+        except (ValueError, RecursionError, AttributeError, TypeError, AssertionError):
+            return None
 
-    def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([fn(*row) for row in zip(*series, strict=True)], dtype=object)
+    @F.pandas_udf(kind)
+    def call(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([one(row) for row in rows.itertuples(index=False, name=None)], dtype=object)
 
-    n = len(cols)
-    args = ", ".join(f"a{i}: pd.Series" for i in range(n))
-    scope: dict = {"run": run, "pd": pd}
-    exec(f"def call({args}) -> pd.Series:\n    return run({', '.join(f'a{i}' for i in range(n))})", scope)  # noqa: S102  Spark reads the number of columns from the signature
-    return F.pandas_udf(scope["call"], kind)(*cols)
+    return call(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(cols))))
 
 
 def page_title(html: Column) -> Column:
@@ -272,7 +302,7 @@ def labelled(html: Column, *labels: str) -> Column:
 
 
 def joined_url(base: Column, link: Column) -> Column:
-    return _column(lambda b, x: None if x is None else urljoin(b or "", x), T.StringType(), base, link)
+    return _column(join_url, T.StringType(), base, link)
 
 
 def links(html: Column, url: Column, selectors: str, prefixes: list[str], most: int) -> Column:

@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import os
 import random
+import time
 
 import duckdb
 import pytest
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from siftwell import catalog
 from siftwell.functions.time import day_bound
 from siftwell.operators.folds import dedupe_fold, pack_chunks, reverted_schedules, trust_merge
+from siftwell.functions import text
+from siftwell.sources import html
 from siftwell.sources.html import parse
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -128,12 +131,19 @@ def test_stream_of_observations(spark, tmp_path):
 def test_events_expire(spark, tmp_path):
     from siftwell.streaming.expiry import expiring
 
-    source, kinds = str(tmp_path / "in"), "event_key long, status string, ends_at timestamp"
-    past, future = dt.datetime(2020, 1, 1), dt.datetime(2090, 1, 1)
-    spark.createDataFrame([(1, "eligible", past), (2, "eligible", future), (3, "rejected", past), (4, "eligible", None)], kinds).write.parquet(source)
-    query = expiring(spark.readStream.schema(kinds).parquet(source)).writeStream.outputMode("update").format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {(r.event_key, r.status) for r in spark.table("expiring").collect()} == {(1, "expired"), (2, "eligible"), (3, "rejected"), (4, "eligible")}
+    source, kinds = str(tmp_path / "in"), "event_key long, status string, ends_at timestamp, observed_at timestamp"
+    past, future, old, new = (dt.datetime(y, 1, 1) for y in (2020, 2090, 2018, 2019))
+    rows = [(1, "eligible", past, old), (2, "eligible", future, old), (3, "rejected", past, old), (4, "eligible", None, new), (4, "rejected", None, old)]
+    spark.createDataFrame(rows, kinds).write.parquet(source)
+    query = expiring(spark.readStream.schema(kinds).parquet(source)).writeStream.outputMode("update").format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    want, found, until = {(1, "expired"), (2, "eligible"), (3, "rejected"), (4, "eligible")}, set(), time.time() + 120
+    try:
+        while found != want and time.time() < until:  # timers keep such a query going, so it is stopped here
+            time.sleep(0.5)
+            found = {(r.event_key, r.status) for r in spark.table("expiring").collect()}
+    finally:
+        query.stop()
+    assert found == want
 
 
 def test_day_bounds():
@@ -144,6 +154,31 @@ def test_day_bounds():
             day_bound(bad, False)
 
 
+def test_ordinary_pages_kill_no_job(spark):
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    pages = [("<p>" * 2000 + "end", "https://a.org"), ('<nav><a href="http://[bad">x</a><a href="/ok">y</a></nav>', "https://a.org"), (deep, "https://a.org"), ('<script type="application/ld+json">' + "[" * 100_000 + "</script>", "https://a.org"),
+             ('<script type="application/ld+json">{"@type": "Event", "name": "E", "url": "http://[bad"}</script><article data-event><h2>Card</h2></article>', "https://a.org/p"), (None, None), ("", "")]
+    df = spark.createDataFrame(pages, "html string, url string")
+    rows = df.select(html.page_title(F.col("html")), html.page_candidates(F.col("html"), F.col("url")).alias("c"), html.is_interstitial(F.col("html")), html.links(F.col("html"), F.col("url"), "nav a", ["/"], 4).alias("l"), html.labelled(F.col("html"), "venue").alias("v")).collect()
+    assert rows[1].l == ["https://a.org/ok"] and [(c.title, c.url, c.parser) for c in rows[4].c] == [("E", "https://a.org/p", "json"), ("Card", "https://a.org/p", "card")]
+
+
+def test_all_texts_of_an_order_are_combined(spark):
+    texts = {}
+    for r in sorted(spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").collect()):
+        old = texts.get(r.l_orderkey)
+        texts[r.l_orderkey] = r.l_returnflag if old is None or old == r.l_returnflag else f"{old}; {r.l_returnflag}"
+    want = {}
+    for t in texts.values():
+        want[t] = want.get(t, 0) + 1
+    assert {r.text: r.n for r in catalog.QUERIES["text_combine"](spark, SF).collect()} == want
+
+
+def test_phrases_in_other_scripts(spark):
+    df = spark.createDataFrame([("“ai” works",), ("aïai",), ("né ai",), ("ñai",), ("ai٣",), ("ai—x",), ("a\u0301ai",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.any_phrase(F.col("t"), ["ai"])).collect()] == [True, False, True, False, False, True, False, False]
+
+
 def test_selectors():
     root = parse("<div id=a class='x y'><p data-k='12'>t</p></div><p>u</p>")
     assert [n.text() for n in root.select("div.x p[data-k*='1'], p")] == ["t", "u"] and root.first("#a") and not root.first("div.z")
