@@ -73,49 +73,73 @@ def trust_merge(existing: DataFrame, incoming: DataFrame, now: Column, fields: t
     return folded.select("event_key", *(F.col(f"e.{c}") for c in cols))
 
 
+MOST_ALIASES = 10_000
+
+
 def organizer_match(candidates: DataFrame, organizers: DataFrame, aliases: DataFrame, domains: DataFrame) -> DataFrame:
     """candidates: id, organizer, host. organizers: position, name, trust. aliases: position, alias. domains: position,
-    domain. The lists are configuration and small; hosts meet domains by equality of suffixes."""
+    domain. Aliases are configuration: MOST_ALIASES at most, which go to every task. Hosts meet domains by equality of
+    suffixes."""
+    if aliases.limit(MOST_ALIASES + 1).count() > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases")
     from siftwell.functions.text import casefold
     from siftwell.functions.url import host_suffixes
 
     by_alias = candidates.join(F.broadcast(aliases), F.expr(r"coalesce(lower(organizer) rlike concat('(?U)(?<!\\w)\\Q', lower(alias), '\\E(?!\\w)'), false)")).select("id", "position", F.lit(True).alias("a"), F.lit(False).alias("d"))
-    by_domain = candidates.select("id", F.explode(host_suffixes(casefold(F.col("host")))).alias("domain")).join(F.broadcast(domains), "domain").select("id", "position", F.lit(False).alias("a"), F.lit(True).alias("d"))
+    by_domain = candidates.select("id", F.explode(host_suffixes(casefold(F.col("host")))).alias("domain")).join(domains, "domain").select("id", "position", F.lit(False).alias("a"), F.lit(True).alias("d"))
     flags = by_alias.unionByName(by_domain).groupBy("id", "position").agg(F.bool_or("a").alias("a"), F.bool_or("d").alias("d"))
     tier = F.when(F.col("a") & F.col("d"), 1).when(F.col("d"), 2).otherwise(3)
     best = flags.withColumn("tier", tier).groupBy("id").agg(F.min(F.struct("tier", "position")).alias("m")).select("id", "m.tier", "m.position")
-    found = best.join(F.broadcast(organizers), "position")
+    found = best.join(organizers, "position")
     out = candidates.select("id").join(found, "id", "left")
     return out.select("id", "name", F.when(F.col("tier") == 3, "low").otherwise(F.coalesce("trust", F.lit("low"))).alias("trust"), F.coalesce(F.col("tier") == 1, F.lit(False)).alias("explicit_identity"))
 
 
 def identity_resolve(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Incoming rows (seq, identity, canonical_url, normalized_key) meet existing ones (id and the same) by identity,
-    then url, then key; a key does not join two different identities."""
-    e = existing.select("id", *(F.col(c).alias(f"e_{c}") for c in ("identity", "canonical_url", "normalized_key")))
+    then url, then key; a key does not join two different identities. Of several the smallest id counts.
+
+    Existing rows are reduced to one for each value before they are joined, so a value that many rows share meets an
+    incoming row once.
+    """
+    i, key = F.col("identity"), "normalized_key"
+
+    def first(rows: DataFrame, *names: str) -> DataFrame:
+        return rows.dropna(subset=list(names)).groupBy(*names).agg(F.min("id").alias("id"))
+
+    found = [
+        (1, incoming, first(existing, "identity"), ["identity"]),
+        (2, incoming, first(existing, "canonical_url"), ["canonical_url"]),
+        (3, incoming.filter(i.isNull()), first(existing, key), [key]),
+        (3, incoming.filter(i.isNotNull()), first(existing.filter(i.isNull()), key), [key]),
+        (3, incoming.filter(i.isNotNull()), first(existing, key, "identity"), [key, "identity"]),
+    ]
     hits = None
-    for tier, c in enumerate(("identity", "canonical_url", "normalized_key"), 1):
-        one = incoming.join(e, F.col(c) == F.col(f"e_{c}"))
-        if c == "normalized_key":
-            one = one.filter(F.col("identity").isNull() | F.col("e_identity").isNull() | (F.col("identity") == F.col("e_identity")))
-        one = one.select("seq", F.struct(F.lit(tier).alias("tier"), "id").alias("m"))
+    for tier, rows, known, names in found:
+        one = rows.join(known, names).select("seq", F.struct(F.lit(tier).alias("tier"), "id").alias("m"))
         hits = one if hits is None else hits.unionByName(one)
     best = hits.groupBy("seq").agg(F.min("m").alias("m")).select("seq", F.col("m.id").alias("event_id"), F.col("m.tier").alias("tier"))
     return incoming.select("seq").join(best, "seq", "left")
 
 
 def pack_chunks(blocks: Column, limit: int = CHUNK_CHARS) -> Column:
-    """Blocks joined by blank lines into messages of at most ``limit`` characters, greedily; a longer block is cut."""
+    """Blocks joined by blank lines into messages of at most ``limit`` characters, greedily. A longer block is cut at its
+    last line feed within the limit, else at the limit; line feeds at the cut go."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
+    def cut(acc: Column, i: Column) -> Column:
+        head = F.left(acc["cur"], F.lit(limit))
+        back = F.instr(F.reverse(head), "\n")  # 0 where there is none; a line feed in front is none either
+        at = F.when((back == 0) | (back == limit), limit).otherwise(limit - back)
+        rest = F.regexp_replace(F.substring(acc["cur"], at + 1, F.length(acc["cur"])), "^\n+", "")
+        return F.when(F.length(acc["cur"]) > limit, F.struct(F.array_append(acc["done"], F.left(acc["cur"], at)).alias("done"), rest.alias("cur"))).otherwise(acc)
+
     def step(acc: Column, b: Column) -> Column:
         joined = F.when(acc["cur"] == "", b).otherwise(F.concat(acc["cur"], F.lit("\n\n"), b))
-        fits = F.length(joined) <= limit
         flushed = F.when(acc["cur"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"]))
-        n = F.greatest(F.ceil(F.length(b) / limit), F.lit(1)).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(b, i * limit + 1, F.lit(limit)))
-        long = F.concat(flushed, F.slice(parts, F.lit(1), n - 1))
-        return F.struct(F.when(fits, acc["done"]).otherwise(long).alias("done"), F.when(fits, joined).otherwise(F.element_at(parts, -1)).alias("cur"))
+        whole = F.struct(flushed.alias("done"), b.alias("cur"))
+        parts = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b))), whole, cut)  # a cut takes a character at least
+        return F.when(F.length(joined) <= limit, F.struct(acc["done"].alias("done"), joined.alias("cur"))).when(F.length(b) <= limit, whole).otherwise(parts)
 
     return F.aggregate(blocks, start, step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"])))
 

@@ -115,7 +115,14 @@ add("upsert_merge", upsert_merge)
 add("provenance_upsert", lambda spark, sf: observations(spark, sf).groupBy("event_key", F.col("title").alias("source_url")).agg(F.max_by("registration_state", F.struct("observed_at", "seq")).alias("state"), F.max("observed_at").alias("observed_at")), "SELECT user_id AS event_key, event_type AS source_url, last(CASE event_id % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'unknown' WHEN 2 THEN 'closed' WHEN 3 THEN 'waitlist' ELSE 'cancelled' END ORDER BY ts, event_id) AS state, max(ts) AS observed_at FROM events AS e GROUP BY 1, 2")
 add("provenance_ok", lambda spark, sf: read(spark, sf, "events").filter(F.col("event_type").isin("view", "purchase") & (F.get_json_object("props", "$.k").cast("int") > 10)).select("event_id"), "SELECT event_id FROM events AS e WHERE event_type IN ('view', 'purchase') AND CAST(json_extract_string(props, '$.k') AS INTEGER) > 10")
 add("refresh_pick_source", lambda spark, sf: observations(spark, sf).filter("status <> 'rejected'").groupBy("event_key").agg(F.max_by("seq", F.struct(F.when(F.col("trust") == "high", 3).when(F.col("trust") == "medium", 2).otherwise(1), "observed_at", "seq")).alias("seq")), "SELECT event_key, seq FROM (SELECT user_id AS event_key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, ts DESC, event_id DESC) AS no FROM events AS e WHERE event_id % 3 <> 2) AS t WHERE no = 1")
-add("refresh_match", lambda spark, sf: read(spark, sf, "pages").select(F.col("page_id").alias("a"), U.identity(F.col("url")).alias("i")).join(read(spark, sf, "pages").select(F.col("page_id").alias("b"), U.identity(F.concat("url", F.lit("#x"))).alias("i")), "i").select("a", "b"), f"WITH n AS (SELECT page_id, {scalars._PLAIN} AS i FROM pages AS p) SELECT x.page_id AS a, y.page_id AS b FROM n AS x JOIN n AS y ON x.i = y.i")
+def refresh_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages met again and the event each identity is known by, its smallest id."""
+    pages = read(spark, sf, "pages")
+    known = pages.groupBy(U.identity(F.col("url")).alias("i")).agg(F.min("page_id").alias("b"))
+    return pages.select(F.col("page_id").alias("a"), U.identity(F.concat("url", F.lit("#x"))).alias("i")).join(known, "i").select("a", "b")
+
+
+add("refresh_match", refresh_match, f"WITH n AS (SELECT page_id, {scalars._PLAIN} AS i FROM pages AS p) SELECT page_id AS a, min(page_id) OVER (PARTITION BY i) AS b FROM n AS x")
 add("revert_url", lambda spark, sf: read(spark, sf, "pages").filter(~U.same_destination(F.col("url"), F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.col("page_id") % 2 == 0, "#again").otherwise("/other")))).select("page_id"), "SELECT page_id FROM pages AS p WHERE page_id % 2 <> 0 AND NOT contains(url, 'utm_')")
 
 
@@ -150,7 +157,7 @@ def digest_render(spark: SparkSession, sf: str) -> DataFrame:
 
 add("digest_render", digest_render, "SELECT o_orderkey, concat_ws(chr(10), '• ' || c_name, strftime(o_orderdate + INTERVAL 330 MINUTE, '%a, %d %b · %-I:%M %p IST'), CASE WHEN o_orderkey % 2 = 0 THEN replace(lower(c_mktsegment), '_', ' ') END, 'Score ' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR)) AS block FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey")
 add("chunk_pack", lambda spark, sf: read(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("blocks")).select("conv_id", F.posexplode(folds.pack_chunks(F.col("blocks"))).alias("chunk_index", "body")))
-add("span_overlap", lambda spark, sf: (lambda c: c.alias("a").join(F.broadcast(c.alias("b")), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.lo") < F.col("b.hi") - 5) & (F.col("a.hi") > F.col("b.lo") - 5) & (F.col("a.turn") != F.col("b.turn"))).select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn"), F.col("b.turn").alias("other")))(read(spark, sf, "conversations").withColumn("lo", F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("hi", F.col("lo") + F.length("text")).select("conv_id", "turn", "lo", "hi")), "WITH c AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, length(text) AS n FROM conversations AS c0) SELECT a.conv_id, a.turn, b.turn AS other FROM c AS a JOIN c AS b ON a.conv_id = b.conv_id AND a.lo < b.lo + b.n - 5 AND a.lo + a.n > b.lo - 5 AND a.turn <> b.turn")
+add("span_overlap", lambda spark, sf: (lambda c: c.alias("a").join(c.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.lo") < F.col("b.hi") - 5) & (F.col("a.hi") > F.col("b.lo") - 5) & (F.col("a.turn") != F.col("b.turn"))).select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn"), F.col("b.turn").alias("other")))(read(spark, sf, "conversations").withColumn("lo", F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("hi", F.col("lo") + F.length("text")).select("conv_id", "turn", "lo", "hi")), "WITH c AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, length(text) AS n FROM conversations AS c0) SELECT a.conv_id, a.turn, b.turn AS other FROM c AS a JOIN c AS b ON a.conv_id = b.conv_id AND a.lo < b.lo + b.n - 5 AND a.lo + a.n > b.lo - 5 AND a.turn <> b.turn")
 add("event_payload", lambda spark, sf: read(spark, sf, "pages").select("page_id", F.to_json(F.struct("page_id", U.safe_outbound(F.col("url")).alias("url"))).alias("payload")), f"SELECT page_id, '{{\"page_id\":' || CAST(page_id AS VARCHAR) || ',\"url\":\"' || {scalars._PLAIN} || '\"}}' AS payload FROM pages AS p")
 
 

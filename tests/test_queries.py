@@ -97,6 +97,8 @@ def test_texts_are_combined_in_order(spark):
 def test_chunks(spark):
     df = spark.createDataFrame([(["a" * 5, "b" * 5, "c" * 12, "d"],), ([],), (["e" * 25],)], "blocks array<string>")
     assert [r[0] for r in df.select(pack_chunks(F.col("blocks"), 12)).collect()] == [["aaaaa\n\nbbbbb", "c" * 12, "d"], [], ["e" * 12, "e" * 12, "e"]]
+    df = spark.createDataFrame([(["ab", "one\ntwo three\n\nfour five six", "z"],), (["\n" + "x" * 14],)], "blocks array<string>")
+    assert [r[0] for r in df.select(pack_chunks(F.col("blocks"), 12)).collect()] == [["ab", "one", "two three\n", "four five si", "x\n\nz"], ["\n" + "x" * 11, "xxx"]]
 
 
 def test_reverted_schedules(spark):
