@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import table_path
+from siftwell.llm.common import materialize, table_path
 from siftwell.llm.tokens import UnitEncoder, tokenizer_json
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
@@ -74,5 +74,6 @@ def token_counts(
     missing = texts.join(known.select("content"), "content", "left_anti").repartition("content").sortWithinPartitions("content")
     missing.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version).select("content", "n_tokens").dropDuplicates(["content"])
+    counts = materialize(counts, "token-counts")  # stored, so that the join below can split a content that many rows share
     rows = docs.select(F.col(id_col).alias("__id"), F.sha2(text, 256).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
     return rows.join(counts, "content").select(F.col("__id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
