@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,19 +98,26 @@ def normalize(url: Column) -> Column:
     return F.when(is_valid(url), _built(url, path(url), _kept(query(url), TRACKING_KEYS, TRACKING_PREFIX), _event_route(url)))
 
 
-def meetup_identity(url: Column) -> Column:
-    n = normalize(url)
+def _once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once."""
+    return F.transform(F.array(x), then)[0]
+
+
+def _meetup(n: Column) -> Column:
     ok = host(n).isin("meetup.com", "www.meetup.com") & path(n).rlike(r"^/(?:[^/]+/)?events/[^/]+/?$")
     return F.when(ok, _built(n, F.regexp_replace(path(n), "/+$", ""), _kept(query(n), MEETUP_TRACKING_KEYS, None), F.lit("")))
 
 
+def meetup_identity(url: Column) -> Column:
+    return _once(normalize(url), _meetup)
+
+
 def webinar_identity(url: Column) -> Column:
-    n = normalize(url)
-    return F.when(_event_route(n) != "", n)
+    return _once(normalize(url), lambda n: F.when(_event_route(n) != "", n))
 
 
 def identity(url: Column) -> Column:
-    return F.coalesce(meetup_identity(url), normalize(url), url)
+    return F.coalesce(_once(normalize(url), lambda n: F.coalesce(_meetup(n), n)), url)
 
 
 def same_destination(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.constants import CITY_WORDS, DASHBOARD_LIMIT
+from siftwell.constants import CITY_WORDS, DASHBOARD_LIMIT, TERMINAL_STATES
 from siftwell.functions.text import phrase
 
 
@@ -88,20 +88,42 @@ def due(sources: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
     return sources.join(last, "source_name", "left").withColumn("due", F.col("last").isNull() | (age >= F.col("cadence_hours") * 3_600_000_000))
 
 
+def score(topic: Column, kind: Column, trust: Column, local: Column, format_: Column, state: Column, speakers: Column, deadline: Column, opened: Column, now: Column) -> Column:
+    """0 to 15 points."""
+    week = F.make_dt_interval(F.lit(7))
+    parts = [
+        F.when(topic, 3), F.when(kind != "unknown", 2), F.when(trust == "high", 2).when(trust == "medium", 1), F.when(local, 2).when(format_ == "online", 1),
+        F.when(state == "open", 2).when(state == "waitlist", 1), F.when(speakers > 0, 1), F.when(deadline.between(now, now + week), 2), F.when(opened >= now - week, 1),
+    ]
+    return sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
+
+
 def assess(rows: DataFrame, now: Column, minimum: int) -> DataFrame:
-    """Status and reason: the first rule that applies decides. Rows carry the flags of the rules as columns."""
-    def rules(n: int) -> Column:
-        out = None
-        table = (
-            (F.col("paid"), "rejected", F.lit("Explicitly paid")), (F.col("excluded"), "rejected", F.lit("Excluded category")), (F.col("ineligible"), "rejected", F.lit("Incompatible eligibility")),
-            (F.col("registration_state").isin("cancelled", "sold_out", "closed", "postponed"), "rejected", F.concat(F.lit("Registration is "), F.col("registration_state"))),
-            (F.coalesce(F.col("registration_deadline") < now, F.lit(False)), "needs_review", F.lit("Registration deadline passed")),
-            (~F.col("in_window"), "needs_review", F.lit("Outside date window")), (~F.col("place_ok"), "rejected", F.lit("Not Bengaluru or trusted global online")),
-            (F.col("ambiguous"), "needs_review", F.lit("Ambiguous classification")), (F.col("score") < minimum, "needs_review", F.lit("Below minimum score")),
-        )
-        for test, *said in table:
-            said = [F.lit(said[0]), said[1]]
-            out = F.when(test, said[n]) if out is None else out.when(test, said[n])
-        return out.otherwise((F.lit("eligible"), F.lit("Eligible"))[n])
-
-    return rows.withColumn("status", rules(0)).withColumn("reason", rules(1))
+    """Status, reason, score and approval_required: the first rule that applies decides.
+
+    Rows carry the flags of the rules as columns: paid, excluded, ineligible, in_window, place_ok, ambiguous, approval, the
+    score, and the verdict on ambiguous rows, which is null without a classifier, else unavailable, no or yes. Rows that are
+    decided before their score counts have 0, and approval is told of those only that may still be attended.
+    """
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    unclear, verdict = is_(F.col("ambiguous")), F.col("verdict")
+
+    def result(status: str, reason: str | Column, scored: bool = False, approval: bool = False) -> Column:
+        points = F.col("score") if scored else F.lit(0)
+        return F.struct(F.lit(status).alias("status"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), points.cast("long").alias("score"), (is_(F.col("approval")) if approval else F.lit(False)).alias("approval_required"))
+
+    # Reasons are stored with the events.
+    out = (
+        F.when(is_(F.col("paid")), result("rejected", "Explicitly paid admission")).when(is_(F.col("excluded")), result("rejected", "Excluded event category"))
+        .when(is_(F.col("ineligible")), result("rejected", "Explicitly incompatible eligibility"))
+        .when(F.col("registration_state").isin(*TERMINAL_STATES), result("rejected", F.concat(F.lit("Registration is "), F.col("registration_state"))))
+        .when(is_(F.col("registration_deadline") < now), result("needs_review", "Registration deadline has passed"))
+        .when(~is_(F.col("in_window")), result("needs_review", "Missing or out-of-window start time"))
+        .when(~is_(F.col("place_ok")), result("rejected", "Not Bengaluru or trusted global online"))
+        .when(unclear & verdict.isNull(), result("needs_review", "Ambiguous technical fit", approval=True))
+        .when(unclear & (verdict == "unavailable"), result("needs_review", "Ambiguous candidate; AI classification unavailable", approval=True))
+        .when(unclear & (verdict == "no"), result("rejected", "AI classification rejected ambiguous candidate"))
+        .when(F.col("score") < minimum, result("needs_review", "Below deterministic ranking threshold", True, True))
+        .otherwise(result("eligible", "Technical event matching location and time policy", True, True))
+    )
+    return rows.withColumn("__a", out).drop("score").select("*", "__a.*").drop("__a")

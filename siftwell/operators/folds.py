@@ -10,7 +10,8 @@ from siftwell.constants import CHUNK_CHARS, SEVERITY, TERMINAL_STATES, TRUST_RAN
 from siftwell.functions.text import combine_all, is_paid
 
 
-def _rank(c: Column, table: dict[str, int]) -> Column:
+def rank(c: Column, table: dict[str, int]) -> Column:
+    """Place of a value in a table, 0 for others."""
     out = F.lit(0)
     for name, n in table.items():
         out = F.when(c == name, n).otherwise(out)
@@ -19,15 +20,21 @@ def _rank(c: Column, table: dict[str, int]) -> Column:
 
 def dedupe_fold(rows: DataFrame, key: str = "identity", order: str = "seq") -> DataFrame:
     """Cross-postings of one event, folded in their order. Every field is an aggregate of its own: last value there,
-    texts combined, worst state, earliest date, any flag, distinct values in order of appearance."""
-    last = lambda c: F.max_by(c, F.when((F.col(c).isNotNull()) & (F.col(c) != ""), F.col(order)))
+    texts combined, worst state, earliest date, any flag, distinct values in order of appearance.
+
+    Columns that rows may lack: source_url, country, ends_at, first_observed_open_at, and what structured data say
+    themselves, schema_format, schema_starts_at and schema_ends_at (instants with a clock time), which come before any other value.
+    """
+    have = lambda *names: [c for c in names if c in rows.columns]
+    last = lambda c: F.max_by(c, F.when((F.col(c).isNotNull()) & (F.col(c).cast("string") != ""), F.col(order)))
     in_order = F.array_sort(F.collect_list(F.struct(order, "description", "price_text", "eligibility_text", "speakers", "topics")))
-    state = F.max_by("registration_state", F.struct(_rank(F.col("registration_state"), SEVERITY), -F.col(order)))
-    known = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c) != "unknown", F.col(order))), F.lit("unknown"))
+    state = F.max_by("registration_state", F.struct(rank(F.col("registration_state"), SEVERITY), -F.col(order)))
+    known = lambda c: F.max_by(c, F.when(F.col(c) != "unknown", F.col(order)))
+    schema = lambda c, how: [how(f"schema_{c}")] if f"schema_{c}" in rows.columns else []
     folded = rows.groupBy(key).agg(
-        *(last(c).alias(c) for c in ("title", "organizer", "venue", "city", "registration_url")), known("format").alias("format"), known("event_type").alias("event_type"),
-        state.alias("registration_state"), *(F.min(c).alias(c) for c in ("registration_deadline", "registration_opened_at")),
-        F.max_by("starts_at", F.when(F.col("starts_at").isNotNull(), F.col(order))).alias("starts_at"), F.bool_or("is_explicitly_paid").alias("flag"), in_order.alias("all"),
+        *(last(c).alias(c) for c in ("title", "organizer", "venue", "city", "registration_url", *have("source_url", "country"))), F.coalesce(*schema("format", known), known("format"), F.lit("unknown")).alias("format"),
+        F.coalesce(known("event_type"), F.lit("unknown")).alias("event_type"), state.alias("registration_state"), *(F.min(c).alias(c) for c in ("registration_deadline", "registration_opened_at", *have("first_observed_open_at"))),
+        *(F.coalesce(*schema(c, last), last(c)).alias(c) for c in ("starts_at", *have("ends_at"))), F.bool_or("is_explicitly_paid").alias("flag"), in_order.alias("all"),
     )
     column = lambda c: F.col(f"all.{c}")  # noqa: E731  the field of each row, in order
     texts = {c: combine_all(column(c)) for c in ("description", "price_text", "eligibility_text")}
@@ -52,7 +59,7 @@ def trust_merge(existing: DataFrame, incoming: DataFrame, now: Column, fields: t
     grouped = both.groupBy("event_key").agg(F.array_sort(F.collect_list("r"), lambda a, b: F.when(a["seq"] == -1, -1).when(b["seq"] == -1, 1).when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).when(a["seq"] < b["seq"], -1).otherwise(1)).alias("rs"))
 
     def step(acc: Column, x: Column) -> Column:
-        wins = _rank(x["trust"], TRUST_RANK) >= _rank(acc["trust"], TRUST_RANK)
+        wins = rank(x["trust"], TRUST_RANK) >= rank(acc["trust"], TRUST_RANK)
         there = lambda v: v.isNotNull() & (v.cast("string") != "")
         taken = {f: F.when(there(x[f]) & (~there(acc[f]) | wins), x[f]).otherwise(acc[f]) for f in fields}
         end = x["status"] != "rejected"
@@ -66,7 +73,7 @@ def trust_merge(existing: DataFrame, incoming: DataFrame, now: Column, fields: t
             F.when(ends_at < now, "expired").when(refused | ~trusted, acc["status"])
             .when((acc["status"] == "eligible") & (x["status"] == "needs_review"), acc["status"]).otherwise(x["status"])
         )
-        trust = F.when(_rank(x["trust"], TRUST_RANK) > _rank(acc["trust"], TRUST_RANK), x["trust"]).otherwise(acc["trust"])
+        trust = F.when(rank(x["trust"], TRUST_RANK) > rank(acc["trust"], TRUST_RANK), x["trust"]).otherwise(acc["trust"])
         return F.struct(acc["at"].alias("at"), acc["seq"].alias("seq"), *(taken[f].alias(f) for f in fields), state.alias("registration_state"), trust.alias("trust"), F.greatest(acc["score"], x["score"]).alias("score"), status.alias("status"), ends_at.alias("ends_at"))
 
     folded = grouped.select("event_key", F.aggregate(F.slice("rs", F.lit(2), F.size("rs")), F.element_at("rs", 1), step).alias("e"))
@@ -76,47 +83,64 @@ def trust_merge(existing: DataFrame, incoming: DataFrame, now: Column, fields: t
 MOST_ALIASES = 10_000
 
 
-def organizer_match(candidates: DataFrame, organizers: DataFrame, aliases: DataFrame, domains: DataFrame) -> DataFrame:
-    """candidates: id, organizer, host. organizers: position, name, trust. aliases: position, alias. domains: position,
-    domain. Aliases are configuration: MOST_ALIASES at most, which go to every task. Hosts meet domains by equality of
-    suffixes."""
+def organizer_match(candidates: DataFrame, organizers: DataFrame, aliases: DataFrame, domains: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """candidates: id, organizer, host, and source_name with profiles. organizers: position, name, trust, perhaps
+    online_allowed. aliases: position, alias. domains: position, domain. profiles: position, source_name.
+
+    An alias confirmed by a domain or a profile comes first, then a domain, an alias, a profile; of one kind the first
+    organizer. Only a domain, or a profile with an alias, gives an organizer's trust and its permission for online events.
+    Aliases are configuration: MOST_ALIASES at most, which go to every task and meet each distinct label once. Hosts meet
+    domains by equality of suffixes.
+    """
     if aliases.limit(MOST_ALIASES + 1).count() > MOST_ALIASES:
         raise ValueError(f"more than {MOST_ALIASES} aliases")
     from siftwell.functions.text import casefold
     from siftwell.functions.url import host_suffixes
 
-    by_alias = candidates.join(F.broadcast(aliases), F.expr(r"coalesce(lower(organizer) rlike concat('(?U)(?<!\\w)\\Q', lower(alias), '\\E(?!\\w)'), false)")).select("id", "position", F.lit(True).alias("a"), F.lit(False).alias("d"))
-    by_domain = candidates.select("id", F.explode(host_suffixes(casefold(F.col("host")))).alias("domain")).join(domains, "domain").select("id", "position", F.lit(False).alias("a"), F.lit(True).alias("d"))
-    flags = by_alias.unionByName(by_domain).groupBy("id", "position").agg(F.bool_or("a").alias("a"), F.bool_or("d").alias("d"))
-    tier = F.when(F.col("a") & F.col("d"), 1).when(F.col("d"), 2).otherwise(3)
+    def flagged(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.select("id", "position", *(F.lit(k == kind).alias(k) for k in "adp"))
+
+    named = F.expr(r"coalesce(lower(organizer) rlike concat('(?U)(?<!\\w)\\Q', lower(alias), '\\E(?!\\w)'), false)")
+    labels = candidates.select("organizer").dropna().distinct().join(F.broadcast(aliases), named).select("organizer", "position").distinct()
+    parts = flagged(candidates.join(labels, "organizer"), "a")
+    parts = parts.unionByName(flagged(candidates.select("id", F.explode(host_suffixes(casefold(F.col("host")))).alias("domain")).join(domains, "domain"), "d"))
+    if profiles is not None:
+        parts = parts.unionByName(flagged(candidates.join(profiles, "source_name"), "p"))
+    flags = parts.groupBy("id", "position").agg(*(F.bool_or(k).alias(k) for k in "adp"))
+    sure = F.col("d") | F.col("p")
+    tier = F.when(F.col("a") & sure, 1).when(F.col("d"), 2).when(F.col("a"), 3).otherwise(4)
     best = flags.withColumn("tier", tier).groupBy("id").agg(F.min(F.struct("tier", "position")).alias("m")).select("id", "m.tier", "m.position")
-    found = best.join(organizers, "position")
-    out = candidates.select("id").join(found, "id", "left")
-    return out.select("id", "name", F.when(F.col("tier") == 3, "low").otherwise(F.coalesce("trust", F.lit("low"))).alias("trust"), F.coalesce(F.col("tier") == 1, F.lit(False)).alias("explicit_identity"))
+    online = F.coalesce("online_allowed", F.lit(False)) if "online_allowed" in organizers.columns else F.lit(False)
+    out = candidates.select("id").join(best.join(organizers.withColumn("online_allowed", online), "position"), "id", "left")
+    explicit = F.coalesce(F.col("tier") <= 2, F.lit(False))
+    return out.select("id", "name", F.when(explicit, F.coalesce("trust", F.lit("low"))).otherwise("low").alias("trust"), F.coalesce(explicit & F.col("online_allowed"), F.lit(False)).alias("online_allowed"), explicit.alias("explicit_identity"))
 
 
 def identity_resolve(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Incoming rows (seq, identity, canonical_url, normalized_key) meet existing ones (id and the same) by identity,
-    then url, then key; a key does not join two different identities. Of several the smallest id counts.
+    """Incoming rows (seq, identity, canonical_url, normalized_key, perhaps webinar) meet existing ones (id and the same) by
+    identity, then url, then key -> (seq, event_id, tier).
 
-    Existing rows are reduced to one for each value before they are joined, so a value that many rows share meets an
-    incoming row once.
+    Of several the smallest id counts; of one identity the best by the column ``rank`` of the existing rows, if there is one. The
+    event of a key is not met if it has another identity, or another webinar. Existing rows are reduced to one for each value
+    before they are joined, so a value that many rows share meets an incoming row once.
     """
-    i, key = F.col("identity"), "normalized_key"
-
-    def first(rows: DataFrame, *names: str) -> DataFrame:
-        return rows.dropna(subset=list(names)).groupBy(*names).agg(F.min("id").alias("id"))
-
-    found = [
-        (1, incoming, first(existing, "identity"), ["identity"]),
-        (2, incoming, first(existing, "canonical_url"), ["canonical_url"]),
-        (3, incoming.filter(i.isNull()), first(existing, key), [key]),
-        (3, incoming.filter(i.isNotNull()), first(existing.filter(i.isNull()), key), [key]),
-        (3, incoming.filter(i.isNotNull()), first(existing, key, "identity"), [key, "identity"]),
-    ]
+    for name in ("identity", "webinar"):
+        incoming = incoming if name in incoming.columns else incoming.withColumn(name, F.lit(None).cast("string"))
+        existing = existing if name in existing.columns else existing.withColumn(name, F.lit(None).cast("string"))
+    if "rank" not in existing.columns:
+        existing = existing.withColumn("rank", F.lit(0))
+
+    def first(name: str, *more: str) -> DataFrame:
+        row = F.struct("id", *(F.col(c).alias(f"its_{c}") for c in more))
+        ranked = (F.col("rank") if name == "identity" else F.lit(0)).alias("rank")
+        of_rank = existing.dropna(subset=[name]).groupBy(name, ranked).agg(F.min_by(row, "id").alias("m"))
+        return of_rank.groupBy(name).agg(F.max_by("m", "rank").alias("m")).select(name, "m.*")
+
+    other = lambda c: F.coalesce(F.col(c) != F.col(f"its_{c}"), F.lit(False))
+    by_key = incoming.join(first("normalized_key", "identity", "webinar"), "normalized_key").filter(~(other("identity") | other("webinar")))
     hits = None
-    for tier, rows, known, names in found:
-        one = rows.join(known, names).select("seq", F.struct(F.lit(tier).alias("tier"), "id").alias("m"))
+    for tier, rows in enumerate((incoming.join(first("identity"), "identity"), incoming.join(first("canonical_url"), "canonical_url"), by_key), 1):
+        one = rows.select("seq", F.struct(F.lit(tier).alias("tier"), "id").alias("m"))
         hits = one if hits is None else hits.unionByName(one)
     best = hits.groupBy("seq").agg(F.min("m").alias("m")).select("seq", F.col("m.id").alias("event_id"), F.col("m.tier").alias("tier"))
     return incoming.select("seq").join(best, "seq", "left")

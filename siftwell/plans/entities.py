@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as X
 from siftwell.functions import url as U
 from siftwell.functions.time import epoch_millis, ist_display
-from siftwell.operators import folds
+from siftwell.operators import folds, ingest
 from siftwell.plans import scalars
 from siftwell.plans.relational import read
 from siftwell.sources import html as H
@@ -112,6 +112,31 @@ def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("upsert_merge", upsert_merge)
+def material_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The change log of all observations, merged by what is known of each event."""
+    o = observations(spark, sf).withColumns({"canonical_url": F.concat(F.lit("https://a.org/"), F.col("event_key").cast("string")), "source_url": F.lit("https://a.org"), "reason": F.lit("r"), "price_text": F.when(F.col("seq") % 4 == 0, "Free"), "starts_at": F.date_trunc("week", "observed_at") + F.make_dt_interval(F.lit(90))})
+    _, changes, _ = ingest.merge_observations(spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in ingest.EVENT.items())), o.withColumnRenamed("trust", "organizer_trust"), F.lit(dt.datetime(2024, 1, 31)).cast("timestamp"))
+    return changes.select("event_key", "seq", "change_type", "old_value", "new_value")
+
+
+add("material_changes", material_changes)
+
+
+def assess_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as candidates of two organizers, assessed without a classifier."""
+    now, k = dt.datetime(2026, 6, 1), F.col("page_id")
+    none = {c: F.lit(None).cast(t) for c, t in (ingest.FACTS | ingest.GUARDED | ingest.LISTS).items()}
+    c = read(spark, sf, "pages").select(k.alias("id"), F.col("url").alias("canonical_url"), F.lit("feed").alias("source_name"), F.lit(False).alias("is_explicitly_paid")).withColumns(none)
+    k = F.col("id")
+    c = c.withColumns({"title": F.when(k % 3 == 0, "Python talk").otherwise("Evening"), "city": F.when(k % 2 == 0, "Bangalore"), "format": F.lit("online"), "registration_state": F.when(k % 5 == 0, "closed").otherwise("open"), "event_type": F.when(k % 7 == 0, "unknown").otherwise("talk"), "starts_at": F.lit(now + dt.timedelta(days=10)).cast("timestamp")})
+    o = spark.createDataFrame([(1, "Example", "high", True), (2, "Net", "medium", False)], "position int, name string, trust string, online_allowed boolean")
+    out = ingest.assess_candidates(c, o, o.select("position", F.col("name").alias("alias")), spark.createDataFrame([(1, "example.org"), (2, "example.net")], "position int, domain string"), F.lit(now).cast("timestamp"), topics=("python",))
+    return out.select(F.col("id").alias("page_id"), "status", "reason", "score", "organizer_trust")
+
+
+add("assess_pages", assess_pages, f"""WITH c AS (SELECT page_id AS k, {scalars._HOST} AS h FROM pages AS p0), t AS (SELECT k, CASE WHEN h = 'example.org' OR ends_with(h, '.example.org') THEN 'high' WHEN h = 'example.net' OR ends_with(h, '.example.net') THEN 'medium' ELSE 'low' END AS trust FROM c AS x),
+ s AS (SELECT k, trust, CASE WHEN k % 5 = 0 THEN 'rejected|Registration is closed' WHEN k % 2 <> 0 AND trust <> 'high' THEN 'rejected|Not Bengaluru or trusted global online' WHEN k % 3 <> 0 OR k % 7 = 0 THEN 'needs_review|Ambiguous technical fit' ELSE 'eligible|Technical event matching location and time policy' END AS s FROM t AS y)
+ SELECT k AS page_id, split_part(s, '|', 1) AS status, split_part(s, '|', 2) AS reason, CAST(CASE WHEN s LIKE 'eligible|%' THEN 7 + CASE trust WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END AS BIGINT) AS score, trust AS organizer_trust FROM s AS z""")
 add("provenance_upsert", lambda spark, sf: observations(spark, sf).groupBy("event_key", F.col("title").alias("source_url")).agg(F.max_by("registration_state", F.struct("observed_at", "seq")).alias("state"), F.max("observed_at").alias("observed_at")), "SELECT user_id AS event_key, event_type AS source_url, last(CASE event_id % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'unknown' WHEN 2 THEN 'closed' WHEN 3 THEN 'waitlist' ELSE 'cancelled' END ORDER BY ts, event_id) AS state, max(ts) AS observed_at FROM events AS e GROUP BY 1, 2")
 add("provenance_ok", lambda spark, sf: read(spark, sf, "events").filter(F.col("event_type").isin("view", "purchase") & (F.get_json_object("props", "$.k").cast("int") > 10)).select("event_id"), "SELECT event_id FROM events AS e WHERE event_type IN ('view', 'purchase') AND CAST(json_extract_string(props, '$.k') AS INTEGER) > 10")
 add("refresh_pick_source", lambda spark, sf: observations(spark, sf).filter("status <> 'rejected'").groupBy("event_key").agg(F.max_by("seq", F.struct(F.when(F.col("trust") == "high", 3).when(F.col("trust") == "medium", 2).otherwise(1), "observed_at", "seq")).alias("seq")), "SELECT event_key, seq FROM (SELECT user_id AS event_key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, ts DESC, event_id DESC) AS no FROM events AS e WHERE event_id % 3 <> 2) AS t WHERE no = 1")
@@ -132,7 +157,10 @@ def identity_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("identity_resolve", identity_query, f"""WITH p AS (SELECT page_id, {scalars._PLAIN} AS u, {scalars._HOST} AS k, CASE WHEN page_id % 3 = 0 THEN 'm' || CAST(page_id % 50 AS VARCHAR) END AS i FROM pages AS p0),
- h AS (SELECT a.page_id AS seq, b.page_id AS id, CASE WHEN a.i = b.i THEN 1 WHEN a.u = b.u THEN 2 ELSE 3 END AS tier FROM p AS a JOIN p AS b ON b.page_id % 2 = 0 AND (a.i = b.i OR a.u = b.u OR (a.k = b.k AND (a.i IS NULL OR b.i IS NULL OR a.i = b.i)))),
+ k AS (SELECT k, min(page_id) AS id, arg_min(coalesce(i, ''), page_id) AS i FROM p WHERE page_id % 2 = 0 GROUP BY k),
+ h AS (SELECT a.page_id AS seq, b.id, 1 AS tier FROM p AS a JOIN (SELECT i, min(page_id) AS id FROM p WHERE page_id % 2 = 0 GROUP BY i) AS b ON a.i = b.i
+  UNION ALL SELECT a.page_id, b.id, 2 FROM p AS a JOIN (SELECT u, min(page_id) AS id FROM p WHERE page_id % 2 = 0 GROUP BY u) AS b ON a.u = b.u
+  UNION ALL SELECT a.page_id, k.id, 3 FROM p AS a JOIN k ON a.k = k.k AND (a.i IS NULL OR k.i = '' OR a.i = k.i)),
  r AS (SELECT seq, id, tier, row_number() OVER (PARTITION BY seq ORDER BY tier, id) AS no FROM h AS x)
  SELECT p.page_id AS seq, r.id AS event_id, CAST(r.tier AS INTEGER) AS tier FROM p LEFT JOIN r ON r.seq = p.page_id AND r.no = 1""")
 
@@ -145,7 +173,7 @@ def organizer_query(spark: SparkSession, sf: str) -> DataFrame:
 
 _ORG = """WITH c AS (SELECT page_id AS id, {h} AS h, page_id % 4 AS m FROM pages AS p0), f AS (SELECT id, m = 0 AS a1, m = 1 AS a2, h = 'example.org' OR ends_with(h, '.example.org') AS d1, h = 'example.net' OR ends_with(h, '.example.net') AS d2 FROM c AS x)
  SELECT id, CASE WHEN a1 AND d1 THEN 'Example' WHEN a2 AND d2 THEN 'Net' WHEN d1 THEN 'Example' WHEN d2 THEN 'Net' WHEN a1 THEN 'Example' WHEN a2 THEN 'Net' END AS name,
- CASE WHEN d1 THEN 'high' WHEN d2 THEN 'medium' ELSE 'low' END AS trust, (a1 AND d1) OR (a2 AND d2) AS explicit_identity FROM f AS y"""
+ CASE WHEN d1 THEN 'high' WHEN d2 THEN 'medium' ELSE 'low' END AS trust, d1 OR d2 AS explicit_identity, false AS online_allowed FROM f AS y"""
 add("organizer_match", organizer_query, _ORG.replace("{h}", scalars._HOST))
 
 

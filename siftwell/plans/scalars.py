@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as X
 from siftwell.functions import time as Z
 from siftwell.functions import url as U
-from siftwell.operators.events import assess
+from siftwell.operators.events import assess, score
 from siftwell.plans.relational import read
 
 QUERIES, ORACLE = {}, {}
@@ -136,24 +136,16 @@ add("iso_text", lambda spark, sf: read(spark, sf, "orders").select("o_orderkey",
 def _flags(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders")
     k = F.col("o_orderkey")
-    return o.select("o_orderkey", (k % 11 == 0).alias("paid"), (k % 7 == 0).alias("excluded"), (k % 13 == 0).alias("ineligible"), F.when(k % 5 == 0, "closed").otherwise("open").alias("registration_state"), F.when(k % 3 == 0, F.lit(dt.datetime(2001, 5, 1))).cast("timestamp_ntz").alias("registration_deadline"), (F.col("o_orderdate") > F.lit(dt.datetime(1996, 1, 1))).alias("in_window"), (k % 2 == 0).alias("place_ok"), (k % 17 == 0).alias("ambiguous"), F.floor(F.col("o_totalprice") / 50000).cast("long").alias("score"))
+    return o.select("o_orderkey", (k % 11 == 0).alias("paid"), (k % 7 == 0).alias("excluded"), (k % 13 == 0).alias("ineligible"), F.when(k % 5 == 0, "closed").otherwise("open").alias("registration_state"), F.when(k % 3 == 0, F.lit(dt.datetime(2001, 5, 1))).cast("timestamp_ntz").alias("registration_deadline"), (F.col("o_orderdate") > F.lit(dt.datetime(1996, 1, 1))).alias("in_window"), (k % 2 == 0).alias("place_ok"), ((k % 17 == 0) | (k % 19 == 0)).alias("ambiguous"), (k % 8 == 0).alias("approval"), F.when((k % 17 == 0) & (k % 4 == 0), "unavailable").when(k % 17 == 0, None).when(k % 4 == 0, "no").otherwise("yes").alias("verdict"), F.floor(F.col("o_totalprice") / 50000).cast("long").alias("score"))
 
 
-add("policy_assess", lambda spark, sf: assess(_flags(spark, sf), F.lit(NOW).cast("timestamp_ntz"), 3).select("o_orderkey", "status", "reason"), """WITH f AS (SELECT o_orderkey AS k, o_orderdate, CAST(floor(o_totalprice / 50000) AS BIGINT) AS score FROM orders AS o),
- g AS (SELECT k, CASE WHEN k % 11 = 0 THEN 'rejected|Explicitly paid' WHEN k % 7 = 0 THEN 'rejected|Excluded category' WHEN k % 13 = 0 THEN 'rejected|Incompatible eligibility' WHEN k % 5 = 0 THEN 'rejected|Registration is closed'
- WHEN k % 3 = 0 THEN 'needs_review|Registration deadline passed' WHEN NOT o_orderdate > TIMESTAMP '1996-01-01' THEN 'needs_review|Outside date window' WHEN k % 2 <> 0 THEN 'rejected|Not Bengaluru or trusted global online'
- WHEN k % 17 = 0 THEN 'needs_review|Ambiguous classification' WHEN score < 3 THEN 'needs_review|Below minimum score' ELSE 'eligible|Eligible' END AS s FROM f AS x)
- SELECT k AS o_orderkey, split_part(s, '|', 1) AS status, split_part(s, '|', 2) AS reason FROM g AS y""")
-
-
-def score(topic: Column, kind: Column, trust: Column, local: Column, format_: Column, state: Column, speakers: Column, deadline: Column, opened: Column, now: Column) -> Column:
-    """0 to 15 points."""
-    week = F.make_dt_interval(F.lit(7))
-    parts = [
-        F.when(topic, 3), F.when(kind != "unknown", 2), F.when(trust == "high", 2).when(trust == "medium", 1), F.when(local, 2).when(format_ == "online", 1),
-        F.when(state == "open", 2).when(state == "waitlist", 1), F.when(speakers > 0, 1), F.when(deadline.between(now, now + week), 2), F.when(opened >= now - week, 1),
-    ]
-    return sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
+add("policy_assess", lambda spark, sf: assess(_flags(spark, sf), F.lit(NOW).cast("timestamp_ntz"), 3).select("o_orderkey", "status", "reason", "score", "approval_required"), """WITH f AS (SELECT o_orderkey AS k, o_orderdate, CAST(floor(o_totalprice / 50000) AS BIGINT) AS score FROM orders AS o),
+ g AS (SELECT k, score, CASE WHEN k % 11 = 0 THEN 'rejected|Explicitly paid admission' WHEN k % 7 = 0 THEN 'rejected|Excluded event category' WHEN k % 13 = 0 THEN 'rejected|Explicitly incompatible eligibility' WHEN k % 5 = 0 THEN 'rejected|Registration is closed'
+ WHEN k % 3 = 0 THEN 'needs_review|Registration deadline has passed' WHEN NOT o_orderdate > TIMESTAMP '1996-01-01' THEN 'needs_review|Missing or out-of-window start time' WHEN k % 2 <> 0 THEN 'rejected|Not Bengaluru or trusted global online'
+ WHEN k % 17 = 0 AND k % 4 = 0 THEN 'needs_review|Ambiguous candidate; AI classification unavailable' WHEN k % 17 = 0 THEN 'needs_review|Ambiguous technical fit'
+ WHEN k % 19 = 0 AND k % 4 = 0 THEN 'rejected|AI classification rejected ambiguous candidate' WHEN score < 3 THEN 'needs_review|Below deterministic ranking threshold' ELSE 'eligible|Technical event matching location and time policy' END AS s FROM f AS x)
+ SELECT k AS o_orderkey, split_part(s, '|', 1) AS status, split_part(s, '|', 2) AS reason, CASE WHEN s LIKE 'eligible|%' OR s LIKE '%threshold' THEN score ELSE 0 END AS score,
+ k % 8 = 0 AND (s LIKE 'eligible|%' OR s LIKE '%threshold' OR s LIKE 'needs_review|Ambiguous%') AS approval_required FROM g AS y""")
 
 
 def score_query(spark: SparkSession, sf: str) -> DataFrame:
