@@ -14,6 +14,7 @@ from siftwell.operators import folds, ingest
 from siftwell.plans import scalars
 from siftwell.plans.relational import read
 from siftwell.sources import html as H
+from siftwell.sources import registry
 
 QUERIES, ORACLE = {}, {}
 
@@ -202,13 +203,12 @@ add("revert_schedule", revert_schedule)
 
 def contract_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Rules between the fields of a source's definition; one row per rule that fails."""
-    rows = [("a", "page", "https://a.org", None, 3, None), ("b", "search", None, None, 1, None), ("c", "page", None, None, 9, "p"), ("d", "search", None, "ai", 1, None)]
-    df = spark.createDataFrame(rows, "name string, adapter string, url string, query string, max_pages int, parameter string")
-    rules = [
-        ("a page source needs a url", (F.col("adapter") == "page") & F.col("url").isNull()), ("a search source needs a query", (F.col("adapter") == "search") & F.col("query").isNull()),
-        ("paging needs a parameter", (F.col("max_pages") > 1) & F.col("parameter").isNull()), ("at most 5 pages", F.col("max_pages") > 5),
-    ]
-    return df.select("name", F.explode(F.filter(F.array(*(F.when(bad, said) for said, bad in rules)), lambda m: m.isNotNull())).alias("violation"))
+    rows = [("good", "public_page", "https://a.org", None, 1, None, [], None), ("s", "public_page", "http://localhost/x", None, 3, None, [], None), ("feed", "search", None, " ", 1, None, ["b.org", "B.org."], None), ("page", "public_page", None, None, 9, "p", [], "Nowhere/City"), ("find", "search", None, "ai", 1, None, ["-bad"], "UTC")]
+    df = spark.createDataFrame(rows, "name string, adapter string, url string, query string, max_pages int, pagination_param string, allowed_domains array<string>, source_timezone string")
+    have = set(df.columns)
+    kinds = dict(f.split(" ") for f in registry.SOURCE.split(", "))
+    return registry.source_violations(df.select("*", *(F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c not in have)))
 
 
-add("contract_violations", contract_violations, "SELECT * FROM (VALUES ('a', 'paging needs a parameter'), ('b', 'a search source needs a query'), ('c', 'a page source needs a url'), ('c', 'at most 5 pages')) AS t(name, violation)")
+add("contract_violations", contract_violations, """SELECT * FROM (VALUES ('s', 'the name is malformed'), ('s', 'url is not public'), ('s', 'paging needs a parameter'), ('feed', 'a search source needs a query'), ('feed', 'allowed_domains repeat'),
+ ('page', 'a page source needs a url'), ('page', 'max_pages is out of range'), ('page', 'the time zone is unknown'), ('find', 'allowed_domains are malformed')) AS t(name, violation)""")
