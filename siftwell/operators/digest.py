@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.constants import ATTEMPTS, CHUNK_CHARS
 from siftwell.functions.text import casefold
-from siftwell.functions.time import urgency
+from siftwell.functions.time import backoff_minutes, urgency
+from siftwell.operators.folds import pack_attributed
 
 
 def pending(changes: DataFrame, events: DataFrame, now: Column) -> DataFrame:
@@ -39,3 +41,59 @@ def completed_changes(chunks: DataFrame) -> DataFrame:
     per_id = known.groupBy("run_id", "id").agg(F.bool_and(F.col("sent_at").isNotNull()).alias("sent"))
     blocked = chunks.filter("event_change_ids IS NULL AND sent_at IS NULL").select("run_id").distinct()
     return per_id.filter("sent").join(blocked, "run_id", "left_anti")
+
+
+def digest_chunks(entries: DataFrame, header: str, limit: int = CHUNK_CHARS) -> DataFrame:
+    """entries: run_id, position, body, event_change_ids -> (run_id, chunk_index, body, event_change_ids). A digest has few
+    entries. Its header belongs to no change; blank lines inside an entry are places to part it."""
+    blocks = F.transform(F.filter(F.split("body", "\n\n"), lambda b: b != ""), lambda b: F.struct(b.alias("body"), F.col("event_change_ids").cast("array<bigint>").alias("ids")))
+    ordered = entries.select("run_id", "position", blocks.alias("blocks")).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("position", "blocks"))).alias("all"))
+    first = F.array(F.struct(F.lit(header).alias("body"), F.array().cast("array<bigint>").alias("ids")))
+    packed = pack_attributed(F.concat(first, F.flatten(F.transform("all", lambda x: x["blocks"]))), limit)
+    return ordered.select("run_id", F.posexplode(packed).alias("chunk_index", "m")).select("run_id", "chunk_index", "m.body", F.col("m.ids").alias("event_change_ids"))
+
+
+def due_deliveries(deliveries: DataFrame, now: Column, attempts: int = ATTEMPTS) -> DataFrame:
+    """Chunks to send now: not sent, not given up, and not waiting for their next attempt."""
+    return deliveries.filter(F.col("sent_at").isNull() & (F.coalesce("attempt_count", F.lit(0)) < attempts) & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now)))
+
+
+def record_sends(deliveries: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """results: run_id, chunk_index, message_id, error, one row for each chunk that was tried; an error is a failed try."""
+    tried = deliveries.join(results.select("run_id", "chunk_index", F.col("message_id").alias("__id"), F.col("error").alias("__error"), F.lit(True).alias("__tried")), ["run_id", "chunk_index"], "left")
+    done, failed = F.col("__tried") & F.col("__error").isNull(), F.col("__tried") & F.col("__error").isNotNull()
+    count = F.coalesce("attempt_count", F.lit(0)) + F.when(failed, 1).otherwise(0)
+    wait = now + F.make_dt_interval(F.lit(0), F.lit(0), backoff_minutes(count).cast("int"))
+    changed = {
+        "message_id": F.when(done, F.col("__id")).otherwise(F.col("message_id")), "sent_at": F.when(done, now).otherwise(F.col("sent_at")), "attempt_count": count,
+        "error": F.when(done, None).when(failed, F.col("__error")).otherwise(F.col("error")), "next_attempt_at": F.when(done, None).when(failed, wait).otherwise(F.col("next_attempt_at")),
+    }
+    return tried.withColumns(changed).drop("__id", "__error", "__tried")
+
+
+def run_states(deliveries: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
+    """(run_id, status): sent; failed when every chunk not sent is given up; else partial."""
+    sent = F.col("sent_at").isNotNull()
+    return deliveries.groupBy("run_id").agg(F.when(F.bool_and(sent), "sent").when(F.bool_and(sent | (F.coalesce("attempt_count", F.lit(0)) >= attempts)), "failed").otherwise("partial").alias("status"))
+
+
+def failed_carry(runs: DataFrame, deliveries: DataFrame, changes: DataFrame, digest_date: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What failed runs before a day leave to it: (chunks, excluded, delivered).
+
+    Runs count that name changes not yet digested and have chunks. ``chunks`` are those not sent of the latest such run, in order,
+    with the run's open changes where a chunk has no attribution; ``excluded`` are the ids that all such runs hold back from new
+    chunks; ``delivered`` are the ids of runs all of whose chunks were sent.
+    """
+    failed = runs.filter((F.col("status") == "failed") & (F.col("digest_date") < digest_date))
+    open_ = failed.select("run_id", "digest_date", F.explode("event_change_ids").alias("id")).join(changes.filter("digested_at IS NULL").select("id"), "id", "left_semi")
+    per_run = deliveries.groupBy("run_id").agg(F.bool_or(F.col("sent_at").isNull()).alias("unsent"))
+    held = open_.join(per_run, "run_id")
+    latest = held.filter("unsent").groupBy("run_id", "digest_date").agg(F.array_sort(F.collect_set("id")).alias("open_ids")).orderBy(F.desc("digest_date"), F.desc("run_id")).limit(1)
+    chunks = deliveries.filter("sent_at IS NULL").join(latest, "run_id").select("run_id", "chunk_index", "body", F.coalesce("event_change_ids", "open_ids").alias("event_change_ids"))
+    return chunks, held.filter("unsent").select("id").distinct(), held.filter(~F.col("unsent")).select("id").distinct()
+
+
+def mark_digested(changes: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """The changes, those of ``ids`` that were open digested at ``now``."""
+    hit = changes.join(ids.select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")
+    return hit.withColumn("digested_at", F.coalesce("digested_at", F.when(F.col("__hit"), now))).drop("__hit")

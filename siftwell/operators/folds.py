@@ -146,26 +146,39 @@ def identity_resolve(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return incoming.select("seq").join(best, "seq", "left")
 
 
-def pack_chunks(blocks: Column, limit: int = CHUNK_CHARS) -> Column:
-    """Blocks joined by blank lines into messages of at most ``limit`` characters, greedily. A longer block is cut at its
-    last line feed within the limit, else at the limit; line feeds at the cut go."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+def pack_attributed(blocks: Column, limit: int = CHUNK_CHARS) -> Column:
+    """Blocks (body, ids) joined by blank lines into messages of at most ``limit`` characters, greedily; each message has the
+    sorted ids of what is in it. A longer block is cut at its last line feed within the limit, else at the limit; line feeds
+    at the cut go, and every part has the ids of the block."""
+    ids = lambda x: F.array_sort(F.array_distinct(F.coalesce(x, F.array().cast("array<bigint>"))))
+    message = lambda body, n: F.struct(body.alias("body"), ids(n).alias("ids"))
+    start = F.struct(F.array().cast("array<struct<body: string, ids: array<bigint>>>").alias("done"), message(F.lit(""), F.array().cast("array<bigint>")).alias("cur"))
 
     def cut(acc: Column, i: Column) -> Column:
-        head = F.left(acc["cur"], F.lit(limit))
+        text = acc["cur"]["body"]
+        head = F.left(text, F.lit(limit))
         back = F.instr(F.reverse(head), "\n")  # 0 where there is none; a line feed in front is none either
         at = F.when((back == 0) | (back == limit), limit).otherwise(limit - back)
-        rest = F.regexp_replace(F.substring(acc["cur"], at + 1, F.length(acc["cur"])), "^\n+", "")
-        return F.when(F.length(acc["cur"]) > limit, F.struct(F.array_append(acc["done"], F.left(acc["cur"], at)).alias("done"), rest.alias("cur"))).otherwise(acc)
+        rest = F.regexp_replace(F.substring(text, at + 1, F.length(text)), "^\n+", "")
+        part, more = message(F.left(text, at), acc["cur"]["ids"]), message(rest, acc["cur"]["ids"])
+        return F.when(F.length(text) > limit, F.struct(F.array_append(acc["done"], part).alias("done"), more.alias("cur"))).otherwise(acc)
 
     def step(acc: Column, b: Column) -> Column:
-        joined = F.when(acc["cur"] == "", b).otherwise(F.concat(acc["cur"], F.lit("\n\n"), b))
-        flushed = F.when(acc["cur"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"]))
-        whole = F.struct(flushed.alias("done"), b.alias("cur"))
-        parts = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b))), whole, cut)  # a cut takes a character at least
-        return F.when(F.length(joined) <= limit, F.struct(acc["done"].alias("done"), joined.alias("cur"))).when(F.length(b) <= limit, whole).otherwise(parts)
+        empty = acc["cur"]["body"] == ""
+        joined = F.when(empty, b["body"]).otherwise(F.concat(acc["cur"]["body"], F.lit("\n\n"), b["body"]))
+        both = message(joined, F.concat(acc["cur"]["ids"], F.coalesce(b["ids"], F.array().cast("array<bigint>"))))
+        flushed = F.when(empty, acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"]))
+        whole = F.struct(flushed.alias("done"), message(b["body"], b["ids"]).alias("cur"))
+        parts = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(b["body"]))), whole, cut)  # a cut takes a character at least
+        return F.when(F.length(joined) <= limit, F.struct(acc["done"].alias("done"), both.alias("cur"))).when(F.length(b["body"]) <= limit, whole).otherwise(parts)
+
+    return F.aggregate(blocks, start, step, lambda acc: F.when(acc["cur"]["body"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"])))
 
-    return F.aggregate(blocks, start, step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"])))
+
+def pack_chunks(blocks: Column, limit: int = CHUNK_CHARS) -> Column:
+    """``pack_attributed`` of plain texts."""
+    none = F.array().cast("array<bigint>")
+    return F.transform(pack_attributed(F.transform(blocks, lambda b: F.struct(b.alias("body"), none.alias("ids"))), limit), lambda m: m["body"])
 
 
 def reverted_schedules(changes: DataFrame) -> DataFrame:
