@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.operators.digest import completed_changes, digest_order, grouped_changes, pending, run_pairs
+from siftwell.operators.digest import completed_changes, digest_order, due_deliveries, grouped_changes, mark_digested, pending, run_pairs, run_states
 from siftwell.operators.events import due, latest_runs, matching, quorum, ranked, refresh_queue, source_health
 
 AS_OF, ORDERS_AS_OF = dt.datetime(2024, 1, 31), dt.datetime(2001, 8, 2)
@@ -154,20 +154,12 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 add("completed_changes", lambda spark, sf: completed_changes(chunks(spark, sf)).select("run_id", "id"), "SELECT run_id, id FROM (SELECT l_orderkey AS run_id, unnest([l_partkey, l_suppkey]) AS id, l_linestatus = 'F' AS ok FROM lineitem AS l) AS t GROUP BY run_id, id HAVING bool_and(ok)")
 add("carry_exclude", lambda spark, sf: changes(spark, sf).join(chunks(spark, sf).filter("sent_at IS NULL").select(F.explode("event_change_ids").alias("id")).distinct(), "id", "left_anti").select("id", "event_id"), f"WITH {CHANGES_SQL}, carry AS (SELECT DISTINCT unnest([l_partkey, l_suppkey]) AS id FROM lineitem AS l WHERE l_linestatus <> 'F') SELECT id, event_id FROM ch AS c WHERE NOT EXISTS (SELECT 1 FROM carry AS k WHERE k.id = c.id)")
-add("delivery_due", lambda spark, sf: chunks(spark, sf).filter(F.col("sent_at").isNull() & (F.col("attempt_count") % 5 < 3)).groupBy("run_id").agg(F.count("*").alias("due_chunks")), "SELECT l_orderkey AS run_id, count(*) AS due_chunks FROM lineitem AS l WHERE l_linestatus <> 'F' AND CAST(floor(l_quantity) AS INTEGER) % 5 < 3 GROUP BY 1")
-
-
-def delivery_state(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunks(spark, sf).withColumn("attempts", F.col("attempt_count") % 4)
-    g = c.groupBy("run_id").agg(F.bool_and(F.col("sent_at").isNotNull()).alias("sent"), F.bool_or(F.col("sent_at").isNull() & (F.col("attempts") < 3)).alias("open"))
-    return g.select("run_id", F.when(F.col("sent"), "sent").when(F.col("open"), "partial").otherwise("failed").alias("state"))
-
-
-add("delivery_state", delivery_state, "SELECT l_orderkey AS run_id, CASE WHEN bool_and(l_linestatus = 'F') THEN 'sent' WHEN bool_or(l_linestatus <> 'F' AND CAST(floor(l_quantity) AS INTEGER) % 4 < 3) THEN 'partial' ELSE 'failed' END AS state FROM lineitem AS l GROUP BY 1")
+add("delivery_due", lambda spark, sf: due_deliveries(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("sent_at"), (F.floor("l_quantity").cast("int") % 5).alias("attempt_count"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate")).alias("next_attempt_at")), F.lit(dt.datetime(1997, 1, 1)).cast("timestamp_ntz")).groupBy("run_id").agg(F.count("*").alias("due_chunks")), "SELECT l_orderkey AS run_id, count(*) AS due_chunks FROM lineitem AS l WHERE l_linestatus <> 'F' AND CAST(floor(l_quantity) AS INTEGER) % 5 < 3 AND (l_linenumber % 2 <> 0 OR l_shipdate <= TIMESTAMP '1997-01-01') GROUP BY 1")
+add("delivery_state", lambda spark, sf: run_states(chunks(spark, sf).withColumn("attempt_count", F.col("attempt_count") % 4)).withColumnRenamed("status", "state"), "SELECT l_orderkey AS run_id, CASE WHEN bool_and(l_linestatus = 'F') THEN 'sent' WHEN bool_or(l_linestatus <> 'F' AND CAST(floor(l_quantity) AS INTEGER) % 4 < 3) THEN 'partial' ELSE 'failed' END AS state FROM lineitem AS l GROUP BY 1")
 add("oldest_unfinished", lambda spark, sf: read(spark, sf, "orders").filter("o_orderstatus = 'P'").orderBy("o_orderdate", "o_orderkey").limit(1).select("o_orderkey", "o_orderdate"), "SELECT o_orderkey, o_orderdate FROM orders AS o WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 1")
 add("failed_carry", lambda spark, sf: read(spark, sf, "lineitem").filter("l_linestatus <> 'F'").join(read(spark, sf, "orders").filter("o_orderstatus = 'F' OR o_orderstatus = 'O'").join(read(spark, sf, "lineitem").filter("l_linestatus <> 'F'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").filter("o_orderdate < TIMESTAMP_NTZ '2000-01-01'").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber"), "WITH run AS (SELECT o_orderkey FROM orders AS o WHERE o_orderstatus IN ('F', 'O') AND o_orderdate < TIMESTAMP '2000-01-01' AND EXISTS (SELECT 1 FROM lineitem AS l WHERE l.l_orderkey = o.o_orderkey AND l_linestatus <> 'F') ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) SELECT l_orderkey, l_linenumber FROM lineitem AS m JOIN run AS r ON m.l_orderkey = r.o_orderkey WHERE l_linestatus <> 'F'")
 add("carry_concat", lambda spark, sf: chunks(spark, sf).select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("sent_at").isNotNull(), "chunk_index")) - 1).cast("long").alias("position"), F.col("chunk_index").cast("long").alias("chunk_index")), "SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linestatus = 'F', l_linenumber) - 1 AS position, CAST(l_linenumber AS BIGINT) AS chunk_index FROM lineitem AS l")
-add("mark_digested", lambda spark, sf: changes(spark, sf).join(customers(spark, sf).filter("status = 'eligible'").select("event_id", F.lit(True).alias("hit")), "event_id", "left").select("id", F.coalesce("digested_at", F.when(F.col("hit"), F.lit(AS_OF).cast("timestamp_ntz"))).alias("digested_at")), f"WITH {CHANGES_SQL}, {CUSTOMERS_SQL} SELECT c.id, coalesce(c.digested_at, CASE WHEN u.event_id IS NOT NULL THEN TIMESTAMP '2024-01-31' END) AS digested_at FROM ch AS c LEFT JOIN cu AS u ON c.event_id = u.event_id AND u.status = 'eligible'")
+add("mark_digested", lambda spark, sf: mark_digested(changes(spark, sf), changes(spark, sf).join(customers(spark, sf).filter("status = 'eligible'"), "event_id", "left_semi"), F.lit(AS_OF).cast("timestamp_ntz")).select("id", "digested_at"), f"WITH {CHANGES_SQL}, {CUSTOMERS_SQL} SELECT c.id, coalesce(c.digested_at, CASE WHEN u.event_id IS NOT NULL THEN TIMESTAMP '2024-01-31' END) AS digested_at FROM ch AS c LEFT JOIN cu AS u ON c.event_id = u.event_id AND u.status = 'eligible'")
 add("backoff", lambda spark, sf: chunks(spark, sf).select(F.least(F.lit(60), F.pow(F.lit(2), F.col("attempt_count") % 9)).cast("long").alias("minutes")).groupBy("minutes").agg(F.count("*").alias("n")), "SELECT CAST(least(60, power(2, CAST(floor(l_quantity) AS INTEGER) % 9)) AS BIGINT) AS minutes, count(*) AS n FROM lineitem AS l GROUP BY 1")
 add("latest_per_key", lambda spark, sf: latest_runs(runs(spark, sf)).select("source_name", "id"), f"WITH {RUNS_SQL}, {LATEST_SQL} SELECT source_name, id FROM latest AS l")
 add("anti_profiles", lambda spark, sf: read(spark, sf, "customer").join(read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer AS c WHERE NOT EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey)")
