@@ -22,7 +22,8 @@ def dedupe_fold(rows: DataFrame, key: str = "identity", order: str = "seq") -> D
     """Cross-postings of one event, folded in their order. Every field is an aggregate of its own: last value there,
     texts combined, worst state, earliest date, any flag, distinct values in order of appearance.
 
-    Columns that rows may lack: source_url, country, ends_at, first_observed_open_at, and what structured data say
+    Columns that rows may lack: canonical_url and source_name (of the first), observed_at (the latest), raw_id, source_url, country, ends_at,
+    first_observed_open_at, and what structured data say
     themselves, schema_format, schema_starts_at and schema_ends_at (instants with a clock time), which come before any other value.
     """
     have = lambda *names: [c for c in names if c in rows.columns]
@@ -32,7 +33,7 @@ def dedupe_fold(rows: DataFrame, key: str = "identity", order: str = "seq") -> D
     known = lambda c: F.max_by(c, F.when(F.col(c) != "unknown", F.col(order)))
     schema = lambda c, how: [how(f"schema_{c}")] if f"schema_{c}" in rows.columns else []
     folded = rows.groupBy(key).agg(
-        *(last(c).alias(c) for c in ("title", "organizer", "venue", "city", "registration_url", *have("source_url", "country"))), F.coalesce(*schema("format", known), known("format"), F.lit("unknown")).alias("format"),
+        *(last(c).alias(c) for c in ("title", "organizer", "venue", "city", "registration_url", *have("source_url", "country", "raw_id"))), *(F.min_by(c, order).alias(c) for c in have("canonical_url", "source_name")), *(F.max(c).alias(c) for c in have("observed_at")), F.coalesce(*schema("format", known), known("format"), F.lit("unknown")).alias("format"),
         F.coalesce(known("event_type"), F.lit("unknown")).alias("event_type"), state.alias("registration_state"), *(F.min(c).alias(c) for c in ("registration_deadline", "registration_opened_at", *have("first_observed_open_at"))),
         *(F.coalesce(*schema(c, last), last(c)).alias(c) for c in ("starts_at", *have("ends_at"))), F.bool_or("is_explicitly_paid").alias("flag"), in_order.alias("all"),
     )

@@ -13,6 +13,7 @@ from siftwell.functions.time import epoch_millis, ist_display
 from siftwell.operators import folds, ingest
 from siftwell.plans import scalars
 from siftwell.plans.relational import read
+from siftwell.sources import extract as E
 from siftwell.sources import html as H
 from siftwell.sources import registry
 
@@ -32,18 +33,19 @@ def cases(name: str, *how) -> None:
 
 # pages
 add("html_title", lambda spark, sf: read(spark, sf, "pages").select("page_id", H.page_title(F.col("html")).alias("title")))
-add("page_extract", lambda spark, sf: read(spark, sf, "pages").select("page_id", F.explode(H.page_candidates(F.col("html"), F.col("url"))).alias("c")).select("page_id", "c.title", "c.url", "c.parser"))
+add("page_extract", lambda spark, sf: read(spark, sf, "pages").select("page_id", F.explode(E.page_candidates(F.col("html"), F.col("url"))).alias("c")).select("page_id", "c.title", "c.url", "c.parser"))
+add("page_facts", lambda spark, sf: E.candidates(read(spark, sf, "pages").select("page_id", "html", "url", F.lit("pages").alias("source_name"), F.lit(dt.datetime(2026, 6, 1)).cast("timestamp").alias("observed_at"))).select("id", "title", "canonical_url", "description", "starts_at", "price_text", "is_explicitly_paid", "registration_state", "event_type", "format"))
 add("detail_links", lambda spark, sf: read(spark, sf, "pages").select("page_id", F.posexplode(H.links(F.col("html"), F.col("url"), "nav a", ["/"], 4)).alias("no", "link")))
 add("interstitial", lambda spark, sf: read(spark, sf, "pages").filter(H.is_interstitial(F.col("html"))).select("page_id"), "SELECT page_id FROM pages AS p WHERE contains(html, 'g-recaptcha')")
 cases("interstitial_cases", "h string", [("<h1>CAPTCHA</h1>", True), ("<p>Please complete the CAPTCHA</p>", True), ("<p>Access denied</p>", True), ("<iframe src='https://www.google.com/recaptcha/api2'></iframe>", True), ("<div hidden>Verify you are human</div><h1>Calendar</h1>", False), ("<div style='display: none'><span style='color: red'>Access denied</span></div><h1>Calendar</h1>", False), ("<h1>Engineering CAPTCHA systems</h1><p>Workshop on bot detection.</p>", False), ("Checking your browser before accessing", True), ("<p>Verify you are human</p>", True), ("<div class='g-recaptcha'></div>", True), ("<script>verify you are human</script><h1>Meetup</h1>", False), ("<h1>Security check workshop</h1>", False), (None, False)], H.is_interstitial, "boolean")
 cases("html_title_cases", "h string", [("<title>a</title><h1> B  c </h1>", "a"), ("<h1>only a heading</h1>", None), ("<meta property='og:title' content='O'><h1>x</h1>", "O"), ("<title>T &amp; U</title>", "T & U"), ("<p>x</p>", None), (None, None)], H.page_title, "string")
 cases("html_labels", "h string", [("<dl><dt>Venue</dt><dd>Hall <b>3</b></dd></dl>", "Hall 3"), ("<table><tr><th>Venue:</th><td>Room</td></tr></table>", "Room"), ("<p><b>Venue</b> The Loft</p>", "The Loft"), ("<p>Venue unknown</p>", None), (None, None)], lambda h: H.labelled(h, "venue"), "string")
-cases("html_semantic", "h string", [("<title>Talk</title><dl><dt>Date</dt><dd>2026-10-11 18:00</dd><dt>Host</dt><dd>Club</dd></dl>", "Talk|2026-10-11 18:00|Club|label")], lambda h: F.concat_ws("|", *(H.page_candidates(h, F.lit("https://a.org/e"))[0][n] for n in ("title", "starts_at", "organizer", "parser"))), "string")
+cases("html_semantic", "h string", [("<title>Site</title><h1>Talk</h1><dl><dt>Date</dt><dd>2026-10-11 18:00</dd><dt>Host</dt><dd>Club</dd></dl>", "Talk|2026-10-11T12:30:00Z|Club|label")], lambda h: F.concat_ws("|", *(E.page_candidates(h, F.lit("https://a.org/e"))[0][n] for n in ("title", "starts_at", "organizer", "parser"))), "string")
 cases("html_cards", "h string", [("<article data-event data-start='2026-01-02'><h2>One</h2></article><article data-event><h3>Two</h3></article>", "One|Two"), ("<article><h2>No</h2></article>", "")], lambda h: F.array_join(H.card_titles(h, "article[data-event]"), "|"), "string")
 cases("json_map", "h string", [
     ('<script type="application/ld+json">{"@graph": [{"@type": "Event", "name": " A  b ", "startDate": "2026-10-10", "location": {"name": "Hall", "address": {"addressLocality": "Pune"}}, "offers": [{"price": 0, "availability": "InStock"}], "url": "/x"}]}</script>', "A b|https://a.org/x|2026-10-10|Hall|Pune|0|InStock|json"),
     ('<script type="application/json">{bad}</script><title>T</title>', "T|https://a.org/e|title"), ('<script type="application/json">{"events": [{"title": "E", "local_date": "2026-01-01", "local_time": "10:00"}]}</script>', "E|https://a.org/e|2026-01-01T10:00|json"),
-], lambda h: F.concat_ws("|", *(H.page_candidates(h, F.lit("https://a.org/e"))[0][n] for n in ("title", "url", "starts_at", "venue", "city", "price", "state", "parser"))), "string")
+], lambda h: F.concat_ws("|", *(E.page_candidates(h, F.lit("https://a.org/e"))[0][n] for n in ("title", "url", "starts_at", "venue", "city", "price", "state", "parser"))), "string")
 cases("json_nodes", "t string", [('{"events": [{"a": 1}, {"data": {"b": 2}}]}', 4), ("[]", 0), ("{bad}", 0), ('{"x": {"y": 1}}', 1), (None, 0)], H.node_count, "int")
 cases("url_join", "b string, u string", [("https://a.org/x/y", "../z", "https://a.org/z"), ("https://a.org/x", "https://b.org", "https://b.org"), ("https://a.org/x", "/q?r=1", "https://a.org/q?r=1"), ("https://a.org", None, None)], H.joined_url, "string")
 day = dt.datetime(2026, 10, 10, 18, 30)

@@ -114,7 +114,7 @@ cases("json_fenced", "t string", [("```json\n{\"a\": 1}\n```", "1"), ("{\"a\": 2
 
 # time
 at = dt.datetime
-cases("iso_parse", "t string", [("2026-10-10T18:30:00+05:30", at(2026, 10, 10, 13)), ("2026-10-10T18:30", at(2026, 10, 10, 13)), ("2026-10-10", at(2026, 10, 9, 18, 30)), ("2026-10-10T10:00:00Z", at(2026, 10, 10, 10)), ("12:30", None), ("soon", None), (None, None), ("2026-13-10", None)], lambda t: Z.iso_parse(t, "Asia/Kolkata"), "timestamp_ntz")
+cases("iso_parse", "t string", [("2026-10-10T18:30:00+05:30", at(2026, 10, 10, 13)), ("2026-10-10T18:30", at(2026, 10, 10, 13)), ("2026-10-10", at(2026, 10, 9, 18, 30)), ("2026-10-10T10:00:00Z", at(2026, 10, 10, 10)), ("12:30", None), ("soon", None), (None, None), ("2026-13-10", None), ("20261010T1830", at(2026, 10, 10, 13)), ("2026-W41-6", at(2026, 10, 9, 18, 30)), ("2026W41", at(2026, 10, 4, 18, 30)), ("2026-283T10Z", at(2026, 10, 10, 10)), ("2026-10-10T24:00Z", at(2026, 10, 11)), ("2026-10-10T24:01Z", None), ("2026-10-10T10:00:00,25+0530", at(2026, 10, 10, 4, 30, 0, 250000)), ("2026-10", at(2026, 9, 30, 18, 30)), ("2026-02-30", None), ("2026-10-10T25:00", None), ("2026-10-10T10:00-08", at(2026, 10, 10, 18))], lambda t: Z.iso_parse(t, "Asia/Kolkata"), "timestamp_ntz")
 cases("epoch_ms", "t string", [("1700000000000", at(2023, 11, 14, 22, 13, 20)), ("0", None), ("-5", None), ("true", None), ("nan", None), ("inf", None), (None, None)], Z.epoch_millis, "timestamp_ntz")
 add("ist_format", lambda spark, sf: read(spark, sf, "events").select("event_id", Z.ist_display(F.col("ts")).alias("shown")), "SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%a, %d %b · %-I:%M %p IST') AS shown FROM events AS e")
 add("ist_date", lambda spark, sf: read(spark, sf, "events").groupBy(Z.ist_date(F.col("ts")).alias("day")).agg(F.count("*").alias("n")), "SELECT strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d') AS day, count(*) AS n FROM events AS e GROUP BY 1")

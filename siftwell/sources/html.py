@@ -219,57 +219,7 @@ def cards(html: str | None, selectors: str) -> list[dict]:
     return out
 
 
-CANDIDATE = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "url", "starts_at", "ends_at", "venue", "city", "organizer", "price", "state", "parser")])
-
-
-def _first(node: dict, *names: str):
-    """First value that is there and not empty."""
-    return next((node[n] for n in names if node.get(n)), None)
-
-
-def _text(x) -> str | None:
-    x = x[0] if isinstance(x, list) and x else x
-    if isinstance(x, dict):
-        x = x.get("name") or x.get("title") or x.get("@id")
-    return (" ".join(str(x).split()) or None) if isinstance(x, str | int | float) and not isinstance(x, bool) else None
-
-
-def candidate(node: dict, url: str) -> dict | None:
-    """A mapping as a candidate, if it has a title and is of an event or has a start."""
-    name, start = _first(node, "name", "title", "eventName"), _first(node, "startDate", "start_time", "startTime", "starts_at", "start_at", "startAt", "start")
-    if start is None and node.get("local_date"):
-        start = "T".join(str(node[k]) for k in ("local_date", "local_time") if node.get(k))
-    if not _text(name) or not ("event" in str(node.get("@type") or node.get("type") or "").lower() or start or node.get("registrationDeadline")):
-        return None
-    place = _first(node, "location", "venue", "geo_address_info") or {}
-    address = place.get("address") if isinstance(place, dict) else None
-    offers = _first(node, "offers", "ticket", "pricing", "tickets")
-    offer = (offers[0] if isinstance(offers, list) and offers else offers) or {}
-    price = next((node[k] for k in ("price", "fee", "price_text") if node.get(k) is not None), offer.get("price") if isinstance(offer, dict) else offer)
-    return {
-        "title": _text(name), "url": join_url(url, str(_first(node, "url", "eventUrl", "event_url", "permalink", "link") or url)) or url, "starts_at": _text(start),
-        "ends_at": _text(_first(node, "endDate", "end_time", "endTime", "ends_at", "end_at", "endAt", "end")), "venue": _text(place),
-        "city": _text(address.get("addressLocality")) if isinstance(address, dict) else _text(node.get("city")), "organizer": _text(_first(node, "organizer", "host", "organization", "organizerName")),
-        "price": _text(price), "state": _text(offer.get("availability")) if isinstance(offer, dict) else None, "parser": "json",
-    }
-
-
-def candidates(html: str | None, url: str) -> list[dict]:
-    """All that JSON scripts, cards and labels give, each once by title, url and start; else the title of the page."""
-    root = parse(html)
-    nodes = [x for s in root.select("script[type*=json]") for x in json_nodes("".join(c for c in s.children if isinstance(c, str)))]
-    empty = dict.fromkeys(CANDIDATE.names)
-    found = [c for c in (candidate(n, url) for n in nodes) if c]
-    found += [empty | {"title": c["title"], "url": url, "starts_at": c["start"], "ends_at": c["end"], "venue": c["venue"], "city": c["city"], "price": c["price"], "parser": "card"} for c in cards(html, "article[data-event], [data-event-card]") if c["title"]]
-    when, said = label_value(root, "date", "when", "date & time"), title(root)
-    if when and said:
-        found.append(empty | {"title": said, "url": canonical(root, url), "starts_at": when, "venue": label_value(root, "venue", "location", "where"), "organizer": label_value(root, "organizer", "host"), "price": label_value(root, "price", "fee"), "state": label_value(root, "registration", "status"), "parser": "label"})
-    if not found and said:
-        found = [empty | {"title": said, "url": canonical(root, url), "parser": "title"}]
-    return list({(c["title"].casefold(), c["url"], c["starts_at"]): c for c in reversed(found)}.values())[::-1]
-
-
-def _column(fn, kind, *cols: Column) -> Column:
+def column(fn, kind, *cols: Column) -> Column:
     """An Arrow-batched function of columns; a row on which it fails gives null and leaves the others alone."""
 
     def one(row: tuple):
@@ -286,35 +236,31 @@ def _column(fn, kind, *cols: Column) -> Column:
 
 
 def page_title(html: Column) -> Column:
-    return _column(lambda h: title(parse(h)), T.StringType(), html)
-
-
-def page_candidates(html: Column, url: Column) -> Column:
-    return _column(candidates, T.ArrayType(CANDIDATE), html, url)
+    return column(lambda h: title(parse(h)), T.StringType(), html)
 
 
 def is_interstitial(html: Column) -> Column:
-    return _column(interstitial, T.BooleanType(), html)
+    return column(interstitial, T.BooleanType(), html)
 
 
 def labelled(html: Column, *labels: str) -> Column:
-    return _column(lambda h: label_value(parse(h), *labels), T.StringType(), html)
+    return column(lambda h: label_value(parse(h), *labels), T.StringType(), html)
 
 
 def joined_url(base: Column, link: Column) -> Column:
-    return _column(join_url, T.StringType(), base, link)
+    return column(join_url, T.StringType(), base, link)
 
 
 def links(html: Column, url: Column, selectors: str, prefixes: list[str], most: int) -> Column:
-    return _column(lambda h, u: detail_links(h, u, selectors, prefixes, most), T.ArrayType(T.StringType()), html, url)
+    return column(lambda h, u: detail_links(h, u, selectors, prefixes, most), T.ArrayType(T.StringType()), html, url)
 
 
 def card_titles(html: Column, selectors: str) -> Column:
-    return _column(lambda h: [c["title"] for c in cards(h, selectors)], T.ArrayType(T.StringType()), html)
+    return column(lambda h: [c["title"] for c in cards(h, selectors)], T.ArrayType(T.StringType()), html)
 
 
 def node_count(text: Column) -> Column:
-    return _column(lambda t: len(json_nodes(t)), T.IntegerType(), text)
+    return column(lambda t: len(json_nodes(t)), T.IntegerType(), text)
 
 
 _MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
@@ -341,4 +287,4 @@ def label_date(value: str | None, zone: str = "Asia/Kolkata", dayfirst: bool = T
 
 
 def labelled_date(value: Column, dayfirst: bool = True) -> Column:
-    return _column(lambda v: None if (d := label_date(v, dayfirst=dayfirst)) is None else d.strftime("%Y-%m-%d %H:%M:%S"), T.StringType(), value).cast("timestamp_ntz")
+    return column(lambda v: None if (d := label_date(v, dayfirst=dayfirst)) is None else d.strftime("%Y-%m-%d %H:%M:%S"), T.StringType(), value).cast("timestamp_ntz")

@@ -16,7 +16,7 @@ from siftwell import catalog
 from siftwell.functions.time import day_bound
 from siftwell.operators.folds import dedupe_fold, pack_chunks, reverted_schedules, trust_merge
 from siftwell.functions import text
-from siftwell.sources import html
+from siftwell.sources import extract, html
 from siftwell.sources.html import parse
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -159,10 +159,10 @@ def test_day_bounds():
 def test_ordinary_pages_kill_no_job(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     pages = [("<p>" * 2000 + "end", "https://a.org"), ('<nav><a href="http://[bad">x</a><a href="/ok">y</a></nav>', "https://a.org"), (deep, "https://a.org"), ('<script type="application/ld+json">' + "[" * 100_000 + "</script>", "https://a.org"),
-             ('<script type="application/ld+json">{"@type": "Event", "name": "E", "url": "http://[bad"}</script><article data-event><h2>Card</h2></article>', "https://a.org/p"), (None, None), ("", "")]
+             ('<script type="application/ld+json">{"@type": "Event", "name": "E", "url": "http://[bad"}</script><article data-event><h2>Card</h2><a href="#c">x</a></article><article data-event><h2>No link</h2></article>', "https://a.org/p"), (None, None), ("", "")]
     df = spark.createDataFrame(pages, "html string, url string")
-    rows = df.select(html.page_title(F.col("html")), html.page_candidates(F.col("html"), F.col("url")).alias("c"), html.is_interstitial(F.col("html")), html.links(F.col("html"), F.col("url"), "nav a", ["/"], 4).alias("l"), html.labelled(F.col("html"), "venue").alias("v")).collect()
-    assert rows[1].l == ["https://a.org/ok"] and [(c.title, c.url, c.parser) for c in rows[4].c] == [("E", "https://a.org/p", "json"), ("Card", "https://a.org/p", "card")]
+    rows = df.select(html.page_title(F.col("html")), extract.page_candidates(F.col("html"), F.col("url")).alias("c"), html.is_interstitial(F.col("html")), html.links(F.col("html"), F.col("url"), "nav a", ["/"], 4).alias("l"), html.labelled(F.col("html"), "venue").alias("v")).collect()
+    assert rows[1].l == ["https://a.org/ok"] and [(c.title, c.url, c.parser) for c in rows[4].c] == [("E", "https://a.org/p", "json"), ("Card", "https://a.org/p#c", "card")]
 
 
 def test_all_texts_of_an_order_are_combined(spark):
