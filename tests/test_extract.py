@@ -86,3 +86,17 @@ def test_iso_forms_as_a_parser_reads_them(spark):
 
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     assert [(r.t, r.w) for r in df.select("i", "t", iso_parse(F.col("t")).alias("w")).orderBy("i").collect()] == [(t, want(t)) for t in texts]
+
+
+def test_a_feed_of_webinars(spark):
+    item = {"type": "Upcoming", "title": "Talk", "liveStartTimeInUTC": 1791200000000, "liveEndTimeInUTC": 1791203600000}
+    feed = [
+        item | {"eventId": 11, "mediaType": "Webcast", "eventAbstract": "<p>About <b>x</b></p>"}, item | {"eventId": "12", "eventStartDate": "Oct 11, 2026 6:00 PM CET"}, item | {"eventId": 13, "eventStartDate": "Oct 11, 2026 6:00 PM"}, item | {"eventId": 14, "liveEndTimeInUTC": 5},
+        item | {"eventId": True}, item | {"eventId": "00"}, item | {"eventId": 15, "type": "On Demand"}, item | {"eventId": 16, "title": " "}, item | {"eventId": 17, "liveStartTimeInUTC": True}, "x",
+    ]
+    df = pages(spark, [(json.dumps({"data": feed}), E.PORTAL, E.FEED), ("{bad", E.PORTAL, E.FEED), ("[]", E.PORTAL, E.FEED), (None, None, E.FEED)])
+    got = {r.raw_id: r for r in E.candidates(df).collect()}
+    live, end = dt.datetime(2026, 10, 5, 11, 33, 20), dt.datetime(2026, 10, 5, 12, 33, 20)
+    assert {k: (r.starts_at, r.ends_at) for k, r in got.items()} == {"11": (live, end), "12": (dt.datetime(2026, 10, 11, 17), None), "13": (None, None), "14": (live, None), "17": (None, None)}
+    a = got["11"]
+    assert (a.canonical_url, a.description, a.format, a.event_type, a.registration_state, got["12"].format) == (f"{E.PORTAL}#/webinar/11", "About x", "online", "talk", "unknown", "unknown")
