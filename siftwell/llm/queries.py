@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwell.llm.common import read_table
+from siftwell.llm.common import materialize, read_table
 from siftwell.llm.exact_dedup import exact_dedup
 from siftwell.llm.hamming import top_k
+from siftwell.llm.hard_negatives import hard_negatives
 from siftwell.llm.language_model import lm_scores
 from siftwell.llm.mixing import mix
 from siftwell.llm.ngram_join import ngram_join
 from siftwell.llm.packing import pack
+from siftwell.llm.prefix_trie import branched, numbered_turns, trie_of, trie_report
 from siftwell.llm.quality import score_quality
 from siftwell.llm.substring_dedup import repeated_passages
 from siftwell.llm.token_counts import token_counts
@@ -80,6 +83,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the same number go by role and digest, null numbers first; null roles and texts are empty; rows without an id
+    are left out; repeated turns stay; conversations without turns end in the root; without any conversation the result is
+    empty; other columns are ignored."""
+    turns = materialize(numbered_turns(read_table(spark, sf_dir, "conversations")), "numbered")
+    return trie_report(trie_of(*branched(turns)))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 50; rows whose id is divisible by 7 carry the next label."""
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return hard_negatives(rows, "id % 50 = 0")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_topk_search": op2_topk_search,
@@ -91,6 +108,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE = {
@@ -161,5 +180,59 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(c
 FROM documents AS d
 JOIN (SELECT coalesce(text, '') AS body, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1) AS g
   ON g.body = coalesce(d.text, '')
+""",
+    "op12_prefix_trie": r"""
+WITH ids AS (
+  SELECT conv_id, max(no) AS n,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 4 AS h
+  FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS no FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS no,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), heads AS (
+  SELECT i.conv_id, i.h, i.conv_id - i.conv_id % 20 AS base, least(i.h, coalesce(b.n, 0)) AS taken FROM ids AS i LEFT JOIN ids AS b ON b.conv_id = i.conv_id - i.conv_id % 20
+), rebuilt AS (
+  SELECT h.conv_id, t.no, t.digest, t.words FROM heads AS h JOIN turns AS t ON t.conv_id = h.base AND t.no <= h.taken
+  UNION ALL
+  SELECT h.conv_id, t.no - h.h + h.taken, t.digest, t.words FROM heads AS h JOIN turns AS t ON t.conv_id = h.conv_id AND t.no > h.h
+), prefixes AS (
+  SELECT conv_id, no AS depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY no) AS path, words FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM heads
+), nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM prefixes GROUP BY depth, path
+), tree AS (
+  SELECT n.*, p.conv_id AS parent_conv_id FROM nodes AS n LEFT JOIN nodes AS p ON p.depth = n.depth - 1 AND p.path = left(n.path, 64 * (n.depth - 1)::INTEGER)
+), kids AS (
+  SELECT t.*, (SELECT count(*) FROM nodes AS k WHERE k.depth = t.depth + 1 AND left(k.path, 64 * t.depth::INTEGER) = t.path) AS n_children FROM tree AS t
+), sums AS (
+  SELECT a.depth, a.path, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved_tokens
+  FROM kids AS a JOIN kids AS b ON b.depth >= a.depth AND starts_with(b.path, a.path) GROUP BY a.depth, a.path
+), lasts AS (
+  SELECT conv_id, max(depth) AS depth, arg_max(path, depth) AS path FROM prefixes GROUP BY conv_id
+), ends AS (
+  SELECT depth, path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM lasts GROUP BY depth, path
+)
+SELECT k.conv_id, k.depth::BIGINT AS depth, k.parent_conv_id, k.n_convs, k.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM kids AS k JOIN sums AS s USING (depth, path) LEFT JOIN ends AS e USING (depth, path)
+""",
+    "op13_hard_negatives": """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM vectors AS a JOIN vectors AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score FROM pairs AS p WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+  n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives AS p JOIN pairs AS n ON n.anchor_id = p.anchor_id AND n.label <> p.anchor_label
+  AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) <= 3
 """,
 }
