@@ -226,8 +226,8 @@ def _of_one_size(ints: DataFrame, is_anchor, positives: int, negatives: int, low
     best = materialize(_first(met, ["anchor"], positives).select("anchor", F.col("no").alias("place"), F.col("row_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
     # the window of each positive, in scores and in distances: |q - x|^2 = |q|^2 + M^2 - 2 <q, x>
-    low_, high_ = F.col("positive_score") * low, F.col("positive_score") * high
-    window = best.withColumn("lo", F.ceil(low_.cast("decimal(30,0)") / 100).cast("long")).withColumn("hi", F.floor(high_.cast("decimal(30,0)") / 100).cast("long")).filter("lo <= hi")
+    exact = F.col("positive_score").cast("decimal(20,0)")
+    window = best.withColumn("lo", F.ceil(exact * low / 100).cast("long")).withColumn("hi", F.floor(exact * high / 100).cast("long")).filter("lo <= hi")
     windows = window.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("place", "lo", "hi"))).alias("windows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))  # one entry for each positive
     square = F.col("own") + F.lit(largest**2)
     hunting = anchors.join(windows, "anchor").join(anchors.select("anchor", "x").mapInArrow(_squares, "anchor long, own double"), "anchor")
