@@ -17,6 +17,7 @@ from siftwell.llm.prefix_trie import branched, numbered_turns, trie_of, trie_rep
 from siftwell.llm.quality import score_quality
 from siftwell.llm.substring_dedup import repeated_passages
 from siftwell.llm.token_counts import token_counts
+from siftwell.llm.toxicity import score_toxicity
 from siftwell.llm.url_filter import filter_urls
 
 URL_RULES = [
@@ -83,6 +84,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voters are mined from the labels of 20,000 ids at most, those of held-out rows left out; the label model, the classifier
+    and the scores cover all documents. A null id is held out by no remainder, so held_out is null there."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    scored = score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of the same number go by role and digest, null numbers first; null roles and texts are empty; rows without an id
     are left out; repeated turns stay; conversations without turns end in the root; without any conversation the result is
@@ -108,6 +117,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "op11_toxicity": op11_toxicity,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
