@@ -6,16 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.constants import CHUNK_CHARS, SEVERITY, TERMINAL_STATES, TRUST_RANK
+from siftwell.constants import CHUNK_CHARS, SEVERITY
 from siftwell.functions.text import combine_all, is_paid
-
-
-def rank(c: Column, table: dict[str, int]) -> Column:
-    """Place of a value in a table, 0 for others."""
-    out = F.lit(0)
-    for name, n in table.items():
-        out = F.when(c == name, n).otherwise(out)
-    return out
+from siftwell.operators.merge import rank, trust_merge
 
 
 def dedupe_fold(rows: DataFrame, key: str = "identity", order: str = "seq") -> DataFrame:
@@ -44,43 +37,7 @@ def dedupe_fold(rows: DataFrame, key: str = "identity", order: str = "seq") -> D
     return out.withColumn("is_explicitly_paid", F.coalesce("flag", F.lit(False)) | is_paid(F.col("price_text"))).drop("all", "flag")
 
 
-def trust_merge(existing: DataFrame, incoming: DataFrame, now: Column, fields: tuple[str, ...] = ("title", "venue")) -> DataFrame:
-    """Existing events and incoming observations of the same ``event_key``, folded by (observed_at, seq).
-
-    Rows: event_key, fields, registration_state, trust, score, status, ends_at, and for incoming observed_at and seq.
-    A field is taken if it is there and the event lacks it or trusts the observation as much. A weaker observation
-    neither sets nor clears a terminal state, and then does not set the status either. Trust and score never fall; an
-    eligible event is not demoted to needs_review; an event that is over is expired.
-    """
-    cols = [*fields, "registration_state", "trust", "score", "status", "ends_at"]
-    kinds = {f.name: f.dataType for f in incoming.schema.fields}
-    row = lambda a, b: F.struct(a.alias("at"), b.alias("seq"), *(F.col(c).cast(kinds[c]).alias(c) for c in cols))
-    first = existing.select("event_key", row(F.lit(None).cast(kinds["observed_at"]), F.lit(-1).cast("long")).alias("r"))
-    both = first.unionByName(incoming.select("event_key", row(F.col("observed_at"), F.col("seq").cast("long")).alias("r")))
-    grouped = both.groupBy("event_key").agg(F.array_sort(F.collect_list("r"), lambda a, b: F.when(a["seq"] == -1, -1).when(b["seq"] == -1, 1).when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).when(a["seq"] < b["seq"], -1).otherwise(1)).alias("rs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        wins = rank(x["trust"], TRUST_RANK) >= rank(acc["trust"], TRUST_RANK)
-        there = lambda v: v.isNotNull() & (v.cast("string") != "")
-        taken = {f: F.when(there(x[f]) & (~there(acc[f]) | wins), x[f]).otherwise(acc[f]) for f in fields}
-        end = x["status"] != "rejected"
-        trusted = end | wins
-        ends_at = F.when(trusted & x["ends_at"].isNotNull() & (acc["ends_at"].isNull() | wins), x["ends_at"]).otherwise(acc["ends_at"])
-        new, old = x["registration_state"], acc["registration_state"]
-        terminal = lambda s: s.isin(*TERMINAL_STATES)
-        refused = (new != "unknown") & ~wins & (terminal(new) | terminal(old))
-        state = F.when((new == "unknown") | refused, old).otherwise(new)
-        status = (
-            F.when(ends_at < now, "expired").when(refused | ~trusted, acc["status"])
-            .when((acc["status"] == "eligible") & (x["status"] == "needs_review"), acc["status"]).otherwise(x["status"])
-        )
-        trust = F.when(rank(x["trust"], TRUST_RANK) > rank(acc["trust"], TRUST_RANK), x["trust"]).otherwise(acc["trust"])
-        return F.struct(acc["at"].alias("at"), acc["seq"].alias("seq"), *(taken[f].alias(f) for f in fields), state.alias("registration_state"), trust.alias("trust"), F.greatest(acc["score"], x["score"]).alias("score"), status.alias("status"), ends_at.alias("ends_at"))
-
-    folded = grouped.select("event_key", F.aggregate(F.slice("rs", F.lit(2), F.size("rs")), F.element_at("rs", 1), step).alias("e"))
-    return folded.select("event_key", *(F.col(f"e.{c}") for c in cols))
-
-
+__all__ = ["dedupe_fold", "identity_resolve", "organizer_match", "pack_attributed", "pack_chunks", "rank", "reverted_schedules", "trust_merge"]
 MOST_ALIASES = 10_000
 
 

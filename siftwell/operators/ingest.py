@@ -1,7 +1,7 @@
 """Candidates become assessed events: identity, policy, classifier slot, merge with a change log, provenance.
 
 Events are a table keyed by ``event_key`` with the columns of EVENT. Nothing here depends on the number of rows of one
-batch: keys meet by equi-joins, the merge is one fold for each event over what changed.
+batch: keys meet by equi-joins, and the merge is running windows (see ``merge``).
 """
 
 from __future__ import annotations
@@ -9,28 +9,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.constants import EVENT_TYPES, MATERIAL_FIELDS, MINIMUM_SCORE, TERMINAL_STATES, TRUST_RANK
+from siftwell.constants import EVENT_TYPES, MINIMUM_SCORE
 from siftwell.functions import text as X
 from siftwell.functions import url as U
-from siftwell.functions.time import iso_text, within_window
+from siftwell.functions.time import within_window
+from siftwell.operators.arrival import identities, resolve_in_order, survivor_rank
 from siftwell.operators.events import assess, score
-from siftwell.operators.folds import identity_resolve, organizer_match, rank
+from siftwell.operators.folds import identity_resolve, organizer_match
+from siftwell.operators.merge import ASSESSED, EVENT, FACTS, GUARDED, KEPT, KNOWN, LISTS, OBSERVED, merge_observations
 
-FACTS = {
-    "title": "string", "organizer": "string", "description": "string", "venue": "string", "city": "string", "country": "string", "registration_url": "string",
-    "registration_deadline": "timestamp", "registration_opened_at": "timestamp", "first_observed_open_at": "timestamp",
-}
-GUARDED = {"starts_at": "timestamp", "ends_at": "timestamp", "price_text": "string", "eligibility_text": "string"}
-KNOWN = {"format": "string", "event_type": "string"}
-ASSESSED = {"organizer_trust": "string", "score": "long", "status": "string", "approval_required": "boolean", "concise_summary": "string", "ai_provenance": "map<string, string>"}
-LISTS = {"speakers": "array<string>", "topics": "array<string>"}
-OBSERVED = FACTS | GUARDED | KNOWN | ASSESSED | LISTS | {"registration_state": "string", "price_status": "string", "reason": "string", "source_url": "string"}
-KEPT = FACTS | GUARDED | KNOWN | ASSESSED | LISTS | {"registration_state": "string", "price_status": "string", "relevance_reason": "string", "source_urls": "array<string>"}
-EVENT = {"event_key": "string", "canonical_url": "string"} | KEPT
-CHANGE = "array<struct<seq: long, observed_at: timestamp, change_type: string, old_value: string, new_value: string>>"
+__all__ = ["ASSESSED", "EVENT", "FACTS", "GUARDED", "KEPT", "KNOWN", "LISTS", "OBSERVED", "merge_observations"]
 PROMPT = ("title", "description", "organizer", "eligibility_text", "price_text", "format", "event_type")
 VERDICT = "is_technical boolean, compatible_eligibility boolean, event_type string, topics array<string>, concise_summary string, rationale string"
 
@@ -42,19 +33,6 @@ class Ingested(NamedTuple):
     assessed: DataFrame
 
 
-def survivor_rank() -> Column:
-    """Orders events that share an identity: eligible ones, then those with more known facts, then by score."""
-    facts = [F.col(c).isNotNull() for c in ("starts_at", "ends_at", "registration_deadline")] + [F.coalesce(F.col(c), F.lit("")) != "" for c in ("venue", "city", "organizer", "description")]
-    facts += [F.coalesce(F.col(c), F.lit("unknown")) != "unknown" for c in ("format", "registration_state")]
-    return F.struct(F.coalesce(F.col("status") == "eligible", F.lit(False)).alias("eligible"), sum((f.cast("int") for f in facts), F.lit(0)).alias("facts"), F.coalesce("score", F.lit(0)).cast("long").alias("score"))
-
-
-def _identities(rows: DataFrame) -> DataFrame:
-    url = F.col("canonical_url")
-    key = X.normalized_key(*(F.col(c) for c in ("title", "organizer", "starts_at", "venue", "city")), F.coalesce("format", F.lit("unknown")))
-    return rows.withColumns({"identity": U.meetup_identity(url), "webinar": U.webinar_identity(url), "normalized_key": key})
-
-
 def prompts(rows: DataFrame) -> DataFrame:
     """(id, record): all that a classifier may see of a candidate, as JSON with nulls."""
     return rows.select("id", F.to_json(F.struct(*PROMPT), {"ignoreNullFields": "false"}).alias("record"))
@@ -122,115 +100,6 @@ def assess_candidates(
     return out.drop("paid", "excluded", "ineligible", "approval", "in_window", "local", "place_ok", "topic", "ambiguous", "said", "verdict", "online_allowed", "explicit_identity")
 
 
-def _there(v: Column, unknown: bool = False) -> Column:
-    t = v.cast("string")
-    return v.isNotNull() & (t != "") & (t != "unknown") if unknown else v.isNotNull() & (t != "")
-
-
-def _merged(e: Column, x: Column, now: Column, born: Column) -> Column:
-    """Event and observation -> the event afterwards. ``born``: the observation makes the event."""
-    wins = rank(x["organizer_trust"], TRUST_RANK) >= rank(e["organizer_trust"], TRUST_RANK)
-    heard = (x["status"] != "rejected") | wins
-    taken = lambda f, ok=F.lit(True), unknown=False: F.when(ok & _there(x[f], unknown) & (~_there(e[f], unknown) | wins), x[f]).otherwise(e[f])
-    new, old = x["registration_state"], e["registration_state"]
-    refused = (new != "unknown") & ~wins & (new.isin(*TERMINAL_STATES) | old.isin(*TERMINAL_STATES))
-    state = F.when((new == "unknown") | refused, old).otherwise(new)
-    out = {f: taken(f) for f in FACTS} | {f: taken(f, heard) for f in GUARDED} | {f: taken(f, unknown=True) for f in KNOWN}
-    reopened = ~born & old.isin("unknown", "closed") & (state == "open")
-    out["first_observed_open_at"] = F.coalesce(out["first_observed_open_at"], F.when(reopened, x["observed_at"]))
-    out["registration_state"] = state
-    out["price_status"] = F.when(heard & (x["price_status"] != "not_stated") & ((e["price_status"] == "not_stated") | wins), x["price_status"]).otherwise(e["price_status"])
-    none = F.array().cast("array<string>")
-    out |= {f: F.array_sort(F.array_union(F.coalesce(e[f], none), F.coalesce(x[f], none))) for f in LISTS}
-    out["source_urls"] = F.array_sort(F.array_union(F.coalesce(e["source_urls"], none), F.array(x["source_url"])))
-    out["concise_summary"] = F.when(_there(x["concise_summary"]), x["concise_summary"]).otherwise(e["concise_summary"])
-    out["ai_provenance"] = F.when(F.size(F.coalesce(x["ai_provenance"], F.create_map().cast("map<string, string>"))) > 0, x["ai_provenance"]).otherwise(e["ai_provenance"])
-    out["organizer_trust"] = F.when(wins, x["organizer_trust"]).otherwise(e["organizer_trust"])
-    out["approval_required"] = F.coalesce(e["approval_required"], F.lit(False)) | F.coalesce(x["approval_required"], F.lit(False))
-    out["relevance_reason"] = F.when(heard, x["reason"]).otherwise(e["relevance_reason"])
-    out["score"] = F.greatest(e["score"], x["score"])
-    over = F.coalesce(out["ends_at"], out["starts_at"]) < now
-    out["status"] = (
-        F.when(over, "expired").when(refused | ~heard, e["status"])
-        .when(~born & (e["status"] == "eligible") & (x["status"] == "needs_review"), e["status"]).otherwise(x["status"])
-    )
-    return F.struct(*(out[f].cast(kind).alias(f) for f, kind in KEPT.items()))
-
-
-def _said(v: Column, kind: str) -> Column:
-    return iso_text(v) if kind == "timestamp" else v.cast("string")
-
-
-def _with(rows: DataFrame, kinds: dict[str, str]) -> list[Column]:
-    """The columns, null where the rows lack one."""
-    have = set(rows.columns)
-    return [(F.col(f) if f in have else F.lit(None)).cast(kind).alias(f) for f, kind in kinds.items()]
-
-
-def merge_observations(events: DataFrame, observations: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Assessed observations, each with ``event_key``, ``observed_at`` and ``seq``, folded into the events in that order.
-
-    Returns (events, changes, sources). A fact is taken if it is there and the event lacks it or trusts the observation as
-    much. A weaker observation neither sets nor clears a terminal state. Evidence that is rejected and weaker fills no gap
-    in times, price and eligibility, and what it said is kept with its source as ``unmerged_facts``. An event that is not
-    known yet is made by the first observation that is not rejected, with one change ``new_event``; later ones give a
-    change for every material field that differs, but for a registration url that leads to the same place.
-
-    Columns that the rows lack are null; a null state is unknown, a null status needs_review, and a row without a key takes
-    no part. An observation that repeats its predecessor changes nothing and goes before the fold, so the group of an event that is
-    seen over and over holds its changes only.
-    """
-    order = Window.partitionBy("event_key").orderBy("at", "seq")
-    at = {"canonical_url": "string", "seq": "long", "source_name": "string", "raw_id": "string", "is_explicitly_paid": "boolean"}
-    seen = observations.filter("event_key IS NOT NULL").select("event_key", *_with(observations, {"observed_at": "timestamp", **at, **OBSERVED}))
-    seen = seen.withColumns({"price_status": X.price_status(F.col("price_text"), F.col("is_explicitly_paid")), "registration_state": F.coalesce("registration_state", F.lit("unknown")), "status": F.coalesce("status", F.lit("needs_review"))})
-    seen = seen.select(F.col("event_key").cast("string").alias("event_key"), F.col("observed_at").cast("timestamp").alias("at"), *_with(seen, at), F.struct(*_with(seen, OBSERVED | {"observed_at": "timestamp"})).alias("x"))
-    facts = F.struct("canonical_url", *(F.col(f"x.{f}") for f in OBSERVED if f != "ai_provenance"), F.to_json("x.ai_provenance").alias("ai"))
-    first = F.lag(F.lit(1)).over(order).isNull()
-    runs = seen.withColumn("facts", facts).withColumn("fresh", first | ~F.lag("facts").over(order).eqNullSafe(F.col("facts")))
-    news = runs.filter("fresh").groupBy("event_key").agg(F.collect_list(F.struct("at", "seq", "canonical_url", "x")).alias("xs"))
-
-    known = events.select(F.col("event_key").cast("string").alias("event_key"), F.col("canonical_url").alias("known_url"), F.struct(*_with(events, KEPT)).alias("known"))
-    both = known.join(news, "event_key", "full")
-    blank = {f: F.lit(None).cast(kind) for f, kind in KEPT.items()} | {"registration_state": F.lit("unknown"), "price_status": F.lit("not_stated"), "organizer_trust": F.lit("low"), "score": F.lit(0).cast("long"), "format": F.lit("unknown"), "event_type": F.lit("unknown")}
-    empty = F.struct(*(v.cast(KEPT[f]).alias(f) for f, v in blank.items()))
-    start = F.struct(F.coalesce("known", empty).alias("e"), F.col("known").isNotNull().alias("made"), F.col("known_url").alias("url"), F.array().cast(CHANGE).alias("changes"))
-
-    def step(acc: Column, o: Column) -> Column:
-        x, e = o["x"], acc["e"]
-        change = lambda kind, a, b: F.struct(o["seq"].alias("seq"), o["at"].alias("observed_at"), F.lit(kind).alias("change_type"), a.cast("string").alias("old_value"), b.cast("string").alias("new_value"))
-
-        def then(m: Column) -> Column:
-            diffs = [F.when(~_said(e[f], KEPT[f]).eqNullSafe(_said(m[f], KEPT[f])), change(kind, _said(e[f], KEPT[f]), _said(m[f], KEPT[f]))) for f, kind in MATERIAL_FIELDS.items()]
-            born = F.array(change("new_event", F.lit(None), F.lit("qualified")))
-            told = F.when(acc["made"], F.filter(F.array(*diffs), lambda d: d.isNotNull())).otherwise(born)
-            return F.struct(m.alias("e"), F.lit(True).alias("made"), F.coalesce(acc["url"], o["canonical_url"]).alias("url"), F.concat(acc["changes"], told).alias("changes"))
-
-        once = F.transform(F.array(_merged(e, x, now, ~acc["made"])), then)[0]  # the merged event is evaluated once
-        return F.when(acc["made"] | (x["status"] != "rejected"), once).otherwise(acc)
-
-    sorted_ = F.array_sort(F.coalesce("xs", F.array().cast(news.schema["xs"].dataType)), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0))
-    folded = both.select("event_key", F.aggregate(sorted_, start, step).alias("r")).filter("r.made")
-    out = folded.select("event_key", F.col("r.url").alias("canonical_url"), *(F.col(f"r.e.{f}").alias(f) for f in KEPT))
-    changes = folded.select("event_key", F.explode("r.changes").alias("c")).select("event_key", "c.*")
-    changes = changes.filter(~((F.col("change_type") == "registration_url") & U.same_destination(F.col("old_value"), F.col("new_value"))))
-    return out, changes, _sources(events, runs, order)
-
-
-def _sources(events: DataFrame, runs: DataFrame, order: Window) -> DataFrame:
-    """The last evidence of each event and source url: (event_key, source_url, source_name, raw_id, observed_at, evidence)."""
-    trust = lambda c: rank(F.col(c), TRUST_RANK)
-    known = events.select(F.col("event_key").cast("string").alias("event_key"), trust("organizer_trust").alias("before"))
-    rows = runs.join(known, "event_key", "left")
-    made = F.col("before").isNotNull() | F.max((F.col("x.status") != "rejected").cast("int")).over(order).cast("boolean")
-    rows = rows.withColumn("applied", made).filter("applied").withColumn("most", F.greatest(F.coalesce("before", F.lit(1)), F.max(trust("x.organizer_trust")).over(order)))
-    weak = (F.col("x.status") == "rejected") & (trust("x.organizer_trust") < F.col("most"))
-    kept = F.struct(iso_text(F.col("x.starts_at")).alias("starts_at"), iso_text(F.col("x.ends_at")).alias("ends_at"), F.nullif("x.price_text", F.lit("")).alias("price_text"), F.when(F.col("is_explicitly_paid"), True).alias("is_explicitly_paid"), F.nullif("x.eligibility_text", F.lit("")).alias("eligibility_text"))
-    lost = F.nullif(F.to_json(kept), F.lit("{}"))
-    row = F.struct("source_name", "raw_id", F.col("at").alias("observed_at"), F.col("x.organizer_trust").alias("organizer_trust"), F.when(weak, lost).alias("unmerged_facts"))
-    return rows.groupBy("event_key", F.col("x.source_url").alias("source_url")).agg(F.max_by(row, F.struct("at", "seq")).alias("s")).select("event_key", "source_url", "s.*")
-
-
 def expire(events: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(events with those eligible ones expired that are over, one change for each of them)"""
     over = F.coalesce((F.col("status") == "eligible") & (F.coalesce("ends_at", "starts_at") < now), F.lit(False))
@@ -238,32 +107,24 @@ def expire(events: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     return events.withColumn("status", F.when(over, "expired").otherwise(F.col("status"))), gone
 
 
-def _new_keys(rows: DataFrame) -> DataFrame:
-    """(id, key) for candidates that match no event. Those of one identity or url are one event, named by it; it joins the
-    earliest event of the batch with the same normalized key, unless both have an identity and it differs."""
-    own = rows.withColumn("own", F.coalesce("identity", "canonical_url"))
-    heads = own.filter("status <> 'rejected'").groupBy("own").agg(F.min_by(F.struct("normalized_key", "identity", "webinar"), "id").alias("h"), F.min("id").alias("id")).select("own", "h.*", "id")
-    lead = heads.groupBy("normalized_key").agg(F.min_by(F.struct("own", "identity", "webinar"), "id").alias("l"))
-    apart = lambda n: F.coalesce(F.col(n) != F.col(f"l.{n}"), F.lit(False))
-    named = heads.join(lead, "normalized_key").select("own", F.when(apart("identity") | apart("webinar"), F.col("own")).otherwise(F.col("l.own")).alias("key"))
-    return own.join(named, "own", "left").select("id", F.coalesce("key", "own").alias("key"))
-
-
 def ingest(candidates: DataFrame, events: DataFrame, now: Column, organizers: DataFrame, aliases: DataFrame, domains: DataFrame, **policy) -> Ingested:
     """A batch of candidates (``id`` in order of arrival, ``observed_at`` and facts) meets the events.
 
-    Each candidate is matched with an event, gets the time at which registration was first seen open where the event was
-    not, is assessed, and is merged. ``policy`` goes to ``assess_candidates``. The state that a candidate is compared with
-    before its assessment is that of the events as given, not of earlier rows of the batch. The assessed rows are stored
-    under ``spark.checkpoint.dir``, so a classifier is asked once about each.
+    Each candidate gets the time at which registration was first seen open where its event was not, and is assessed; then
+    candidates are matched and merged one after another, as they arrive (see ``arrival``). ``policy`` goes to
+    ``assess_candidates``. The state that a candidate is compared with before its assessment is that of the events as
+    given, not of earlier rows of the batch. The assessed rows are stored under ``spark.checkpoint.dir``, so a classifier is asked
+    once about each.
     """
     marks = ("identity", "webinar", "normalized_key")
-    rows = _identities(candidates)
-    known = _identities(events).select(F.col("event_key").alias("id"), "canonical_url", *marks, survivor_rank().alias("rank"))
+    rows = identities(candidates)
+    known = identities(events).select(F.col("event_key").alias("id"), "canonical_url", *marks, survivor_rank().alias("rank"))
     hits = identity_resolve(rows.select(F.col("id").alias("seq"), "canonical_url", *marks), known).select(F.col("seq").alias("id"), "event_id")
     met = rows.join(hits, "id").join(events.select(F.col("event_key").alias("event_id"), F.col("registration_state").alias("was")), "event_id", "left")
     opened = F.coalesce(F.col("was").isin("unknown", "closed") & (F.col("registration_state") == "open"), F.lit(False))
     met = met.withColumn("first_observed_open_at", F.coalesce("first_observed_open_at", F.when(opened, F.col("observed_at")))).drop("was")
     assessed = assess_candidates(met, organizers, aliases, domains, now, **policy).checkpoint()
-    keyed = assessed.join(_new_keys(assessed.filter("event_id IS NULL")), "id", "left").withColumn("event_key", F.coalesce("event_id", "key")).withColumn("seq", F.col("id"))
-    return Ingested(*merge_observations(events, keyed.drop("event_id", "key"), now), assessed.drop("event_id", *marks))
+    arrived = assessed.withColumn("seq", F.col("id"))
+    guess = arrived.select("seq", F.coalesce("event_id", "identity", "canonical_url").alias("event_key"))
+    keyed = arrived.join(resolve_in_order(arrived, events, now, guess), "seq").drop("event_id", *marks)
+    return Ingested(*merge_observations(events, keyed, now, ("seq",)), assessed.drop("event_id", *marks))
