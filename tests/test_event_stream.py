@@ -56,13 +56,13 @@ def test_any_split_into_batches(spark, rocks, tmp_path, cuts):
 
 
 def test_an_eligible_event_expires_by_its_timer(spark, rocks, tmp_path):
-    end = dt.datetime.now(dt.UTC).replace(tzinfo=None) + dt.timedelta(seconds=12)
+    end = dt.datetime.now(dt.UTC).replace(tzinfo=None) + dt.timedelta(seconds=30)
     x = some(random.Random(1), "k", 1) | {"status": "eligible", "starts_at": end, "ends_at": None, "organizer_trust": "high", "registration_state": "open"}
     df = frame(spark, [x], KINDS)
     df.write.parquet(str(tmp_path / "in"))
     query = start(spark, tmp_path, None, df.schema, "1 second")
     try:
-        for _ in range(60):
+        for _ in range(75):
             time.sleep(1)
             if (tmp_path / "out").exists():
                 out = spark.read.option("basePath", str(tmp_path / "out")).schema("kind string, change_type string, old_value string, new_value string, batch int").parquet(str(tmp_path / "out"))
