@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,12 +57,61 @@ def is_public_ipv4(address: Column) -> Column:
     return F.when(ok, ~private)
 
 
+# IPv6 networks by their first groups and lengths. Inside 2000::/3 addresses are public but for CLOSED, and in
+# CLOSED those of OPENED are. Outside it only the old site-local network counts as public, so mapped IPv4 addresses never do.
+OPEN6 = (("2000", 3), ("fec0", 10))
+CLOSED6 = (("2001", 23), ("2001:db8", 32), ("2002", 16))
+OPENED6 = (("2001:1:0:0:0:0:0:1", 128), ("2001:1:0:0:0:0:0:2", 128), ("2001:3", 32), ("2001:4:112", 48), ("2001:20", 28), ("2001:30", 28))
+
+
+def ipv6_groups(address: Column) -> Column:
+    """The eight numbers of an IPv6 address without brackets; null where it is none. Its end may be a dotted IPv4 address."""
+    tail = F.regexp_extract_all(address, F.lit(r"(?<=[:.])\d{1,3}(?=\.|$)"), F.lit(0))
+    octets = F.transform(tail, lambda o: o.try_cast("int"))
+    dotted = address.rlike(r":\d{1,3}(?:\.\d{1,3}){3}$")
+    four = F.slice(octets, -4, 4)
+    joined = F.concat(F.lower(F.hex(four[0] * 256 + four[1])), F.lit(":"), F.lower(F.hex(four[2] * 256 + four[3])))
+    plain = F.when(~address.contains("."), address).when(dotted & ~F.exists(four, lambda o: o > 255), F.concat(F.regexp_replace(address, r"[\d.]+$", ""), joined))
+    sides = F.split(plain, "::", 3)
+    groups = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":"))
+    head, rest = groups(sides[0]), groups(F.element_at(sides, -1))
+    gap = F.lit(8) - F.size(head) - F.size(rest)
+    whole = F.when(F.size(sides) == 1, head).when((F.size(sides) == 2) & (gap >= 1), F.concat(head, F.array_repeat(F.lit("0"), gap), rest))
+    sound = (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
+    return F.when(sound, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def _in_network(groups: Column, network: tuple[str, int]) -> Column:
+    first, length = [int(x, 16) for x in network[0].split(":")], network[1]
+    ok = F.lit(True)
+    for i in range(-(-length // 16)):
+        mask = 0xFFFF & ~(0xFFFF >> min(16, length - 16 * i))
+        ok = ok & (groups[i].bitwiseAND(mask) == ((first[i] if i < len(first) else 0) & mask))
+    return ok
+
+
+def is_public_ipv6(address: Column) -> Column:
+    """Whether an IPv6 address is globally reachable; null where it is none."""
+
+    def judged(g: Column) -> Column:
+        among = lambda nets: reduce(or_, (_in_network(g, n) for n in nets))
+        return F.when(g.isNotNull(), among(OPEN6) & (~among(CLOSED6) | among(OPENED6)))
+
+    return _once(ipv6_groups(address), judged)
+
+
+def is_public_ip(address: Column) -> Column:
+    """Either kind of address; null where it is none."""
+    return F.coalesce(is_public_ipv4(address), is_public_ipv6(address))
+
+
 def is_valid(url: Column) -> Column:
-    """HTTP(S) with a host, without credentials, not local."""
+    """HTTP(S) with a host, without credentials, not local; an address must be public."""
     h = host(url)
     return F.coalesce(
         scheme(url).isin("http", "https") & (h != "") & ~_part(url, 2).contains("@") & (h != "localhost") & ~h.endswith(".localhost")
-        & (F.regexp_extract(_part(url, 2), r":([^:\]]*)$", 1).rlike(r"^\d*$")) & F.coalesce(is_public_ipv4(h), F.lit(True)) & ~h.rlike(r"^\[(::1?|f[cde].*)\]$"),
+        & (F.regexp_extract(_part(url, 2), r":([^:\]]*)$", 1).rlike(r"^\d*$")) & F.coalesce(is_public_ipv4(h), F.lit(True))
+        & F.when(h.startswith("["), F.coalesce(is_public_ipv6(F.regexp_extract(h, r"^\[(.*)\]$", 1)), F.lit(False))).otherwise(True),
         F.lit(False),
     )
 

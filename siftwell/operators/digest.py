@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.constants import ATTEMPTS, CHUNK_CHARS
+from siftwell.constants import ATTEMPTS, CHUNK_CHARS, TERMINAL_STATES
 from siftwell.functions.text import casefold
 from siftwell.functions.time import backoff_minutes, urgency
 from siftwell.operators.folds import pack_attributed
 
 
 def pending(changes: DataFrame, events: DataFrame, now: Column) -> DataFrame:
-    """Changes not yet digested with their events, of those that are eligible and not over, in order of observation.
-    events: event_id, status, starts_at."""
-    open_ = (F.col("status") == "eligible") & (F.col("starts_at").isNull() | (F.col("starts_at") >= now))
-    return changes.filter(F.col("digested_at").isNull()).join(events.filter(open_), "event_id").orderBy("observed_at", "id")
+    """Changes not yet digested with their events, in order of observation: those of eligible events that are not over, and
+    those by which an event has come to a terminal state, eligible or not. An event is over by its end, or else its start.
+    events: event_id, status, starts_at, and perhaps ends_at and registration_state."""
+    have = set(events.columns)
+    end = F.coalesce("ends_at", "starts_at") if "ends_at" in have else F.col("starts_at")
+    visible = (F.col("status") == "eligible") & (end.isNull() | (end >= now))
+    final = F.col("registration_state").isin(*TERMINAL_STATES) if "registration_state" in have else F.lit(False)
+    told = final & F.col("change_type").isin("registration_state", "lifecycle")
+    return changes.filter(F.col("digested_at").isNull()).join(events, "event_id").filter(F.coalesce(visible, F.lit(False)) | F.coalesce(told, F.lit(False))).orderBy("observed_at", "id")
 
 
 def grouped_changes(changes: DataFrame) -> DataFrame:

@@ -38,7 +38,30 @@ def dedupe_fold(rows: DataFrame, key: str = "identity", order: str = "seq") -> D
 
 
 __all__ = ["dedupe_fold", "identity_resolve", "organizer_match", "pack_attributed", "pack_chunks", "rank", "reverted_schedules", "trust_merge"]
-MOST_ALIASES = 10_000
+def _grams(text: Column, lengths: Column) -> Column:
+    """What an alias may be found by: runs of as many words as the lengths say, joined; for length 0 its signs, one by one."""
+    words = F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
+    runs = lambda n: F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+    signs = F.transform(F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.regexp_replace(text, r"(?U)\w", ""), ""))), lambda c: F.concat(F.lit("\0"), c))
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.when(n == 0, signs).when(n <= F.size(words), runs(n)).otherwise(F.array().cast("array<string>")))))
+
+
+def alias_hits(labels: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(organizer, position): labels that hold an alias as a whole phrase, case ignored.
+
+    An alias is looked up by all its words at once: the words of a phrase that stands alone are whole words of the label in a row. So labels
+    meet aliases by equality of runs of words, as long as aliases are, and each pair that meets is verified once. Aliases without any
+    word are looked up by their first sign. There may be any number of either.
+    """
+    low = F.lower("alias")
+    words = F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0))
+    key = F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(F.concat(F.lit("\0"), F.left(low, F.lit(1))))
+    index = aliases.filter("alias IS NOT NULL").select("position", low.alias("alias"), key.alias("gram"), F.size(words).alias("n"))
+    lengths = sorted(r["n"] for r in index.select("n").distinct().collect())  # as many as aliases have different numbers of words
+    asked = labels.select("organizer").dropna().distinct().withColumn("gram", F.explode(_grams(F.lower("organizer"), F.array(*map(F.lit, lengths)).cast("array<int>"))))
+    quoted = F.replace("alias", F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    named = F.regexp_like(F.lower("organizer"), F.concat(F.lit(r"(?U)(?<!\w)\Q"), quoted, F.lit(r"\E(?!\w)")))
+    return asked.join(index, "gram").filter(named).select("organizer", "position").distinct()
 
 
 def organizer_match(candidates: DataFrame, organizers: DataFrame, aliases: DataFrame, domains: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
@@ -47,19 +70,15 @@ def organizer_match(candidates: DataFrame, organizers: DataFrame, aliases: DataF
 
     An alias confirmed by a domain or a profile comes first, then a domain, an alias, a profile; of one kind the first
     organizer. Only a domain, or a profile with an alias, gives an organizer's trust and its permission for online events.
-    Aliases are configuration: MOST_ALIASES at most, which go to every task and meet each distinct label once. Hosts meet
-    domains by equality of suffixes.
+    Labels meet aliases by equality of runs of words (``alias_hits``), hosts meet domains by equality of suffixes.
     """
-    if aliases.limit(MOST_ALIASES + 1).count() > MOST_ALIASES:
-        raise ValueError(f"more than {MOST_ALIASES} aliases")
     from siftwell.functions.text import casefold
     from siftwell.functions.url import host_suffixes
 
     def flagged(rows: DataFrame, kind: str) -> DataFrame:
         return rows.select("id", "position", *(F.lit(k == kind).alias(k) for k in "adp"))
 
-    named = F.expr(r"coalesce(lower(organizer) rlike concat('(?U)(?<!\\w)\\Q', lower(alias), '\\E(?!\\w)'), false)")
-    labels = candidates.select("organizer").dropna().distinct().join(F.broadcast(aliases), named).select("organizer", "position").distinct()
+    labels = alias_hits(candidates, aliases)
     parts = flagged(candidates.join(labels, "organizer"), "a")
     parts = parts.unionByName(flagged(candidates.select("id", F.explode(host_suffixes(casefold(F.col("host")))).alias("domain")).join(domains, "domain"), "d"))
     if profiles is not None:

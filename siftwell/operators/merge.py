@@ -30,7 +30,7 @@ OBSERVED = FACTS | GUARDED | KNOWN | ASSESSED | LISTS | {"registration_state": "
 KEPT = FACTS | GUARDED | KNOWN | ASSESSED | LISTS | {"registration_state": "string", "price_status": "string", "relevance_reason": "string", "source_urls": "array<string>"}
 EVENT = {"event_key": "string", "canonical_url": "string"} | KEPT
 
-_HOW = {"last": lambda c: F.last(c, ignorenulls=True), "first": lambda c: F.first(c, ignorenulls=True), "max": F.max}
+_HOW = {"last": lambda c: F.last(c, ignorenulls=True), "first": lambda c: F.first(c, ignorenulls=True), "max": F.max, "sum": F.sum}
 
 
 def rank(c: Column, table: dict[str, int] = TRUST_RANK) -> Column:
@@ -62,20 +62,20 @@ class Ranges:
         self.split = not ends.filter("a < b").isEmpty()
 
     def running(self, rows: DataFrame, columns: dict[str, tuple[str, Column]], before: bool = False) -> DataFrame:
-        """Adds the running ``last`` or ``first`` value that is not null, or ``max``, up to each row; before: without the row."""
+        """Adds the running ``last`` or ``first`` value that is not null, ``max`` or ``sum``, up to each row; before: without the row."""
         spot = Window.partitionBy(self.key, "range").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
         inputs = rows.withColumns({f"in_{n}": c for n, (_, c) in columns.items()})
         gone = [f"in_{n}" for n in columns]
         if not self.split:
             return inputs.withColumns({n: _HOW[how](F.col(f"in_{n}")).over(spot) for n, (how, _) in columns.items()}).drop(*gone)
         place = F.struct(*self.order)
-        of_range = {"last": lambda c: F.max_by(c, F.when(c.isNotNull(), place)), "first": lambda c: F.min_by(c, F.when(c.isNotNull(), place)), "max": F.max}
+        of_range = {"last": lambda c: F.max_by(c, F.when(c.isNotNull(), place)), "first": lambda c: F.min_by(c, F.when(c.isNotNull(), place)), "max": F.max, "sum": F.sum}
         ranges = inputs.groupBy(self.key, "range").agg(*(of_range[how](F.col(f"in_{n}")).alias(n) for n, (how, _) in columns.items()))
         earlier = Window.partitionBy(self.key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         first = F.row_number().over(Window.partitionBy(self.key).orderBy("range"))
         carried = ranges.select(self.key, "range", first.alias("nth"), *(_HOW[how](F.col(n)).over(earlier).alias(f"on_{n}") for n, (how, _) in columns.items())).filter("nth > 1").drop("nth")
         out = inputs.withColumns({f"at_{n}": _HOW[how](F.col(f"in_{n}")).over(spot) for n, (how, _) in columns.items()}).join(carried, [self.key, "range"], "left")
-        both = {"last": lambda a, b: F.coalesce(a, b), "first": lambda a, b: F.coalesce(b, a), "max": lambda a, b: F.greatest(a, b)}
+        both = {"last": lambda a, b: F.coalesce(a, b), "first": lambda a, b: F.coalesce(b, a), "max": lambda a, b: F.greatest(a, b), "sum": lambda a, b: F.coalesce(a + b, a, b)}
         values = {n: both[how](F.col(f"at_{n}"), F.col(f"on_{n}")) for n, (how, _) in columns.items()}
         return out.withColumns(values).drop(*gone, *(f"{p}_{n}" for n in columns for p in ("at", "on")))
 

@@ -11,6 +11,8 @@ from siftwell.functions import text as X
 from siftwell.functions import url as U
 from siftwell.functions.time import epoch_millis, ist_display
 from siftwell.operators import folds, ingest
+from siftwell.operators.arrival import identities, resolve_in_order
+from siftwell.operators.fetching import overlapping, robots_verdicts
 from siftwell.plans import scalars
 from siftwell.plans.relational import read
 from siftwell.sources import extract as E
@@ -168,6 +170,34 @@ add("identity_resolve", identity_query, f"""WITH p AS (SELECT page_id, {scalars.
  SELECT p.page_id AS seq, r.id AS event_id, CAST(r.tier AS INTEGER) AS tier FROM p LEFT JOIN r ON r.seq = p.page_id AND r.no = 1""")
 
 
+def arrival_query(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages as candidates in the order of their ids; those of one host share titles, so that merges change keys."""
+    k = F.col("page_id")
+    none = {f: F.lit(None).cast(t) for f, t in ingest.OBSERVED.items()}
+    p = read(spark, sf, "pages").select(k.alias("seq"), F.col("url").alias("canonical_url")).withColumns(none)
+    k = F.col("seq")
+    p = p.withColumns({"title": F.concat(F.lit("Talk "), (k % 40).cast("string")), "organizer": U.host(F.col("canonical_url")), "format": F.lit("online"), "status": F.when(k % 11 == 0, "rejected").otherwise("eligible"), "organizer_trust": F.when(k % 3 == 0, "high").otherwise("low"), "registration_state": F.lit("open"), "source_url": F.col("canonical_url"), "observed_at": F.timestamp_seconds(k), "score": k % 16})
+    events = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in ingest.EVENT.items()))
+    return resolve_in_order(identities(p), events, F.lit(dt.datetime(2026, 6, 1)).cast("timestamp")).select(F.col("seq").alias("page_id"), "event_key")
+
+
+add("identity_in_order", arrival_query)
+
+
+def robots_query(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages against rules that are read at each full hour, with every fifth page's path denied."""
+    pages = read(spark, sf, "pages").select(F.col("page_id").alias("id"), "url", F.timestamp_seconds(F.col("page_id") * 60).alias("at"))
+    net = F.concat(U.scheme(F.col("url")), F.lit("://"), U.host(F.col("url")))
+    files = pages.filter("id % 60 = 0").select(net.alias("origin"), F.col("at").alias("fetched_at"), (F.col("id") % 120 == 0).alias("readable")).distinct()
+    paths = pages.filter("id % 5 = 0").select(net.alias("origin"), U.path(F.col("url")).alias("prefix")).distinct()
+    rules = files.filter("readable").join(paths, "origin").select("origin", "fetched_at", "prefix", F.lit(False).alias("allow"))
+    rules = rules.unionByName(files.select("origin", "fetched_at", F.lit("/en/").alias("prefix"), F.lit(True).alias("allow")))
+    return robots_verdicts(pages, files, rules).withColumnRenamed("id", "page_id")
+
+
+add("robots_verdicts", robots_query)
+
+
 def organizer_query(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "pages").select(F.col("page_id").alias("id"), U.host(F.col("url")).alias("host"), F.element_at(F.array(F.lit("Example Club"), F.lit("the Net group"), F.lit(None).cast("string"), F.lit("Exampled")), (F.col("page_id") % 4 + 1).cast("int")).alias("organizer"))
     o = spark.createDataFrame([(1, "Example", "high"), (2, "Net", "medium")], "position int, name string, trust string")
@@ -188,7 +218,14 @@ def digest_render(spark: SparkSession, sf: str) -> DataFrame:
 
 add("digest_render", digest_render, "SELECT o_orderkey, concat_ws(chr(10), '• ' || c_name, strftime(o_orderdate + INTERVAL 330 MINUTE, '%a, %d %b · %-I:%M %p IST'), CASE WHEN o_orderkey % 2 = 0 THEN replace(lower(c_mktsegment), '_', ' ') END, 'Score ' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR)) AS block FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey")
 add("chunk_pack", lambda spark, sf: read(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("blocks")).select("conv_id", F.posexplode(folds.pack_chunks(F.col("blocks"))).alias("chunk_index", "body")))
-add("span_overlap", lambda spark, sf: (lambda c: c.alias("a").join(c.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.lo") < F.col("b.hi") - 5) & (F.col("a.hi") > F.col("b.lo") - 5) & (F.col("a.turn") != F.col("b.turn"))).select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn"), F.col("b.turn").alias("other")))(read(spark, sf, "conversations").withColumn("lo", F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("hi", F.col("lo") + F.length("text")).select("conv_id", "turn", "lo", "hi")), "WITH c AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, length(text) AS n FROM conversations AS c0) SELECT a.conv_id, a.turn, b.turn AS other FROM c AS a JOIN c AS b ON a.conv_id = b.conv_id AND a.lo < b.lo + b.n - 5 AND a.lo + a.n > b.lo - 5 AND a.turn <> b.turn")
+def span_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as spans of their conversation's characters, those that come within five of each other."""
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    c = read(spark, sf, "conversations").withColumn("lo", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+    return overlapping(c.withColumn("hi", F.col("lo") + F.length("text")), 1000, -5)
+
+
+add("span_overlap", span_query, "WITH c AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, length(text) AS n FROM conversations AS c0) SELECT a.conv_id, a.turn, b.turn AS other FROM c AS a JOIN c AS b ON a.conv_id = b.conv_id AND a.lo < b.lo + b.n - 5 AND a.lo + a.n > b.lo - 5 AND a.turn <> b.turn")
 add("event_payload", lambda spark, sf: read(spark, sf, "pages").select("page_id", F.to_json(F.struct("page_id", U.safe_outbound(F.col("url")).alias("url"))).alias("payload")), f"SELECT page_id, '{{\"page_id\":' || CAST(page_id AS VARCHAR) || ',\"url\":\"' || {scalars._PLAIN} || '\"}}' AS payload FROM pages AS p")
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftwell.operators.fetching import scheduled
 from siftwell.operators.digest import completed_changes, digest_order, due_deliveries, grouped_changes, mark_digested, pending, run_pairs, run_states
 from siftwell.operators.events import due, latest_runs, matching, quorum, ranked, refresh_queue, source_health
 
@@ -131,7 +132,13 @@ def count_render(spark: SparkSession, sf: str) -> DataFrame:
 
 add("count_render", count_render, "SELECT user_id, string_agg(CAST(n AS VARCHAR) || ' ' || event_type || CASE WHEN n = 1 THEN '' ELSE 's' END, '; ' ORDER BY event_type) AS summary FROM (SELECT user_id, event_type, count(*) AS n FROM events AS e GROUP BY 1, 2) AS t GROUP BY user_id")
 add("semi_join_source", lambda spark, sf: read(spark, sf, "orders").join(read(spark, sf, "lineitem").join(read(spark, sf, "supplier").filter(F.col("s_name").ilike("%00001%")), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders AS o WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem AS l JOIN supplier AS s ON l.l_suppkey = s.s_suppkey WHERE s_name ILIKE '%00001%')")
-add("pending_changes", lambda spark, sf: pending(changes(spark, sf), customers(spark, sf), F.lit(AS_OF)).select("id", "event_id", "change_type", "title"), f"WITH {CHANGES_SQL}, {CUSTOMERS_SQL} SELECT c.id, c.event_id, c.change_type, u.title FROM ch AS c JOIN cu AS u ON c.event_id = u.event_id WHERE c.digested_at IS NULL AND u.status = 'eligible' AND (u.starts_at IS NULL OR u.starts_at >= TIMESTAMP '2024-01-31')")
+def pending_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Events end a day after they begin; every fourth has been cancelled."""
+    e = customers(spark, sf).withColumns({"ends_at": F.col("starts_at") + F.make_dt_interval(F.lit(1)), "registration_state": F.when(F.col("event_id") % 4 == 0, "cancelled").otherwise("open")})
+    return pending(changes(spark, sf), e, F.lit(AS_OF)).select("id", "event_id", "change_type", "title")
+
+
+add("pending_changes", pending_query, f"WITH {CHANGES_SQL}, {CUSTOMERS_SQL} SELECT c.id, c.event_id, c.change_type, u.title FROM ch AS c JOIN cu AS u ON c.event_id = u.event_id WHERE c.digested_at IS NULL AND ((u.status = 'eligible' AND (u.starts_at IS NULL OR u.starts_at + INTERVAL 1 DAY >= TIMESTAMP '2024-01-31')) OR (u.event_id % 4 = 0 AND c.change_type IN ('registration_state', 'lifecycle')))")
 add("digest_group", lambda spark, sf: grouped_changes(changes(spark, sf)).select("event_id", F.array_join(F.transform("changes", lambda x: x["id"].cast("string")), ",").alias("ids")), f"WITH {CHANGES_SQL} SELECT event_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY observed_at, id) AS ids FROM ch AS c GROUP BY event_id")
 add("distinct_join", lambda spark, sf: changes(spark, sf).groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("change_type")), lambda x: F.replace(x, F.lit("_"), F.lit(" "))), ", ").alias("kinds")), f"WITH {CHANGES_SQL} SELECT event_id, string_agg(DISTINCT change_type, ', ' ORDER BY change_type) AS kinds FROM ch AS c GROUP BY event_id")
 add("count_distinct", lambda spark, sf: changes(spark, sf).agg(F.count_distinct("event_id").alias("n_events"), F.count_distinct("change_type").alias("n_types")), f"WITH {CHANGES_SQL} SELECT count(DISTINCT event_id) AS n_events, count(DISTINCT change_type) AS n_types FROM ch AS c")
@@ -169,7 +176,13 @@ add("dup_detect", lambda spark, sf: read(spark, sf, "part").groupBy("p_name").ag
 add("any_paid", lambda spark, sf: read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_discount") > 0).alias("any_paid")), "SELECT l_orderkey, bool_or(l_discount > 0) AS any_paid FROM lineitem AS l GROUP BY l_orderkey")
 add("array_union_sorted", lambda spark, sf: read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.array_union(F.collect_set("l_partkey"), F.collect_set("l_suppkey"))), lambda x: x.cast("string")), ",").alias("ids")), "SELECT l_orderkey, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT l_orderkey, l_partkey AS id FROM lineitem AS a UNION SELECT l_orderkey, l_suppkey FROM lineitem AS b) AS t GROUP BY l_orderkey")
 add("array_union_ordered", lambda spark, sf: read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])), ",").alias("roles")), "SELECT conv_id, string_agg(role, ',' ORDER BY first) AS roles FROM (SELECT conv_id, role, min(struct_pack(t := turn, r := role)) AS first FROM conversations AS c GROUP BY 1, 2) AS t GROUP BY conv_id")
-add("rate_limit_gaps", lambda spark, sf: read(spark, sf, "events").select("event_id", "user_id", "ts", F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("prev")).filter("prev IS NOT NULL").select("event_id", F.greatest(F.lit(0), F.lit(3_000_000) - (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev").cast("timestamp")))).cast("long").alias("wait_us")), "SELECT event_id, greatest(0, 3000000 - (epoch_us(ts) - epoch_us(prev))) AS wait_us FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events AS e) AS t WHERE prev IS NOT NULL")
+def rate_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as requests of their users, a million seconds apart at least."""
+    e = read(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("host"), F.col("ts").alias("at"))
+    return scheduled(e, F.lit(10**12)).select(F.col("id").alias("event_id"), "wait_us")
+
+
+add("rate_limit_gaps", rate_query, "WITH n AS (SELECT user_id, event_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events AS e) SELECT event_id, CAST(max(at - no * 1000000000000) OVER (PARTITION BY user_id ORDER BY at, event_id ROWS UNBOUNDED PRECEDING) + no * 1000000000000 - at AS BIGINT) AS wait_us FROM n AS x")
 add("open_transition", lambda spark, sf: read(spark, sf, "events").withColumn("prev", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("event_type = 'purchase' AND prev IN ('view', 'error')").groupBy("user_id").agg(F.min("ts").alias("first_open")), "SELECT user_id, min(ts) AS first_open FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events AS e) AS t WHERE event_type = 'purchase' AND prev IN ('view', 'error') GROUP BY user_id")
 add("revert_format", lambda spark, sf: read(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("oldest"), F.max_by("event_type", F.struct("ts", "event_id")).alias("current")).filter("oldest = current").select("user_id", "current"), "SELECT user_id, cur AS current FROM (SELECT user_id, first(event_type ORDER BY ts, event_id) AS old, last(event_type ORDER BY ts, event_id) AS cur FROM events AS e GROUP BY user_id) AS t WHERE old = cur")
 add("schedule_balance", lambda spark, sf: (lambda e: e.select("user_id", F.explode(F.array(F.struct(F.col("prev").alias("value"), F.lit(-1).alias("n")), F.struct(F.col("event_type").alias("value"), F.lit(1).alias("n")))).alias("x")).groupBy("user_id", "x.value").agg(F.sum("x.n").alias("balance")))(read(spark, sf, "events").withColumn("prev", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("prev IS NOT NULL")), "WITH t AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events AS e) SELECT user_id, value, CAST(sum(n) AS BIGINT) AS balance FROM (SELECT user_id, prev AS value, -1 AS n FROM t AS a WHERE prev IS NOT NULL UNION ALL SELECT user_id, event_type, 1 FROM t AS b WHERE prev IS NOT NULL) AS u GROUP BY 1, 2")

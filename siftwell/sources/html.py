@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
@@ -20,8 +21,6 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Keys below which nodes of JSON documents are looked for.
 NODE_KEYS = ("@graph", "events", "data", "results", "items", "edges")
-#: Nesting beyond this is not followed: elements open there become siblings.
-DEEPEST = 500
 
 
 class Node:
@@ -68,18 +67,26 @@ class Node:
     def select(self, selectors: str) -> list[Node]:
         """Descendants that match any of the comma-separated selectors, in document order."""
         chains = [s.split() for s in selectors.split(",") if s.strip()]
-
-        def match(n: Node, chain: list[str]) -> bool:
-            if not n.fits(chain[-1]):
-                return False
-            up, rest = n.parent, chain[:-1]
-            while rest and up is not None:
-                if up.fits(rest[-1]):
-                    rest = rest[:-1]
-                up = up.parent
-            return not rest
-
-        return [n for n in self.walk() if any(match(n, c) for c in chains)]
+        above = tuple(0 for _ in chains)
+        for n in self._path():  # how much of each chain the ancestors match, from the top down, is the most that can be matched
+            above = tuple(k + (k < len(c) - 1 and n.fits(c[k])) for k, c in zip(above, chains, strict=True))
+        out, todo = [], [(n, above) for n in self.children[::-1] if isinstance(n, Node)]
+        while todo:
+            n, above = todo.pop()
+            if any(k == len(c) - 1 and n.fits(c[-1]) for k, c in zip(above, chains, strict=True)):
+                out.append(n)
+            if n.children:
+                below = tuple(k + (k < len(c) - 1 and n.fits(c[k])) for k, c in zip(above, chains, strict=True))
+                todo += [(child, below) for child in n.children[::-1] if isinstance(child, Node)]
+        return out
+
+    def _path(self) -> list[Node]:
+        """From the root to this node."""
+        out, n = [], self
+        while n is not None:
+            out.append(n)
+            n = n.parent
+        return out[::-1]
 
     def first(self, selectors: str) -> Node | None:
         return next(iter(self.select(selectors)), None)
@@ -89,25 +96,26 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root")
-        self.depth = 0
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
-        if tag not in VOID and self.depth < DEEPEST:
+        if tag not in VOID:
             self.at = node
-            self.depth += 1
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
-        n, up = self.at, 1
-        while n.parent is not None and n.tag != tag:
-            n, up = n.parent, up + 1
-        if n.parent is not None:
-            self.at = n.parent
-            self.depth -= up
+        if not self.open[tag]:
+            return
+        while True:  # every element is closed once, however deep
+            n, self.at = self.at, self.at.parent
+            self.open[n.tag] -= 1
+            if n.tag == tag:
+                return
 
     def handle_data(self, data):
         self.at.children.append(data)
