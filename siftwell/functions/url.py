@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,20 +79,25 @@ def ipv6_groups(address: Column) -> Column:
     return F.when(sound, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int")))
 
 
-def _in_network(groups: Column, network: tuple[str, int]) -> Column:
-    first, length = [int(x, 16) for x in network[0].split(":")], network[1]
-    ok = F.lit(True)
-    for i in range(-(-length // 16)):
-        mask = 0xFFFF & ~(0xFFFF >> min(16, length - 16 * i))
-        ok = ok & (groups[i].bitwiseAND(mask) == ((first[i] if i < len(first) else 0) & mask))
-    return ok
+def _networks(networks: tuple[tuple[str, int], ...]) -> Column:
+    """Networks as an array of (first, mask), eight numbers each."""
+
+    def eight(numbers: list[int]) -> str:
+        return f"array({', '.join(map(str, numbers))})"
+
+    rows = []
+    for text, length in networks:
+        first = ([int(x, 16) for x in text.split(":")] + [0] * 8)[:8]
+        mask = [0xFFFF & ~(0xFFFF >> max(0, min(16, length - 16 * i))) for i in range(8)]
+        rows.append(f"struct({eight([f & m for f, m in zip(first, mask, strict=True)])} AS first, {eight(mask)} AS mask)")
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def is_public_ipv6(address: Column) -> Column:
     """Whether an IPv6 address is globally reachable; null where it is none."""
 
     def judged(g: Column) -> Column:
-        among = lambda nets: reduce(or_, (_in_network(g, n) for n in nets))
+        among = lambda nets: F.exists(_networks(nets), lambda n: F.forall(F.arrays_zip(g.alias("g"), n["first"].alias("f"), n["mask"].alias("m")), lambda z: z["g"].bitwiseAND(z["m"]) == z["f"]))
         return F.when(g.isNotNull(), among(OPEN6) & (~among(CLOSED6) | among(OPENED6)))
 
     return _once(ipv6_groups(address), judged)

@@ -46,10 +46,10 @@ def versions(events: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
     return ranges.running(out, {"created": ("first", F.col("time")), "url": ("first", F.col("canonical_url"))}).select("event_key", "time", "created", F.col("url").alias("canonical_url"), "normalized_key", "rank")
 
 
-def _look_up(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """(seq, event_key): the event that each candidate meets as of its arrival. held: ``versions``."""
-    fixed = held.groupBy("event_key").agg(F.min("created").alias("created"), F.first("canonical_url").alias("its_url"))
-    fixed = fixed.withColumns({"its_identity": U.meetup_identity(F.col("its_url")), "its_webinar": U.webinar_identity(F.col("its_url"))})
+def _look_up(rows: DataFrame, held: DataFrame, urls: DataFrame) -> DataFrame:
+    """(seq, event_key): the event that each candidate meets as of its arrival. held: ``versions``. urls: its_url,
+    its_identity, its_webinar of all urls."""
+    fixed = held.groupBy("event_key").agg(F.min("created").alias("created"), F.first("canonical_url").alias("its_url")).join(urls, "its_url", "left")
     asked = rows.select("seq", "identity", "webinar", "canonical_url", "normalized_key")
     ever = held.select("event_key", "normalized_key").distinct()
     # who may be met: a pair of candidate and event once, however often the event has had the key
@@ -80,11 +80,15 @@ def resolve_in_order(rows: DataFrame, events: DataFrame, now: Column, guess: Dat
     """
     c = F.col
     own = F.coalesce("identity", "canonical_url")
-    rows = rows.withColumn("own", own)
+    # the identity of a url is read once, not in each round
+    told = rows.select(c("canonical_url").alias("its_url"), c("identity").alias("its_identity"), c("webinar").alias("its_webinar"))
+    known = events.select(c("canonical_url").alias("its_url"), U.meetup_identity(c("canonical_url")).alias("its_identity"), U.webinar_identity(c("canonical_url")).alias("its_webinar"))
+    urls = told.unionByName(known).dropna(subset=["its_url"]).dropDuplicates(["its_url"]).checkpoint()
+    rows = rows.withColumn("own", own).checkpoint()
     assigned = (rows.select("seq", own.alias("event_key")) if guess is None else guess.select("seq", "event_key")).checkpoint()
     while True:
         held = versions(events, rows.join(assigned, "seq"), now).checkpoint()
-        found = rows.select("seq", "own", "status").join(_look_up(rows, held), "seq", "left")
+        found = rows.select("seq", "own", "status").join(_look_up(rows, held, urls), "seq", "left")
         again = found.select("seq", F.coalesce("event_key", F.when(c("status") != "rejected", c("own"))).alias("event_key")).checkpoint()
         if again.join(assigned.withColumnRenamed("event_key", "before"), "seq").filter(~c("event_key").eqNullSafe(c("before"))).isEmpty():
             return again

@@ -59,19 +59,19 @@ def robots_verdicts(requests: DataFrame, files: DataFrame, rules: DataFrame) ->
     return met.join(best, "row", "left").select("id", verdict.alias("verdict")).unionByName(asked.filter("origin IS NULL").select("id", F.lit("deny").alias("verdict")))
 
 
-def overlapping(spans: DataFrame, width: int, slack: int = 0, key: str = "conv_id", id_col: str = "turn") -> DataFrame:
-    """spans: key, id_col, lo, hi -> (key, id_col, other): pairs of different spans of a key of which each begins before the other
-    ends by more than ``slack`` (a negative one asks for that much in common).
+def overlapping(spans: DataFrame, width: int, before: int = 0, after: int = 0, key: str = "conv_id", id_col: str = "turn") -> DataFrame:
+    """spans: key, id_col, lo, hi -> (key, id_col, other): pairs of different spans of a key, of which the first begins before the
+    other's end + ``before`` and ends after the other's begin - ``after``.
 
     Spans are cut into bins of ``width`` and meet by bin; a pair is kept in the first bin that both have, so none comes twice. With a
     width about as long as spans, the work grows with the pairs that there are. Null bounds overlap with nothing.
     """
     c = F.col
     bin_of = lambda x: F.floor(x / width)
-    reach = max(0, slack)
+    reach = max(0, before, after)
     rows = spans.filter("lo IS NOT NULL AND hi IS NOT NULL").select(key, c(id_col).alias("span"), "lo", "hi").withColumns({"first": bin_of(c("lo") - reach), "last": bin_of(F.greatest(c("lo"), c("hi")) + reach)})
     cut = rows.withColumn("bin", F.explode(F.sequence("first", "last")))
     a, b = cut.alias("a"), cut.alias("b")
-    near = (c("a.lo") < c("b.hi") + slack) & (c("a.hi") > c("b.lo") - slack) & (c("a.span") != c("b.span")) & (c("a.bin") == F.greatest("a.first", "b.first"))
+    near = (c("a.lo") < c("b.hi") + before) & (c("a.hi") > c("b.lo") - after) & (c("a.span") != c("b.span")) & (c("a.bin") == F.greatest("a.first", "b.first"))
     met = a.join(b, (c(f"a.{key}") == c(f"b.{key}")) & (c("a.bin") == c("b.bin")) & near)
     return met.select(c(f"a.{key}").alias(key), c("a.span").alias(id_col), c("b.span").alias("other"))

@@ -219,10 +219,10 @@ def digest_render(spark: SparkSession, sf: str) -> DataFrame:
 add("digest_render", digest_render, "SELECT o_orderkey, concat_ws(chr(10), '• ' || c_name, strftime(o_orderdate + INTERVAL 330 MINUTE, '%a, %d %b · %-I:%M %p IST'), CASE WHEN o_orderkey % 2 = 0 THEN replace(lower(c_mktsegment), '_', ' ') END, 'Score ' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR)) AS block FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey")
 add("chunk_pack", lambda spark, sf: read(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("blocks")).select("conv_id", F.posexplode(folds.pack_chunks(F.col("blocks"))).alias("chunk_index", "body")))
 def span_query(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns as spans of their conversation's characters, those that come within five of each other."""
+    """Turns as spans of their conversation's characters, with five characters between or more in common."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     c = read(spark, sf, "conversations").withColumn("lo", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
-    return overlapping(c.withColumn("hi", F.col("lo") + F.length("text")), 1000, -5)
+    return overlapping(c.withColumn("hi", F.col("lo") + F.length("text")), 1000, -5, 5)
 
 
 add("span_overlap", span_query, "WITH c AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, length(text) AS n FROM conversations AS c0) SELECT a.conv_id, a.turn, b.turn AS other FROM c AS a JOIN c AS b ON a.conv_id = b.conv_id AND a.lo < b.lo + b.n - 5 AND a.lo + a.n > b.lo - 5 AND a.turn <> b.turn")

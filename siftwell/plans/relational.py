@@ -182,7 +182,7 @@ def rate_query(spark: SparkSession, sf: str) -> DataFrame:
     return scheduled(e, F.lit(10**12)).select(F.col("id").alias("event_id"), "wait_us")
 
 
-add("rate_limit_gaps", rate_query, "WITH n AS (SELECT user_id, event_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events AS e) SELECT event_id, CAST(max(at - no * 1000000000000) OVER (PARTITION BY user_id ORDER BY at, event_id ROWS UNBOUNDED PRECEDING) + no * 1000000000000 - at AS BIGINT) AS wait_us FROM n AS x")
+add("rate_limit_gaps", rate_query, "WITH n AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM events AS e) SELECT event_id, CAST(max(t - no * 1000000000000) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) + no * 1000000000000 - t AS BIGINT) AS wait_us FROM n AS x")
 add("open_transition", lambda spark, sf: read(spark, sf, "events").withColumn("prev", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("event_type = 'purchase' AND prev IN ('view', 'error')").groupBy("user_id").agg(F.min("ts").alias("first_open")), "SELECT user_id, min(ts) AS first_open FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events AS e) AS t WHERE event_type = 'purchase' AND prev IN ('view', 'error') GROUP BY user_id")
 add("revert_format", lambda spark, sf: read(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("oldest"), F.max_by("event_type", F.struct("ts", "event_id")).alias("current")).filter("oldest = current").select("user_id", "current"), "SELECT user_id, cur AS current FROM (SELECT user_id, first(event_type ORDER BY ts, event_id) AS old, last(event_type ORDER BY ts, event_id) AS cur FROM events AS e GROUP BY user_id) AS t WHERE old = cur")
 add("schedule_balance", lambda spark, sf: (lambda e: e.select("user_id", F.explode(F.array(F.struct(F.col("prev").alias("value"), F.lit(-1).alias("n")), F.struct(F.col("event_type").alias("value"), F.lit(1).alias("n")))).alias("x")).groupBy("user_id", "x.value").agg(F.sum("x.n").alias("balance")))(read(spark, sf, "events").withColumn("prev", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("prev IS NOT NULL")), "WITH t AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events AS e) SELECT user_id, value, CAST(sum(n) AS BIGINT) AS balance FROM (SELECT user_id, prev AS value, -1 AS n FROM t AS a WHERE prev IS NOT NULL UNION ALL SELECT user_id, event_type, 1 FROM t AS b WHERE prev IS NOT NULL) AS u GROUP BY 1, 2")

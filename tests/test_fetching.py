@@ -61,13 +61,13 @@ def test_site_rules(spark):
     assert found == {i: judged(u, at) for i, u, at in asked} and set(found.values()) == {"allow", "deny", "unknown"}
 
 
-@pytest.mark.parametrize("slack", [-5, 0, 3])
-def test_spans(spark, slack):
+@pytest.mark.parametrize(("before", "after"), [(-5, 5), (0, 0), (3, -2)])
+def test_spans(spark, before, after):
     rng = random.Random(3)
     rows = [(rng.randrange(3), i, lo := rng.randrange(500), lo + rng.choice([0, 1, 7, 40, 300])) for i in range(200)] + [(0, 500, None, 4), (0, 501, 4, None)]
-    got = sorted(tuple(r) for r in overlapping(spark.createDataFrame(rows, "conv_id long, turn long, lo long, hi long"), 20, slack).collect())
+    got = sorted(tuple(r) for r in overlapping(spark.createDataFrame(rows, "conv_id long, turn long, lo long, hi long"), 20, before, after).collect())
     full = [r for r in rows if None not in r]
-    assert got == sorted((a[0], a[1], b[1]) for a in full for b in full if a[0] == b[0] and a[1] != b[1] and a[2] < b[3] + slack and a[3] > b[2] - slack)
+    assert got == sorted((a[0], a[1], b[1]) for a in full for b in full if a[0] == b[0] and a[1] != b[1] and a[2] < b[3] + before and a[3] > b[2] - after)
 
 
 def test_one_long_conversation_of_spans(spark):
