@@ -62,21 +62,35 @@ CLOSED6 = (("2001", 23), ("2001:db8", 32), ("2002", 16))
 OPENED6 = (("2001:1:0:0:0:0:0:1", 128), ("2001:1:0:0:0:0:0:2", 128), ("2001:3", 32), ("2001:4:112", 48), ("2001:20", 28), ("2001:30", 28))
 
 
+def _once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once."""
+    return F.transform(F.array(x), then)[0]
+
+
+def _hex_tail(address: Column) -> Column:
+    """The address with a dotted IPv4 end written as two groups; null where the end is no address."""
+    octets = F.transform(F.split(F.regexp_extract(address, r"([0-9.]*)$", 1), r"\."), lambda o: o.try_cast("int"))
+    group = lambda o, i: F.hex(o[i] * 256 + o[i + 1])
+    joined = _once(octets, lambda o: F.when((F.size(o) == 4) & F.forall(o, lambda x: x.between(0, 255)), F.concat(group(o, 0), F.lit(":"), group(o, 2))))
+    return F.when(~address.contains("."), address).when(address.rlike(r":\d{1,3}(?:\.\d{1,3}){3}$"), F.concat(F.regexp_replace(address, r"[\d.]+$", ""), joined))
+
+
 def ipv6_groups(address: Column) -> Column:
     """The eight numbers of an IPv6 address without brackets; null where it is none. Its end may be a dotted IPv4 address."""
-    tail = F.regexp_extract_all(address, F.lit(r"(?<=[:.])\d{1,3}(?=\.|$)"), F.lit(0))
-    octets = F.transform(tail, lambda o: o.try_cast("int"))
-    dotted = address.rlike(r":\d{1,3}(?:\.\d{1,3}){3}$")
-    four = F.slice(octets, -4, 4)
-    joined = F.concat(F.lower(F.hex(four[0] * 256 + four[1])), F.lit(":"), F.lower(F.hex(four[2] * 256 + four[3])))
-    plain = F.when(~address.contains("."), address).when(dotted & ~F.exists(four, lambda o: o > 255), F.concat(F.regexp_replace(address, r"[\d.]+$", ""), joined))
-    sides = F.split(plain, "::", 3)
-    groups = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":"))
-    head, rest = groups(sides[0]), groups(F.element_at(sides, -1))
-    gap = F.lit(8) - F.size(head) - F.size(rest)
-    whole = F.when(F.size(sides) == 1, head).when((F.size(sides) == 2) & (gap >= 1), F.concat(head, F.array_repeat(F.lit("0"), gap), rest))
-    sound = (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
-    return F.when(sound, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    def side(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+
+    def filled(ends: Column) -> Column:
+        gap = F.lit(8) - F.size(ends["head"]) - F.size(ends["rest"])
+        return F.when(ends["n"] == 1, ends["head"]).when((ends["n"] == 2) & (gap >= 1), F.concat(ends["head"], F.array_repeat(F.lit("0"), gap), ends["rest"]))
+
+    def numbers(groups: Column) -> Column:
+        sound = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
+        return F.when(sound, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    parted = _once(F.split(_once(address, _hex_tail), "::", 3), lambda s: F.struct(F.size(s).alias("n"), side(s[0]).alias("head"), side(F.element_at(s, -1)).alias("rest")))
+    return _once(_once(parted, filled), numbers)
 
 
 def _networks(networks: tuple[tuple[str, int], ...]) -> Column:
@@ -110,13 +124,13 @@ def is_public_ip(address: Column) -> Column:
 
 def is_valid(url: Column) -> Column:
     """HTTP(S) with a host, without credentials, not local; an address must be public."""
-    h = host(url)
-    return F.coalesce(
-        scheme(url).isin("http", "https") & (h != "") & ~_part(url, 2).contains("@") & (h != "localhost") & ~h.endswith(".localhost")
-        & (F.regexp_extract(_part(url, 2), r":([^:\]]*)$", 1).rlike(r"^\d*$")) & F.coalesce(is_public_ipv4(h), F.lit(True))
-        & F.when(h.startswith("["), F.coalesce(is_public_ipv6(F.regexp_extract(h, r"^\[(.*)\]$", 1)), F.lit(False))).otherwise(True),
-        F.lit(False),
-    )
+
+    def named(h: Column) -> Column:
+        bracketed = F.when(h.startswith("["), F.coalesce(is_public_ipv6(F.regexp_extract(h, r"^\[(.*)\]$", 1)), F.lit(False))).otherwise(True)
+        return (h != "") & (h != "localhost") & ~h.endswith(".localhost") & F.coalesce(is_public_ipv4(h), F.lit(True)) & bracketed
+
+    net = _part(url, 2)
+    return F.coalesce(scheme(url).isin("http", "https") & ~net.contains("@") & F.regexp_extract(net, r":([^:\]]*)$", 1).rlike(r"^\d*$") & _once(host(url), named), F.lit(False))
 
 
 def _kept(q: Column, keys: tuple[str, ...], prefix: str | None) -> Column:
@@ -152,11 +166,6 @@ def normalize(url: Column) -> Column:
     return F.when(is_valid(url), _built(url, path(url), _kept(query(url), TRACKING_KEYS, TRACKING_PREFIX), _event_route(url)))
 
 
-def _once(x: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is evaluated once."""
-    return F.transform(F.array(x), then)[0]
-
-
 def _meetup(n: Column) -> Column:
     ok = host(n).isin("meetup.com", "www.meetup.com") & path(n).rlike(r"^/(?:[^/]+/)?events/[^/]+/?$")
     return F.when(ok, _built(n, F.regexp_replace(path(n), "/+$", ""), _kept(query(n), MEETUP_TRACKING_KEYS, None), F.lit("")))

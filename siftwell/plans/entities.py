@@ -12,12 +12,14 @@ from siftwell.functions import url as U
 from siftwell.functions.time import epoch_millis, ist_display
 from siftwell.operators import folds, ingest
 from siftwell.operators.arrival import identities, resolve_in_order
+from siftwell.operators.delivery import suppressed
 from siftwell.operators.fetching import overlapping, robots_verdicts
 from siftwell.plans import scalars
 from siftwell.plans.relational import read
 from siftwell.sources import extract as E
 from siftwell.sources import html as H
 from siftwell.sources import registry
+from siftwell.sources.hydrate import hydrate
 
 QUERIES, ORACLE = {}, {}
 
@@ -198,6 +200,30 @@ def robots_query(spark: SparkSession, sf: str) -> DataFrame:
 add("robots_verdicts", robots_query)
 
 
+def hydrate_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Each host is a source whose listing is its first page; the visits that its links lead to."""
+    pages = read(spark, sf, "pages").select("url", "html", F.timestamp_seconds("page_id").alias("observed_at"))
+    sources = pages.filter(U.host(F.col("url")) != "").groupBy(U.host(F.col("url")).alias("source_name")).agg(F.array(F.min_by("url", "observed_at")).alias("urls"))
+    sources = sources.withColumns({"detail_selector": F.lit("a"), "detail_prefixes": F.array(F.lit("/")), "max_detail_pages": F.lit(50)})
+    return hydrate(sources, pages).visits
+
+
+add("hydrate_pages", hydrate_query)
+
+
+def suppressed_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Event types of users as formats that change: the changes of those who are back where they began."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf, "events").withColumn("old_value", F.lag("event_type").over(order))
+    changes = e.filter("old_value IS NOT NULL").select(F.col("event_id").alias("id"), F.col("user_id").alias("event_id"), F.lit("format").alias("change_type"), "old_value", F.col("event_type").alias("new_value"), F.col("ts").cast("timestamp").alias("observed_at"))
+    none = F.lit(None).cast("timestamp")
+    now = e.groupBy(F.col("user_id").alias("event_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("format")).withColumns({"starts_at": none, "ends_at": none})
+    return suppressed(changes, now)
+
+
+add("suppressed_changes", suppressed_query, "WITH t AS (SELECT event_id, user_id, ts, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events AS e), u AS (SELECT user_id, first(event_type ORDER BY ts, event_id) AS a, last(event_type ORDER BY ts, event_id) AS b FROM events AS e GROUP BY user_id) SELECT t.event_id AS id, 'format reverted' AS why FROM t JOIN u ON t.user_id = u.user_id WHERE t.old IS NOT NULL AND u.a = u.b")
+
+
 def organizer_query(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "pages").select(F.col("page_id").alias("id"), U.host(F.col("url")).alias("host"), F.element_at(F.array(F.lit("Example Club"), F.lit("the Net group"), F.lit(None).cast("string"), F.lit("Exampled")), (F.col("page_id") % 4 + 1).cast("int")).alias("organizer"))
     o = spark.createDataFrame([(1, "Example", "high"), (2, "Net", "medium")], "position int, name string, trust string")
