@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,13 +13,13 @@ from siftwell.constants import CITY_WORDS, DASHBOARD_LIMIT, TERMINAL_STATES
 from siftwell.functions.text import phrase
 
 
-def matching(
-    events: DataFrame, *, status: str | None = "eligible", event_type: str | None = None, event_types: list[str] | None = None, format: str | None = None,
+def conditions(
+    *, status: str | None = "eligible", event_type: str | None = None, event_types: list[str] | None = None, format: str | None = None,
     registration_state: str | None = None, text: str | None = None, organizer: str | None = None, start_after: Column | dt.datetime | None = None,
     start_before: Column | dt.datetime | None = None, before_exclusive: bool = False, opened_after: Column | dt.datetime | None = None, city_only: bool = False,
-    as_of: Column | dt.datetime | None = None, topic: str | None = None, sources: DataFrame | None = None, source_name: str | None = None,
-) -> DataFrame:
-    """Events that pass all the given filters. Text is a pattern of ILIKE: % and _ in it are not escaped."""
+    as_of: Column | dt.datetime | None = None, topic: str | None = None,
+) -> list[Column]:
+    """The conditions of all the given filters. Text is a pattern of ILIKE: % and _ in it are not escaped."""
     at = lambda x: x if isinstance(x, Column) else F.lit(x)
     tests: list[Column] = []
     tests += [F.col(name) == value for name, value in (("status", status), ("event_type", event_type), ("format", format), ("registration_state", registration_state)) if value is not None]
@@ -42,13 +42,27 @@ def matching(
         tests.append(end.isNull() | (end >= at(as_of)))
     if topic:
         tests.append(phrase(F.concat_ws(" ", "title", "description", F.array_join("topics", " ")), topic))
-    out = reduce(DataFrame.filter, tests, events)
+    return tests
+
+
+def matching(events: DataFrame, *, sources: DataFrame | None = None, source_name: str | None = None, **filters) -> DataFrame:
+    """Events that pass all the given filters (see ``conditions``), and that a source whose name has ``source_name`` has told of."""
+    out = reduce(DataFrame.filter, conditions(**filters), events)
     if sources is not None and source_name:
         found = sources.filter(F.col("source_name").ilike(f"%{source_name}%")).select(F.col("event_id").alias("id"))
         out = out.join(found, "id", "left_semi")
     return out
 
 
+def sections(events: DataFrame, filters: dict[str, dict], limit: int = DASHBOARD_LIMIT) -> DataFrame:
+    """The first ``limit`` events of each section, with the column ``section``: one scan of the events, whatever the number of
+    sections. filters: the filters of each section by its name, in which no status means eligible ones."""
+    tests = {name: reduce(and_, conditions(**how), F.lit(True)) for name, how in filters.items()}
+    names = F.filter(F.array(*(F.when(t, F.lit(name)) for name, t in tests.items())), lambda n: n.isNotNull())
+    order = Window.partitionBy("section").orderBy(F.desc("score"), F.asc_nulls_last("starts_at"), "id")
+    return events.withColumn("section", F.explode(names)).withColumn("no", F.row_number().over(order)).filter(F.col("no") <= limit).drop("no")
+
+
 def ranked(events: DataFrame, limit: int = DASHBOARD_LIMIT) -> DataFrame:
     """Best score first, then the earliest start, events without one last."""
     return events.orderBy(F.desc("score"), F.asc_nulls_last("starts_at"), "id").limit(limit)

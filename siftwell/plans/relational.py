@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.operators.fetching import scheduled
 from siftwell.operators.digest import completed_changes, digest_order, due_deliveries, grouped_changes, mark_digested, pending, run_pairs, run_states
-from siftwell.operators.events import due, latest_runs, matching, quorum, ranked, refresh_queue, source_health
+from siftwell.operators.events import due, latest_runs, matching, quorum, ranked, refresh_queue, sections, source_health
 
 AS_OF, ORDERS_AS_OF = dt.datetime(2024, 1, 31), dt.datetime(2001, 8, 2)
 
@@ -104,18 +104,13 @@ add(
 )
 
 
-def sections(spark: SparkSession, sf: str) -> DataFrame:
-    base = order_events(spark, sf)
+def section_query(spark: SparkSession, sf: str) -> DataFrame:
     kinds = {"urgent": {"event_type": "1-URGENT"}, "high": {"event_types": ["1-URGENT", "2-HIGH"]}, "open": {"status": "O"}, "recent": {"start_after": dt.datetime(2001, 1, 1)}, "opened": {"opened_after": dt.datetime(2001, 1, 1)}, "cars": {"organizer": "auto"}}
-    out = None
-    for name, how in kinds.items():
-        one = ranked(matching(base, **({"status": None} | how)), 10).select(F.lit(name).alias("section"), "id", "score")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return sections(order_events(spark, sf), {name: {"status": None} | how for name, how in kinds.items()}, 10).select("section", "id", "score")
 
 
 _SECTION_SQL = {"urgent": "event_type = '1-URGENT'", "high": "event_type IN ('1-URGENT', '2-HIGH')", "open": "status = 'O'", "recent": "starts_at >= TIMESTAMP '2001-01-01'", "opened": "registration_opened_at >= TIMESTAMP '2001-01-01' OR first_observed_open_at >= TIMESTAMP '2001-01-01'", "cars": "organizer ILIKE '%auto%'"}
-add("sections", sections, f"WITH {EVENTS_SQL} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS section, id, score FROM ev AS x WHERE {w} ORDER BY score DESC, starts_at ASC NULLS LAST, id LIMIT 10) AS s_{n}" for n, w in _SECTION_SQL.items()))
+add("sections", section_query, f"WITH {EVENTS_SQL} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS section, id, score FROM ev AS x WHERE {w} ORDER BY score DESC, starts_at ASC NULLS LAST, id LIMIT 10) AS s_{n}" for n, w in _SECTION_SQL.items()))
 add("refresh_queue", lambda spark, sf: refresh_queue(order_events(spark, sf).withColumn("status", F.when(F.col("status") == "O", "eligible").otherwise("rejected"))).select("id", "starts_at"), f"WITH {EVENTS_SQL} SELECT id, starts_at FROM ev AS x WHERE status = 'O' ORDER BY starts_at ASC NULLS FIRST, id LIMIT 50")
 add("source_health", lambda spark, sf: source_health(runs(spark, sf)), f"WITH {RUNS_SQL}, {LATEST_SQL} SELECT source_name, started_at, fetched_count, CASE WHEN error IS NOT NULL THEN 'error' WHEN coalesce(fetched_count, 0) = 0 THEN 'degraded' ELSE 'ok' END AS state FROM latest AS l")
 add("health_quorum", lambda spark, sf: quorum(cadences(spark, sf), runs(spark, sf), F.lit(AS_OF)), f"WITH {RUNS_SQL}, {LATEST_SQL}, {CADENCE_SQL}, t AS (SELECT count(*) AS total, count(*) FILTER (WHERE l.started_at IS NOT NULL AND l.error IS NULL AND TIMESTAMP '2024-01-31' - l.started_at <= to_hours(s.cadence_hours * 2)) AS fresh FROM src AS s LEFT JOIN latest AS l ON s.source_name = l.source_name) SELECT total, fresh, greatest(1, CAST(ceil(total / 2.0) AS BIGINT)) AS needed, fresh >= greatest(1, CAST(ceil(total / 2.0) AS BIGINT)) AS healthy FROM t AS q")

@@ -92,7 +92,7 @@ def arrivals(rng, n):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_batches_in_any_order(spark, seed):
     rng = random.Random(seed)
     first = arrivals(rng, 40)
