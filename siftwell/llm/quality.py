@@ -1,10 +1,12 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other.
 
-Both views are logistic models. In each round all documents outside the labelled sample are scored in one distributed
-pass: those that a view is sure of are pseudo-labelled for the other view, which learns them as sums of gradients and
-Hessians that the tasks make at its current weights. A view may mark a class only while its sure marks are right on a
-labelled fold held back for that. In the end both views are calibrated on this fold, and a logistic model of the two
-combines them on another one, which sets the threshold too.
+Both views are logistic models: the text view sees what is written (bytes, words, signs), the metadata view where it
+stands (language, source, size, layout of lines). In each round all documents outside the labelled sample are scored in one
+distributed pass: those that a view is sure of are pseudo-labelled for the other view, which learns them as sums of
+gradients and Hessians that the tasks make at its current weights. How sure a view must be of a class is read off a
+labelled fold held back for that: the smallest bound beyond which its marks are right; where there is none it marks nothing
+of that class. Rounds end when nothing is marked or the marks repeat. In the end both views are calibrated on this fold,
+and a logistic model of the two combines them on another one, which sets the threshold too.
 
 Only the labelled rows are a sample, of at most ``max_labelled`` ids chosen by a hash; pseudo-labels and scores cover every
 document and its whole text.
@@ -30,50 +32,64 @@ _LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") + list(ran
 _UPPER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _SIGN = np.array([33 <= i < 127 and not chr(i).isalnum() and chr(i) not in ".,;:'\"-?()" for i in range(256)])
 LANGS, SOURCES, WORDS, GRAMS = 16, 64, 128, 128
-TEXT_SIZE, META_SIZE = 192 + 12 + WORDS + GRAMS, LANGS + SOURCES
+SHAPE, LAYOUT = 9, 12
+TEXT_SIZE, META_SIZE = 192 + SHAPE + WORDS + GRAMS, LANGS + SOURCES + 2 * LAYOUT
 SLICES, CHUNK = 32, 2048
 
 
-def text_features(text: bytes, words: np.ndarray) -> np.ndarray:
-    """Byte frequencies; how words, lines and signs are shared out; hashed words (given as hashes) and runs of three bytes."""
+def text_features(text: bytes, words: np.ndarray, own: list[bytes], lines: list[bytes]) -> np.ndarray:
+    """Byte frequencies; how letters, signs and repetitions are shared out; hashed words (given as hashes) and runs of three
+    bytes. own, lines: the words and the lines that are not blank."""
     out = np.zeros(TEXT_SIZE, np.float32)
     if not text:
-        out[203] = 1
+        out[192 + SHAPE - 1] = 1
         return out
     b = np.frombuffer(text, np.uint8)
     counts = np.bincount(b, minlength=256)
     out[:128] = np.sqrt(counts[:128] / len(b))
     out[128:192] = np.sqrt((counts[128:192] + counts[192:256]) / len(b))
-    own = text.split()
     n = max(1, len(own))
-    lines = [x for x in text.split(b"\n") if x.strip()]
     letters = max(1, int(counts[_LETTER].sum()))
     ends = np.frombuffer(b"".join(w[-1:] for w in own), np.uint8)
     starts = np.frombuffer(b"".join(w[:1] for w in own), np.uint8)
-    out[192:203] = [
+    out[192 : 192 + SHAPE - 1] = [
         counts[_UPPER].sum() / letters, counts[_SIGN].sum() / len(b), letters / len(b), len(set(own)) / n, len(set(lines)) / max(1, len(lines)),
-        _SIGN[ends].mean() if len(ends) else 0, min(1.0, len(b) / n / 20), np.log1p(n) / 10, min(1.0, n / max(1, len(lines)) / 100),
-        (~_LETTER[starts]).mean() if len(starts) else 0, (b[1:] == b[:-1]).mean() if len(b) > 1 else 0,
+        _SIGN[ends].mean() if len(ends) else 0, (~_LETTER[starts]).mean() if len(starts) else 0, (b[1:] == b[:-1]).mean() if len(b) > 1 else 0,
     ]
-    out[204 : 204 + WORDS] = np.sqrt(np.bincount(words.view(np.int64) & (WORDS - 1), minlength=WORDS) / n)
+    out[192 + SHAPE : 192 + SHAPE + WORDS] = np.sqrt(np.bincount(words.view(np.int64) & (WORDS - 1), minlength=WORDS) / n)
     wide = b.astype(np.uint32)
     grams = (wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA6B) + wide[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(25)
-    out[204 + WORDS :] = np.sqrt(np.bincount(grams, minlength=GRAMS) / len(b))
+    out[192 + SHAPE + WORDS :] = np.sqrt(np.bincount(grams, minlength=GRAMS) / len(b))
     return out
 
 
-def meta_features(lang: str | None, source: str | None) -> np.ndarray:
+def meta_features(lang: str | None, source: str | None, text: bytes, own: list[bytes], lines: list[bytes]) -> np.ndarray:
+    """Language and source; size and layout with their squares: bytes, words, lines, bytes a word, words a line, bytes a
+    character, blank lines, the longest line and word, how words and lines differ in length, words of over 20 bytes."""
     out = np.zeros(META_SIZE, np.float32)
     out[zlib.crc32((lang or "?").encode()) % LANGS] = 1
     out[LANGS + zlib.crc32((source or "?").encode()) % SOURCES] = 1
+    if text:
+        of_words, of_lines = (np.fromiter(map(len, x), np.float64, len(x)) if x else np.zeros(1) for x in (own, lines))
+        breaks = text.count(b"\n") + 1
+        begun = int(((np.frombuffer(text, np.uint8) & 0xC0) != 0x80).sum())
+        layout = [
+            np.log1p(len(text)), np.log1p(len(own)), np.log1p(breaks), np.log1p(len(text) / max(1, len(own))), np.log1p(len(own) / breaks), len(text) / max(1, begun),
+            1 - len(lines) / breaks, np.log1p(of_lines.max()), np.log1p(of_words.max()), np.log1p(of_words.std()), np.log1p(of_lines.std()), (of_words > 20).mean(),
+        ]
+        out[LANGS + SOURCES :] = [*layout, *np.square(layout)]
     return out
 
 
 def features(texts: list[bytes], langs: list[str | None], sources: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Both views of some documents."""
     hashes, first = Shingler(1).words_of(texts) if texts else (np.zeros(0, np.uint64), np.zeros(1, int))
-    text = [text_features(t, hashes[a:b]) for t, a, b in zip(texts, first[:-1], first[1:], strict=True)]
-    return np.array(text, np.float32).reshape(-1, TEXT_SIZE), np.array([meta_features(*row) for row in zip(langs, sources, strict=True)], np.float32).reshape(-1, META_SIZE)
+    text, meta = np.zeros((len(texts), TEXT_SIZE), np.float32), np.zeros((len(texts), META_SIZE), np.float32)
+    for i, (t, lang, source) in enumerate(zip(texts, langs, sources, strict=True)):
+        own, lines = t.split(), [x for x in t.split(b"\n") if x.strip()]
+        text[i] = text_features(t, hashes[first[i] : first[i + 1]], own, lines)
+        meta[i] = meta_features(lang, source, t, own, lines)
+    return text, meta
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -138,7 +154,7 @@ class CoTrained:
     both: Logistic | None = None
     threshold: float = 0.5
     prior: float = 1.0
-    exchanged: list[dict[str, int]] = field(default_factory=list)
+    exchanged: list[dict[str, int]] = field(default_factory=list)  # of each round: learner and label -> rows marked for it
 
     def score(self, x_text: np.ndarray, x_meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of good quality: text view, metadata view, both."""
@@ -152,41 +168,60 @@ class CoTrained:
         return score >= self.threshold if self.text else np.ones(len(score), bool)
 
 
-def pseudo_sums(models: dict[str, Logistic], open_: set[tuple[str, int]], sure: float, x: dict[str, np.ndarray]) -> dict[tuple[str, int], tuple[int, np.ndarray]]:
-    """(view that learns, label) -> number of rows that the other view is sure of, and their sums."""
-    out = {}
-    for view, other in (("text", "meta"), ("meta", "text")):
+def sure_from(conf: np.ndarray, right: np.ndarray, wanted: float, least: int) -> float | None:
+    """The smallest bound of at least 0.5 for which ``wanted`` of the rows at or above it are right, and ``least`` rows are there."""
+    order = np.argsort(-conf, kind="stable")
+    conf, hits = conf[order], np.cumsum(right[order])
+    n = np.arange(1, len(conf) + 1)
+    last = np.append(conf[1:] != conf[:-1], True) if len(conf) else np.zeros(0, bool)  # rows of equal confidence come together
+    fits = np.flatnonzero(last & (hits >= wanted * n) & (n >= least) & (conf >= 0.5))
+    return float(conf[fits[-1]]) if len(fits) else None
+
+
+def pseudo_sums(models: dict[str, Logistic], bounds: dict[tuple[str, int], float], x: dict[str, np.ndarray]) -> dict[tuple[str, int], tuple[int, np.ndarray]]:
+    """(view that learns, label) -> number of rows that the other view is sure of, and their sums. bounds: (view that marks,
+    label) -> how sure it must be. Rows that the views are sure of in different ways are marked for neither."""
+    sure = {}
+    for view in ("text", "meta"):
         p = _sigmoid(models[view].logit(x[view]))
         for label, conf in ((1, p), (0, 1 - p)):
-            if (view, label) in open_ and len(rows := np.flatnonzero(conf >= sure)):
+            sure[view, label] = (conf >= bounds[view, label]) & (conf >= 0.5) if (view, label) in bounds else np.zeros(len(p), bool)
+    out = {}
+    for view, other in (("text", "meta"), ("meta", "text")):
+        for label in (1, 0):
+            if len(rows := np.flatnonzero(sure[view, label] & ~sure[other, 1 - label])):
                 out[other, label] = (len(rows), models[other].sums(x[other][rows], np.full(len(rows), float(label))))
     return out
 
 
-def co_train(x: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray, mark, rounds: int = 2, share: float = 1.0, sure: float = 0.9, right: float = 0.95) -> CoTrained:
-    """x: both views of the labelled rows. fold: 0 learns, 1 gates and calibrates, 2 combines. mark(models, open, sure) gives
-    ``pseudo_sums`` over all other rows. Pseudo-labels of a class weigh ``share`` of its labelled rows at most."""
+def co_train(x: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray, mark, rounds: int = 2, share: float = 1.0, right: float = 0.95, least: int = 5) -> CoTrained:
+    """x: both views of the labelled rows. fold: 0 learns, 1 gates and calibrates, 2 combines. mark(models, bounds) gives
+    ``pseudo_sums`` over all other rows. Pseudo-labels that a view learns weigh ``share`` of its labelled rows at
+    most, in each class alike: they keep the classes' ratio, so marks of one class alone teach nothing. right, least: those
+    of ``sure_from`` on fold 1."""
     train, gate, join = (fold == i for i in range(3))
     if min(min(y[f].sum(), (1 - y[f]).sum()) for f in (train, gate, join)) < 2:
         return CoTrained(prior=float(y.mean()) if len(y) else 1.0)
     models = {view: Logistic.fit(x[view][train], y[train]) for view in x}
     exchanged = []
     for _ in range(rounds):
-        open_ = set()
+        bounds = {}
         for view in x:
             held = _sigmoid(models[view].logit(x[view][gate]))
             for label, conf in ((1, held), (0, 1 - held)):
-                chosen = conf >= sure
-                if chosen.any() and (y[gate][chosen] == label).mean() >= right:
-                    open_.add((view, label))
-        if not open_:
+                if (bound := sure_from(conf, y[gate] == label, right, least)) is not None:
+                    bounds[view, label] = bound
+        if not bounds or not (marks := mark(models, bounds)):
             break
-        marks = mark(models, open_, sure)
         exchanged.append({f"{view} {label}": n for (view, label), (n, _) in sorted(marks.items())})
+        if exchanged[-2:-1] == exchanged[-1:]:
+            break
         for view in x:
-            learned = [sums * min(1.0, share * (y[train] == label).sum() / n) for (v, label), (n, sums) in marks.items() if v == view]
-            if learned:
-                models[view] = Logistic.fit(x[view][train], y[train], start=models[view], learned=np.sum(learned, axis=0))
+            labelled = {label: (y[train] == label).sum() for label in (0, 1)}
+            part = min(share, *(marks[view, label][0] / labelled[label] if (view, label) in marks else 0.0 for label in (0, 1)))
+            if part:
+                learned = sum(marks[view, label][1] * (part * labelled[label] / marks[view, label][0]) for label in (0, 1))
+                models[view] = Logistic.fit(x[view][train], y[train], start=models[view], learned=learned)
     out = CoTrained(models["text"], models["meta"], exchanged=exchanged)
     out.text_map, out.meta_map = (Logistic.fit(models[v].logit(x[v][gate])[:, None], y[gate], 1e-2) for v in ("text", "meta"))
     maps = np.column_stack([m.logit(models[v].logit(x[v][join])[:, None]) for v, m in (("text", out.text_map), ("meta", out.meta_map))])
@@ -216,13 +251,13 @@ def _parts(batch: pa.RecordBatch, text: pa.Array, lang: str = "lang", source: st
 def _marker(rows: DataFrame):
     """mark() for ``co_train`` over rows (id, text, lang, source): one pass, whose tasks each give their sums once."""
 
-    def mark(models: dict[str, Logistic], open_: set[tuple[str, int]], sure: float) -> dict[tuple[str, int], tuple[int, np.ndarray]]:
+    def mark(models: dict[str, Logistic], bounds: dict[tuple[str, int], float]) -> dict[tuple[str, int], tuple[int, np.ndarray]]:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forget()
             total: dict[tuple[str, int], tuple[int, np.ndarray]] = {}
             for batch in batches:
                 for _, text, meta in _parts(batch, batch.column(1)):
-                    for key, (n, s) in pseudo_sums(models, open_, sure, {"text": text, "meta": meta}).items():
+                    for key, (n, s) in pseudo_sums(models, bounds, {"text": text, "meta": meta}).items():
                         m, t = total.get(key, (0, 0.0))
                         total[key] = (m + n, t + s)
             out = [(*key, i, n, piece.tobytes()) for key, (n, s) in total.items() for i, piece in enumerate(np.array_split(s, SLICES))]

@@ -99,7 +99,7 @@ def test_views_teach_each_other():
     x = {v: (y[:, None] * 3 + rng.normal(size=(4000, 2))).astype(np.float32) for v in ("text", "meta")}
     few = np.arange(4000) < 90
     rest = {v: x[v][~few] for v in x}
-    model = co_train({v: x[v][few] for v in x}, y[few].astype(float), np.arange(90) % 3, lambda models, open_, sure: pseudo_sums(models, open_, sure, rest))
+    model = co_train({v: x[v][few] for v in x}, y[few].astype(float), np.arange(90) % 3, lambda models, bounds: pseudo_sums(models, bounds, rest))
     assert len(model.exchanged) == 2 and all(min(e.values()) > 50 for e in model.exchanged)
     one, two, both = (((p >= 0.5) == y).mean() for p in model.score(x["text"], x["meta"]))
     assert both > max(one, two) - 0.002 and both > 0.97
@@ -119,7 +119,7 @@ def test_fit_is_that_of_one_process(spark):
     by = sorted((r for r in rows if r[0] in y_of), key=lambda r: str(r[0]))
     x, rest = (dict(zip(("text", "meta"), features([r[1].encode() for r in part], [r[2] for r in part], [r[3] for r in part]), strict=True)) for part in (by, [r for r in rows if r[0] not in y_of]))
     fold = np.array([{0: 1, 4: 2}.get(zlib.crc32(str(r[0]).encode()) % 8, 0) for r in by])
-    plain = co_train(x, np.array([y_of[r[0]] for r in by]), fold, lambda models, open_, sure: pseudo_sums(models, open_, sure, rest))
+    plain = co_train(x, np.array([y_of[r[0]] for r in by]), fold, lambda models, bounds: pseudo_sums(models, bounds, rest))
     assert plain.exchanged and found.exchanged == plain.exchanged
     assert np.allclose(found.text.weight, plain.text.weight, atol=1e-6) and np.allclose(found.meta.weight, plain.meta.weight, atol=1e-6)
     assert found.threshold == pytest.approx(plain.threshold)
