@@ -3,9 +3,9 @@
 Nothing that the fold keeps depends on more than the order of rows: the trust of an event is a running maximum; a fact is the
 last one told by a row trusted as much, else the first one told at all; a state is the last one that a row trusted as
 much has set, and where that is not terminal, what others have set since. So each field is a running last, first or maximum,
-and no group of rows is ever held. Rows are dealt over ranges of (event, order). An event whose rows lie in several
-ranges is summed up range by range, and what the ranges before leave is carried into the next, so one event with a third of
-all observations is shared by many tasks.
+and no group of rows is ever held. Rows are dealt over ranges of events; an event with more rows than a range is cut by its
+order. Such an event is summed up range by range, and what the ranges before leave is carried into the next, so one event
+with a third of all observations is shared by many tasks.
 """
 
 from __future__ import annotations
@@ -57,7 +57,13 @@ class Ranges:
     def __init__(self, rows: DataFrame, order: list[str], key: str = "event_key"):
         """Stores the rows under ``spark.checkpoint.dir``, as ranges that are made again might be cut elsewhere."""
         self.key, self.order = key, order
-        self.rows = rows.repartitionByRange(key, *order).withColumn("range", F.spark_partition_id()).checkpoint()
+        sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+        whole = sizes.agg(F.sum("n")).first()[0] or 0
+        # only an event with more rows than a range is cut; there are fewer of them than ranges
+        large = sizes.filter(F.col("n") * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) > whole).select(F.col(key).alias("large"))
+        dealt = rows.join(F.broadcast(large), F.col(key) == F.col("large"), "left")
+        cut = [F.when(F.col("large").isNotNull(), F.col(o)) for o in order]
+        self.rows = dealt.repartitionByRange(key, *cut).drop("large").withColumn("range", F.spark_partition_id()).checkpoint()
         ends = self.rows.groupBy(key).agg(F.min("range").alias("a"), F.max("range").alias("b"))
         self.split = not ends.filter("a < b").isEmpty()
 
@@ -86,13 +92,13 @@ def _there(v: Column, unknown: bool = False) -> Column:
 
 
 def _told(ok: dict[str, Column]) -> dict[str, tuple[str, Column]]:
-    """For each field, told where ``ok``: the last value from a row trusted as much, the first value, and what the event began with."""
+    """For each field, told where ``ok``: the last value from a row trusted as much and the first value; and what the event began with."""
     c = F.col
     return {
         f"{p}_{f}": (how, F.when(cond, c(f)))
         for f, here in ok.items()
-        for p, how, cond in (("won", "last", here & c("wins")), ("any", "first", here), ("old", "first", c("base")))
-    }
+        for p, how, cond in (("won", "last", here & c("wins")), ("any", "first", here))
+    } | {"old": ("first", F.when(c("base"), F.struct(*ok)))}
 
 
 def merged_rows(ranges: Ranges, now: Column) -> DataFrame:
@@ -119,7 +125,7 @@ def merged_rows(ranges: Ranges, now: Column) -> DataFrame:
         "e_organizer_trust": ("last", F.when(c("wins"), c("organizer_trust"))), "e_approval_required": ("max", F.coalesce("approval_required", F.lit(False))),
         "e_reason": ("last", F.when(c("base") | c("heard"), F.struct("reason"))), "e_score": ("max", c("score")),
     })
-    rows = rows.withColumns({f"e_{f}": F.coalesce(f"won_{f}", f"any_{f}", f"old_{f}") for f in ok}).drop(*(f"{p}_{f}" for f in ok for p in ("won", "any", "old")))
+    rows = rows.withColumns({f"e_{f}": F.coalesce(f"won_{f}", f"any_{f}", f"old.{f}") for f in ok}).drop("old", *(f"{p}_{f}" for f in ok for p in ("won", "any")))
     state = F.coalesce(F.when(c("won_state").isin(*TERMINAL_STATES), c("won_state")).otherwise(c("any_state")), c("old_state"))
     rows = rows.withColumns({"e_registration_state": state, "e_relevance_reason": c("e_reason.reason")}).drop("won_state", "any_state", "old_state", "e_reason")
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import ingest as G
-from siftwell.operators.arrival import identities, resolve_in_order
+from siftwell.operators.arrival import _holders, identities, resolve_in_order
 from siftwell.operators.merge import Ranges, merge_observations
 from test_ingest import KINDS, NOW, frame, model, some
 
@@ -120,3 +120,17 @@ def test_a_chain_is_one_event(spark):
     got = {r.seq: r.event_key for r in resolve_in_order(df, frame(spark, [], G.EVENT), F.lit(NOW)).collect()}
     assert got == {0: "https://a.org/1", 1: "https://a.org/1", 2: "https://a.org/1", 3: "https://a.org/3"}
     assert resolve_in_order(df.limit(0), frame(spark, [], G.EVENT), F.lit(NOW)).count() == 0
+
+
+def test_one_holder_of_a_key_that_all_events_have(spark):
+    """Candidates meet only events that can be the first with their key, not all that ever had it."""
+    rows = [(f"e{i}", i, i, "u", "k", None, 0) for i in range(50)] + [("e0", 60, 0, "u", "l", "k", 0)]
+    held = spark.createDataFrame(rows, "event_key string, time long, created long, canonical_url string, normalized_key string, prior string, rank int")
+    spans = sorted(tuple(r) for r in _holders(held).collect())
+    assert spans == [("k", 0, 60, 0, "e0"), ("k", 1, None, 1, "e1"), ("l", 60, None, 0, "e0")]
+
+
+def test_small_events_are_not_cut(spark, ranges):
+    df = spark.range(4000).select((F.col("id") % 40).cast("string").alias("event_key"), F.col("id").alias("seq"))
+    assert not Ranges(df, ["seq"]).split
+    assert Ranges(df.unionByName(df.select(F.lit("7").alias("event_key"), "seq")), ["seq"]).split
