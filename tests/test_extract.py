@@ -100,3 +100,16 @@ def test_a_feed_of_webinars(spark):
     assert {k: (r.starts_at, r.ends_at) for k, r in got.items()} == {"11": (live, end), "12": (dt.datetime(2026, 10, 11, 17), None), "13": (None, None), "14": (live, None), "17": (None, None)}
     a = got["11"]
     assert (a.canonical_url, a.description, a.format, a.event_type, a.registration_state, got["12"].format) == (f"{E.PORTAL}#/webinar/11", "About x", "online", "talk", "unknown", "unknown")
+
+
+def test_pages_are_read_in_parts(spark, monkeypatch):
+    """A batch is not held whole as Python objects; its order and its nulls stay."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from siftwell.sources import html
+
+    monkeypatch.setattr(html, "PART", 3)
+    rows = spark.createDataFrame([(i, None if i % 4 == 1 else f"<title>t{i}</title>") for i in range(10)], "i int, h string").coalesce(1)
+    got = rows.select("i", html.page_title(F.col("h")).alias("t"), html.column(lambda h: [{"a": h}], T.ArrayType(T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])), F.col("h")).alias("x")).collect()
+    assert [(r.i, r.t, r.x[0].a, r.x[0].b) for r in got] == [(i, None if i % 4 == 1 else f"t{i}", None if i % 4 == 1 else f"<title>t{i}</title>", None) for i in range(10)]
