@@ -3,12 +3,15 @@
 1. Texts with the same words form a class; the later documents of a class repeat the first as a whole. From here on
    only classes are compared.
 2. Seeds are the k-word shingles that winnowing keeps: of every ``window`` neighbours the smallest hash, so two texts
-   that share ``k + window - 1`` words in a row share a seed. Each task links occurrences of a seed among its own texts
-   to the first of them; only that one travels, so a hot seed sends one row for each task. The task that receives a
-   seed links its occurrences to the smallest class. Links number less than occurrences.
-   The seeds of one passage can point to different classes, if each is common. Therefore runs of ``long_seed`` words are
-   seeds as well, winnowed so that every shared run of ``min_words`` words has one. Where texts share one, all runs of
-   ``min_words`` words around it are linked too: such a link is a passage by itself, whatever its other seeds point to.
+   that share ``k + window - 1`` words in a row share a seed. All occurrences of a seed are linked with each other, up to
+   ``common`` of them. A seed that occurs more often is a common one. Two common seeds of a text that a chain can
+   begin with (no further apart than their gain pays for) are a seed of their own, rarer than each, whose occurrences are linked with each other in the same way; and
+   texts with one other link are linked by the common seeds around it that both have. Besides, occurrences of what is
+   common are linked to the first, in each task and then overall; of a common seed no more than ``common`` + 1 rows of
+   each task travel.
+   Runs of ``long_seed`` words are seeds as well, winnowed so that every shared run of ``min_words`` words has one. Where
+   texts share one, all runs of ``min_words`` words around it are linked to the first text that has the run: they are
+   equal, so all texts that have a run are joined by it.
 3. The links of two classes are chained: ordered matches, a gain for each seed, a cost for each word of a gap. A Fenwick
    tree over the places in the other text holds the best chain that ends before a place.
 4. Chains are aligned word by word on the texts and extended on both sides, so a chain of some seeds of a passage finds
@@ -47,25 +50,30 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return at[np.concatenate(([True], at[1:] != at[:-1]))].astype(np.int64)  # places never go back
 
 
-def _links(seed: np.ndarray, cls: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by seed, class and position -> index of the first row of each row's seed, and whether the row is it."""
+def _firsts(seed: np.ndarray) -> np.ndarray:
+    """Sorted seeds -> index of the first row of each row's seed."""
     new = np.concatenate(([True], seed[1:] != seed[:-1])) if len(seed) else np.zeros(0, bool)
-    return np.flatnonzero(new)[np.cumsum(new) - 1] if len(seed) else np.zeros(0, np.int64), new
+    return np.flatnonzero(new)[np.cumsum(new) - 1] if len(seed) else np.zeros(0, np.int64)
 
 
-def _own(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Seeds, classes and places of a task's texts -> the first of each seed, and links of the others to it."""
+def _rows(*cols: np.ndarray | None, place: pa.DataType) -> pa.RecordBatch:
+    n = next(len(c) for c in cols if c is not None)
+    kinds = (pa.int64(), pa.int64(), place, pa.int64(), place)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["seed", *_LINK])
+
+
+def _own(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], common: int) -> Iterator[pa.RecordBatch]:
+    """Seeds, classes and places of a task's texts -> all of them; those of a seed beyond ``common`` + 1 stay here, linked to the
+    first, as the seed is a common one whatever other tasks have."""
     if not parts:
         return
     seed, cls, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
     by = np.lexsort((pos, cls, seed))
     seed, cls, pos = seed[by], cls[by], pos[by]
-    first, new = _links(seed, cls, pos)
-    far = ~new & (cls != cls[first])
-    for mask, cols in ((new, (seed, cls, pos, None, None)), (far, (None, cls, pos, cls[first], pos[first]))):
-        n = int(mask.sum())
-        arrays = [pa.nulls(n, t) if c is None else pa.array(c[mask]) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)]
-        yield from pa.Table.from_arrays(arrays, names=["seed", *_LINK]).to_batches(max_chunksize=1 << 17)
+    first = _firsts(seed)
+    go = np.arange(len(seed)) - first <= common
+    for batch in (_rows(seed[go], cls[go], pos[go], None, None, place=pa.int32()), _rows(seed[~go], cls[~go], pos[~go], cls[first[~go]], pos[first[~go]], place=pa.int32())):
+        yield from pa.Table.from_batches([batch]).to_batches(max_chunksize=1 << 17)
 
 
 def long_seed(words: int, min_words: int) -> int:
@@ -82,7 +90,7 @@ def _runs(shingles: np.ndarray, words: int, size: int) -> np.ndarray:
     return out
 
 
-def _seeds(words: int, window: int, min_words: int, flush: int = 1 << 21):
+def _seeds(words: int, window: int, min_words: int, common: int, flush: int = 1 << 21):
     """Texts under ``min_words`` have no seeds. Long seeds have the place -1 - p instead of p."""
     size = long_seed(words, min_words)
 
@@ -101,10 +109,10 @@ def _seeds(words: int, window: int, min_words: int, flush: int = 1 << 21):
                 parts.append((np.concatenate((seq[at], runs[far])).view(np.int64), np.full(len(at) + len(far), _number(cls)), np.concatenate((at, -1 - far)).astype(np.int32)))
                 held += len(at) + len(far)
             if held > flush:
-                yield from _own(parts)
+                yield from _own(parts, common)
                 parts, held = [], 0
                 seen.clear()
-        yield from _own(parts)
+        yield from _own(parts, common)
 
     return run
 
@@ -118,21 +126,82 @@ def _number(cls: str) -> int:
     return int(cls[:16], 16) - (1 << 63)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by seed, class and position: links to the first row of the seed, which a batch may hand on."""
-    held = None  # seed, class, position
-    for batch in batches:
-        seed, cls, pos = (batch.column(i).to_numpy() for i in range(3))
-        if not len(seed):
-            continue
-        first, _ = _links(seed, cls, pos)
-        b, pb = cls[first], pos[first]
-        if held and held[0] == seed[0]:
-            same = seed == seed[0]
-            b, pb = np.where(same, held[1], b), np.where(same, held[2], pb)
-        held = (seed[-1], b[-1], pb[-1])
-        far = cls != b
-        yield pa.RecordBatch.from_arrays([pa.array(c[far], t) for c, t in ((cls, pa.int64()), (pos, pa.int32()), (b, pa.int64()), (pb, pa.int32()))], names=_LINK)
+def _meet(common: int, place: pa.DataType):
+    """Rows sorted by seed, class and place -> links of all rows of a seed that has up to ``common``. Of other seeds each row
+    is given with the seed and a link to its first row; the first one with a link to itself. A seed's rows may be in many batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None  # the rows of a seed that may go on
+        hub = None  # a common seed of which rows have been given, class and place of its first row
+
+        def give(seed: np.ndarray, cls: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal hub
+            first = _firsts(seed)
+            size = np.bincount(first, minlength=len(seed))[first]
+            b, pb, many = cls[first], pos[first], size > common
+            if hub and hub[0] == seed[0]:
+                same = seed == seed[0]
+                b, pb, many = np.where(same, hub[1], b), np.where(same, hub[2], pb), many | same
+            if many.any():
+                last = np.flatnonzero(many)[-1]
+                hub = (seed[last], b[last], pb[last])
+                yield _rows(seed[many], cls[many], pos[many], b[many], pb[many], place=place)
+            few = np.flatnonzero(~many & (size > 1))
+            first = first[few]
+            for step in range(1, common):
+                on = np.flatnonzero(first[step:] == first[:-step])
+                if not len(on):
+                    break
+                i, j = few[on + step], few[on]
+                far = cls[i] != cls[j]
+                i, j = i[far], j[far]
+                yield _rows(None, cls[i], pos[i], cls[j], pos[j], place=place)
+
+        for batch in batches:
+            cols = tuple(batch.column(i).to_numpy() for i in range(3))
+            if held:
+                cols = tuple(np.concatenate(x) for x in zip(held, cols, strict=True))
+            if not len(cols[0]):
+                continue
+            new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols], axis=0)))  # tasks may have the same texts
+            cols = tuple(c[new] for c in cols)
+            end = int(np.searchsorted(cols[0], cols[0][-1]))
+            end = len(cols[0]) if len(cols[0]) - end > common else end
+            if end:
+                yield from give(*(c[:end] for c in cols))
+            held = tuple(c[end:] for c in cols)
+        if held and len(held[0]):
+            yield from give(*held)
+
+    return run
+
+
+def _twos(reach: int):
+    """Common seeds sorted by class and place -> each two of a class within ``reach`` words, as a seed with the place p << 16 | d
+    for places p and p + d."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None
+        for batch in batches:
+            cols, old = tuple(batch.column(i).to_numpy() for i in range(3)), 0
+            if not len(cols[0]):
+                continue
+            if held:
+                old = len(held[0])
+                cols = tuple(np.concatenate(x) for x in zip(held, cols, strict=True))
+            seed, cls, pos = cols
+            for step in range(1, len(seed)):
+                near = (cls[step:] == cls[:-step]) & (pos[step:] - pos[:-step] <= reach)
+                if not near.any():
+                    break
+                i = np.flatnonzero(near & (np.arange(step, len(seed)) >= old))
+                two = mix64(seed[i].view(_U) * _U(0x2545F4914F6CDD1D) + seed[i + step].view(_U)).view(np.int64)
+                at = pos[i].astype(np.int64) << 16 | (pos[i + step] - pos[i])
+                yield pa.RecordBatch.from_arrays([pa.array(two), pa.array(cls[i]), pa.array(at)], names=["seed", "a", "pa"])
+            tail = (cls == cls[-1]) & (pos >= pos[-1] - reach)
+            held = tuple(c[tail] for c in cols)
+
+    return run
 
 
 def _around(words: int, min_words: int, flush: int = 1 << 19):
@@ -154,9 +223,9 @@ def _around(words: int, min_words: int, flush: int = 1 << 19):
                 parts.append((runs[at].view(np.int64), np.full(len(at), numbers[i]), at.astype(np.int32)))
                 held += len(at)
                 if held > flush:
-                    yield from _own(parts)
+                    yield from _own(parts, 0)
                     parts, held = [], 0
-        yield from _own(parts)
+        yield from _own(parts, 0)
 
     return run
 
@@ -354,22 +423,37 @@ def alignments(a: list[bytes], b: list[bytes], at: list[int], other: list[int],
 _SEEDS, _CHAINS = "seed long, a long, pa int, b long, pb int", "a long, b long, at array<int>, other array<int>"
 
 
-def _all_links(seeds: DataFrame) -> DataFrame:
-    """Links of the tasks, and those of the seeds' firsts, which meet here."""
-    far = seeds.filter("seed IS NOT NULL").select("seed", "a", "pa").repartition("seed").sortWithinPartitions("seed", "a", "pa").mapInArrow(_meet, "a long, pa int, b long, pb int")
-    return far.unionByName(seeds.filter("seed IS NULL").select(*_LINK))
+def _all_links(seeds: DataFrame, common: int) -> DataFrame:
+    """Links of seeds; those of common seeds have the seed, and all occurrences of these are here, some linked to themselves."""
+    far = seeds.filter("b IS NULL").select("seed", "a", "pa").repartition("seed").sortWithinPartitions("seed", "a", "pa").mapInArrow(_meet(common, pa.int32()), _SEEDS)
+    return far.unionByName(seeds.filter("b IS NOT NULL"))
+
+
+def _common_links(links: DataFrame, common: int, reach: int, step: int) -> DataFrame:
+    """Links of texts by common seeds: those that have two of them within ``step`` words, and those that have one of them
+    within ``reach`` words of their only other link."""
+    often = materialize(links.filter("seed IS NOT NULL AND pa >= 0").select("seed", "a", "pa").distinct(), "common-seeds")
+    twos = often.repartition("a").sortWithinPartitions("a", "pa").mapInArrow(_twos(step), "seed long, a long, pa long")
+    met = twos.repartition("seed").sortWithinPartitions("seed", "a", "pa").mapInArrow(_meet(common, pa.int64()), "seed long, a long, pa long, b long, pb long")
+    place = lambda c, far: (F.shiftright(c, 16) + (F.col(c).bitwiseAND(0xFFFF) if far else 0)).cast("int").alias(c)
+    met = met.filter("a <> b").select("a", "b", F.explode(F.array(*(F.struct(place("pa", x), place("pb", x)) for x in (False, True)))).alias("x"))
+    one = links.filter("seed IS NULL AND pa >= 0").repartition("a").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("pa").alias("p"), F.first("pb").alias("q")).filter("n = 1")
+    one = one.join(often, "a").filter(F.abs(F.col("pa") - F.col("p")) <= reach)
+    one = one.join(often.select("seed", F.col("a").alias("b"), F.col("pa").alias("pb")), ["b", "seed"]).filter(F.abs(F.col("pb") - F.col("q")) <= reach)
+    return met.select("a", "x.pa", "b", "x.pb").unionByName(one.select(*_LINK))
 
 
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, identity: float = 0.8, words: int = 5,
-    window: int = 6, gap: float = 0.2, least: int = 2, again: int = 3, reach: int = 6, drop: int = 20,
+    window: int = 6, gap: float = 0.2, least: int = 2, again: int = 3, reach: int = 6, drop: int = 20, common: int = 8,
 ) -> DataFrame:
     """Passages that documents share: id_col, other_id, start_word, end_word, other_start, other_end, n_words, identity, copy.
 
     Words are runs of non-blank characters, A-Z in lower case. Documents with the same words appear once for each but
     the first (smallest id), with copy true and the whole text as passage; other rows name the first document of a
-    class. A passage that many documents share is reported for each of them, against one that has it too, not for all
-    pairs.
+    class. All pairs of classes are reported whose passage has a seed with up to ``common`` occurrences, or two common seeds
+    within ``words / gap`` words that occur together up to ``common`` times. Of a passage with none of these, each document
+    is reported against one that has it too, not for all pairs.
 
     A passage has ``identity`` in equal words, exactly counted over its whole span. Chains are of ``least`` seeds of
     ``words`` words at least, winnowed by ``window``, and pay ``gap`` for each word skipped. Both ends of a chain are
@@ -393,13 +477,15 @@ def repeated_passages(
     heads = members.filter(F.col("n") >= min_words).groupBy("class").agg(F.min(F.struct("id", "sha")).alias("head"), F.first("number").alias("number"), F.first("n").alias("n"))
     heads = materialize(heads, "passage-heads")
 
-    seeds = materialize(rows.select("text").mapInArrow(_seeds(words, window, min_words), _SEEDS), "seeds")
-    chains = _all_links(seeds).repartition("a").sortWithinPartitions("a", "b", "pa", "pb").mapInArrow(_chains(words, gap, least, long_seed(words, min_words)), _CHAINS)
+    seeds = materialize(rows.select("text").mapInArrow(_seeds(words, window, min_words, common), _SEEDS), "seeds")
+    links = materialize(_all_links(seeds, common), "links")
+    discard(seeds)
+    near = links.filter("a <> b").select(*_LINK).unionByName(_common_links(links, common, min_words, min(min_words, int(words / gap) if gap else min_words)))
+    chains = near.repartition("a").sortWithinPartitions("a", "b", "pa", "pb").mapInArrow(_chains(words, gap, least, long_seed(words, min_words)), _CHAINS)
     chains = materialize(chains.withColumn("late", F.lit(False)), "chains")
-    long = _all_links(seeds.filter("pa < 0")).select(F.explode(F.array(F.struct("a", "pa"), F.struct(F.col("b").alias("a"), F.col("pb").alias("pa")))).alias("x"))
+    long = links.filter("a <> b AND pa < 0").select(F.explode(F.array(F.struct("a", "pa"), F.struct(F.col("b").alias("a"), F.col("pb").alias("pa")))).alias("x"))
     spots = materialize(long.groupBy(F.col("x.a").alias("number")).agg(F.collect_set(-1 - F.col("x.pa")).alias("spots")), "spots")
-
-    discard(seeds)
+    discard(links)
 
     used = chains.select(F.explode(F.array("a", "b")).alias("number")).unionByName(spots.select("number")).distinct()
     wanted = heads.join(used, "number", "left_semi").select("number", "head.id", "head.sha")
@@ -407,7 +493,7 @@ def repeated_passages(
     texts = materialize(texts.select("number", "id", "text"), "passage-texts")
 
     runs = materialize(texts.join(spots, "number").select("number", "text", "spots").mapInArrow(_around(words, min_words), _SEEDS), "runs")
-    stretches = _all_links(runs).repartition("a").sortWithinPartitions("a", "b", F.col("pb") - F.col("pa"), "pa").mapInArrow(_stretches(words, min_words), _CHAINS)
+    stretches = _all_links(runs, 1).filter("a <> b").select(*_LINK).repartition("a").sortWithinPartitions("a", "b", F.col("pb") - F.col("pa"), "pa").mapInArrow(_stretches(words, min_words), _CHAINS)
     stretches = materialize(stretches.withColumn("late", F.lit(True)), "stretches")
     discard(runs)
     chains = chains.unionByName(stretches).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("late", "at", "other"))).alias("chains"))

@@ -179,3 +179,70 @@ def test_query_against_brute_force(spark):
         assert all(any(s <= lo and hi <= e for s, e in spans[d]) for lo, hi in need), d
     marked = {d for d in texts if spans[d]}
     assert {d for d in copied if copied[d]} <= marked and 62 not in marked
+
+
+def pairs_of(spark, texts, **how):
+    found = repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string"), **how).collect()
+    return {tuple(sorted((r.doc_id, r.other_id))) for r in found}
+
+
+def test_all_pairs_of_a_passage(spark):
+    """Each document has its own changes, so each pair is a link between different texts."""
+    rng = random.Random(21)
+    core, texts = words(rng, 60), {}
+    for d in range(8):
+        passage = [f"e{d}x{i}" if i % 20 == d else w for i, w in enumerate(core)]
+        texts[d] = words(rng, 20 + d) + passage + words(rng, 20)
+    assert pairs_of(spark, texts) == set(itertools.combinations(range(8), 2))
+
+
+@pytest.mark.parametrize("common", [4, 32])
+def test_pairs_by_common_seeds(spark, common):
+    """Two documents have all six lines of a passage, with words of their own between; each line is common by itself."""
+    rng = random.Random(22)
+    texts, want = {}, set()
+    for k in range(4):
+        lines = [words(rng, 10) for _ in range(6)]
+        for d in (100 * k, 100 * k + 1):
+            texts[d] = words(rng, 20) + sum((line + [f"own{d}"] for line in lines), []) + words(rng, 20)
+        want.add((100 * k, 100 * k + 1))
+        for i, line in enumerate(lines):
+            texts |= {1000 + 1000 * k + 100 * i + j: words(rng, 30) + line + words(rng, 30) for j in range(40)}
+    assert pairs_of(spark, texts, common=common) == want
+
+
+def test_pairs_by_a_common_seed_and_a_rare_one(spark):
+    rng = random.Random(23)
+    texts, want = {}, set()
+    line = words(rng, 10)
+    for k in range(4):
+        own = [words(rng, 4) for _ in range(4)] + [words(rng, 5)] + [words(rng, 4) for _ in range(4)]
+        for d in (2 * k, 2 * k + 1):
+            texts[d] = words(rng, 20) + line + sum(([f"own{d}", *part] for part in own), []) + words(rng, 20)
+        want.add((2 * k, 2 * k + 1))
+    texts |= {100 + j: words(rng, 30) + line + words(rng, 30) for j in range(40)}
+    assert pairs_of(spark, texts, window=1) == want
+
+
+def test_links_of_a_seed_over_batches():
+    """However rows are cut into batches: all pairs of seeds with up to ``common`` rows, one link for each row of others."""
+    import pyarrow as pa
+
+    from siftwell.llm.substring_dedup import _meet, _twos
+
+    rng = random.Random(24)
+    rows = sorted({(s, rng.randrange(12), rng.randrange(50)) for s in range(40) for _ in range(rng.choice([1, 2, 4, 5, 30]))})
+    groups = {s: [r[1:] for r in rows if r[0] == s] for s, *_ in rows}
+    pairs = sorted((*y, *x) for g in groups.values() if len(g) <= 4 for x, y in itertools.combinations(g, 2) if x[0] != y[0])
+    stars = sorted((s, *x, *g[0]) for s, g in groups.items() if len(g) > 4 for x in g)
+    by_class = sorted(rows, key=lambda r: r[1:])
+    near = sorted((c, p, q - p) for (_, c, p), (_, d, q) in itertools.combinations(by_class, 2) if c == d and q - p <= 7)
+    for size in (1, 2, 3, 7, 50, 10**6):
+        def cut(rows):
+            return [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["seed", "a", "pa"]) for i in range(0, len(rows), size)]
+
+        found = [tuple(r.values()) for b in _meet(4, pa.int32())(iter(cut([*rows, *rows[-1:]]))) for r in b.to_pylist()]
+        assert sorted(r[1:] for r in found if r[0] is None) == pairs
+        assert sorted({r for r in found if r[0] is not None}) == stars
+        twos = [(r["a"], r["pa"] >> 16, r["pa"] & 0xFFFF) for b in _twos(7)(iter(cut(by_class))) for r in b.to_pylist()]
+        assert sorted(twos) == near
