@@ -72,6 +72,7 @@ def cut(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer_pa
     end = np.asarray([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what other operators have left in this Python process
         encoder = UnitEncoder.here(shared.value)
         for batch in batches:
             rows: list[int] = []

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import sys
 import types
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ class UnitEncoder:
     are met again are remembered anew. So 2 * limit units are held at most, and frequent ones stay.
     """
 
-    def __init__(self, definition: str, limit: int = 600_000):
+    def __init__(self, definition: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -102,18 +103,17 @@ class UnitEncoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         return [ids.tobytes() for ids in self.ids_of([t.encode() for t in texts])]
 
-    def ids_of(self, texts: list[bytes], size: int = 8_000_000) -> list[np.ndarray]:
-        """The ids of UTF-8 texts, about ``size`` bytes at a time: units that are new in any of these are encoded together."""
-        out: list[np.ndarray] = []
+    def ids_of(self, texts: list[bytes], size: int = 1_000_000) -> Iterator[np.ndarray]:
+        """The ids of UTF-8 texts, about ``size`` bytes at a time: units that are new in any of these are encoded together.
+        Only the ids of these are held, as places of units take many times their bytes."""
         at = 0
         while at < len(texts):
             end, n = at + 1, len(texts[at])
             while end < len(texts) and n + len(texts[end]) < size:
                 n += len(texts[end])
                 end += 1
-            out += self._some(texts[at:end])
+            yield from self._some(texts[at:end])
             at = end
-        return out
 
     def _some(self, texts: list[bytes]) -> list[np.ndarray]:
         alone = set(range(len(texts))) if not self.by_unit else _holding(texts, self.added)

@@ -117,3 +117,17 @@ def test_bounds_are_valid_and_best_fit_packs(lengths):
 
     bound = lower_bound(*np.unique(np.array(lengths, int), return_counts=True), 12)
     assert bound <= fewest(lengths, []) <= made
+
+
+def test_few_ids_and_places_are_held():
+    """The ids of many texts are made in parts: what is held at once doesn't grow with the texts."""
+    import tracemalloc
+
+    encoder = UnitEncoder(tokenizer_json())
+    texts = [f"some words {i % 50} in a row of many " .encode() * 40 for i in range(6000)]  # 8 MB
+    n = sum(map(len, encoder.ids_of(texts[:10])))
+    tracemalloc.start()
+    assert sum(map(len, encoder.ids_of(texts))) > n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
