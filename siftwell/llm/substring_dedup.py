@@ -4,8 +4,8 @@
    only classes are compared.
 2. Seeds are the k-word shingles that winnowing keeps: of every ``window`` neighbours the smallest hash, so two texts
    that share ``k + window - 1`` words in a row share a seed. All occurrences of a seed are linked with each other, up to
-   ``common`` of them. A seed that occurs more often is a common one. Two common seeds of a text that a chain can
-   begin with (no further apart than their gain pays for) are a seed of their own, rarer than each, whose occurrences are linked with each other in the same way; and
+   ``common`` of them. A seed that occurs more often is a common one. Two common seeds of a text within ``min_words``
+   words are a seed of their own, rarer than each, whose occurrences are linked with each other in the same way; and
    texts with one other link are linked by the common seeds around it that both have. Besides, occurrences of what is
    common are linked to the first, in each task and then overall; of a common seed no more than ``common`` + 1 rows of
    each task travel.
@@ -429,11 +429,11 @@ def _all_links(seeds: DataFrame, common: int) -> DataFrame:
     return far.unionByName(seeds.filter("b IS NOT NULL"))
 
 
-def _common_links(links: DataFrame, common: int, reach: int, step: int) -> DataFrame:
-    """Links of texts by common seeds: those that have two of them within ``step`` words, and those that have one of them
+def _common_links(links: DataFrame, common: int, reach: int) -> DataFrame:
+    """Links of texts by common seeds: those that have two of them within ``reach`` words, and those that have one of them
     within ``reach`` words of their only other link."""
     often = materialize(links.filter("seed IS NOT NULL AND pa >= 0").select("seed", "a", "pa").distinct(), "common-seeds")
-    twos = often.repartition("a").sortWithinPartitions("a", "pa").mapInArrow(_twos(step), "seed long, a long, pa long")
+    twos = often.repartition("a").sortWithinPartitions("a", "pa").mapInArrow(_twos(reach), "seed long, a long, pa long")
     met = twos.repartition("seed").sortWithinPartitions("seed", "a", "pa").mapInArrow(_meet(common, pa.int64()), "seed long, a long, pa long, b long, pb long")
     place = lambda c, far: (F.shiftright(c, 16) + (F.col(c).bitwiseAND(0xFFFF) if far else 0)).cast("int").alias(c)
     met = met.filter("a <> b").select("a", "b", F.explode(F.array(*(F.struct(place("pa", x), place("pb", x)) for x in (False, True)))).alias("x"))
@@ -452,7 +452,7 @@ def repeated_passages(
     Words are runs of non-blank characters, A-Z in lower case. Documents with the same words appear once for each but
     the first (smallest id), with copy true and the whole text as passage; other rows name the first document of a
     class. All pairs of classes are reported whose passage has a seed with up to ``common`` occurrences, or two common seeds
-    within ``words / gap`` words that occur together up to ``common`` times. Of a passage with none of these, each document
+    within ``min_words`` words that occur together up to ``common`` times. Of a passage with none of these, each document
     is reported against one that has it too, not for all pairs.
 
     A passage has ``identity`` in equal words, exactly counted over its whole span. Chains are of ``least`` seeds of
@@ -480,7 +480,7 @@ def repeated_passages(
     seeds = materialize(rows.select("text").mapInArrow(_seeds(words, window, min_words, common), _SEEDS), "seeds")
     links = materialize(_all_links(seeds, common), "links")
     discard(seeds)
-    near = links.filter("a <> b").select(*_LINK).unionByName(_common_links(links, common, min_words, min(min_words, int(words / gap) if gap else min_words)))
+    near = links.filter("a <> b").select(*_LINK).unionByName(_common_links(links, common, min_words))
     chains = near.repartition("a").sortWithinPartitions("a", "b", "pa", "pb").mapInArrow(_chains(words, gap, least, long_seed(words, min_words)), _CHAINS)
     chains = materialize(chains.withColumn("late", F.lit(False)), "chains")
     long = links.filter("a <> b AND pa < 0").select(F.explode(F.array(F.struct("a", "pa"), F.struct(F.col("b").alias("a"), F.col("pb").alias("pa")))).alias("x"))
