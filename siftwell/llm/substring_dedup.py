@@ -22,18 +22,22 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import discard, materialize
+from siftwell.llm import common as tables
+from siftwell.llm.common import discard
 from siftwell.llm.shingles import Shingler, mix64
 
 _LINK = ["a", "pa", "b", "pb"]
 _U = np.uint64
+_KNOWN, _COMMON = 1, 2
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -68,11 +72,16 @@ def _own(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], common: int) ->
     if not parts:
         return
     seed, cls, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-    by = np.lexsort((pos, cls, seed))
-    seed, cls, pos = seed[by], cls[by], pos[by]
-    first = _firsts(seed)
-    go = np.arange(len(seed)) - first <= common
-    for batch in (_rows(seed[go], cls[go], pos[go], None, None, place=pa.int32()), _rows(seed[~go], cls[~go], pos[~go], cls[first[~go]], pos[first[~go]], place=pa.int32())):
+    by = np.argsort(seed)
+    size = np.bincount(_firsts(seed[by]), minlength=len(seed))
+    many = by[np.repeat(size > common + 1, size)]
+    many = many[np.lexsort((pos[many], cls[many], seed[many]))]
+    first = _firsts(seed[many])
+    stay = np.arange(len(many)) - first > common
+    to, stay = many[first[stay]], many[stay]
+    go = np.ones(len(seed), bool)  # in the order of the texts, of which runs of rows have the class
+    go[stay] = False
+    for batch in (_rows(seed[go], cls[go], pos[go], None, None, place=pa.int32()), _rows(seed[stay], cls[stay], pos[stay], cls[to], pos[to], place=pa.int32())):
         yield from pa.Table.from_batches([batch]).to_batches(max_chunksize=1 << 17)
 
 
@@ -117,8 +126,13 @@ def _seeds(words: int, window: int, min_words: int, common: int, flush: int = 1
     return run
 
 
+def _class_and_size(text: bytes) -> tuple[str, int]:
+    words = text.lower().split()
+    return hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest(), len(words)
+
+
 def _class(text: bytes) -> str:
-    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).hexdigest()
+    return _class_and_size(text)[0]
 
 
 def _number(cls: str) -> int:
@@ -128,24 +142,28 @@ def _number(cls: str) -> int:
 
 def _meet(common: int, place: pa.DataType):
     """Rows sorted by seed, class and place -> links of all rows of a seed that has up to ``common``. Of other seeds each row
-    is given with the seed and a link to its first row; the first one with a link to itself. A seed's rows may be in many batches."""
+    is given with the seed and a link to its first row; the first one with a link to itself. A seed's rows may be in many batches.
+    Rows that have a link already go through. Marks: a seed with a row of ``_COMMON`` is a common one, of which rows of
+    ``_KNOWN`` need no link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None  # the rows of a seed that may go on
         hub = None  # a common seed of which rows have been given, class and place of its first row
 
-        def give(seed: np.ndarray, cls: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def give(seed: np.ndarray, cls: np.ndarray, pos: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal hub
             first = _firsts(seed)
             size = np.bincount(first, minlength=len(seed))[first]
-            b, pb, many = cls[first], pos[first], size > common
+            marked = np.bincount(first, (mark & _COMMON) > 0, minlength=len(seed))[first] > 0
+            b, pb, many = cls[first], pos[first], (size > common) | marked
             if hub and hub[0] == seed[0]:
                 same = seed == seed[0]
                 b, pb, many = np.where(same, hub[1], b), np.where(same, hub[2], pb), many | same
             if many.any():
                 last = np.flatnonzero(many)[-1]
                 hub = (seed[last], b[last], pb[last])
-                yield _rows(seed[many], cls[many], pos[many], b[many], pb[many], place=place)
+                told = many & ((mark & _KNOWN) == 0)
+                yield _rows(seed[told], cls[told], pos[told], b[told], pb[told], place=place)
             few = np.flatnonzero(~many & (size > 1))
             first = first[few]
             for step in range(1, common):
@@ -158,12 +176,16 @@ def _meet(common: int, place: pa.DataType):
                 yield _rows(None, cls[i], pos[i], cls[j], pos[j], place=place)
 
         for batch in batches:
-            cols = tuple(batch.column(i).to_numpy() for i in range(3))
+            if batch.num_columns > 3 and batch.column(3).null_count < len(batch):
+                yield batch.filter(pc.is_valid(batch.column(3))).select([0, 1, 2, 3, 4])
+                batch = batch.filter(pc.is_null(batch.column(3)))
+            mark = batch.column(5).to_numpy() if batch.num_columns > 5 else np.zeros(len(batch), np.int8)
+            cols = (*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), mark)
             if held:
                 cols = tuple(np.concatenate(x) for x in zip(held, cols, strict=True))
             if not len(cols[0]):
                 continue
-            new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols], axis=0)))  # tasks may have the same texts
+            new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)))  # tasks may have the same texts
             cols = tuple(c[new] for c in cols)
             end = int(np.searchsorted(cols[0], cols[0][-1]))
             end = len(cols[0]) if len(cols[0]) - end > common else end
@@ -176,6 +198,30 @@ def _meet(common: int, place: pa.DataType):
     return run
 
 
+def _near(cls: np.ndarray, pos: np.ndarray, reach: int, old: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of each two rows of a class within ``reach`` words, of rows sorted by class and place; not those of two ``old`` ones."""
+    for step in range(1, len(cls)):
+        near = (cls[step:] == cls[:-step]) & (pos[step:] - pos[:-step] <= reach)
+        if not near.any():
+            break
+        i = np.flatnonzero(near)
+        i = i[i + step >= old]
+        yield i, i + step
+
+
+def _last(seed: np.ndarray, cls: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Index of the row before with the seed and class of each row, or its own."""
+    by = np.lexsort((pos, cls, seed))
+    same = (seed[by][1:] == seed[by][:-1]) & (cls[by][1:] == cls[by][:-1])
+    out = np.arange(len(seed))
+    out[by[1:][same]] = by[:-1][same]
+    return out
+
+
+def _two(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return mix64(one.view(_U) * _U(0x2545F4914F6CDD1D) + other.view(_U)).view(np.int64)
+
+
 def _twos(reach: int):
     """Common seeds sorted by class and place -> each two of a class within ``reach`` words, as a seed with the place p << 16 | d
     for places p and p + d."""
@@ -190,20 +236,63 @@ def _twos(reach: int):
                 old = len(held[0])
                 cols = tuple(np.concatenate(x) for x in zip(held, cols, strict=True))
             seed, cls, pos = cols
-            for step in range(1, len(seed)):
-                near = (cls[step:] == cls[:-step]) & (pos[step:] - pos[:-step] <= reach)
-                if not near.any():
-                    break
-                i = np.flatnonzero(near & (np.arange(step, len(seed)) >= old))
-                two = mix64(seed[i].view(_U) * _U(0x2545F4914F6CDD1D) + seed[i + step].view(_U)).view(np.int64)
-                at = pos[i].astype(np.int64) << 16 | (pos[i + step] - pos[i])
-                yield pa.RecordBatch.from_arrays([pa.array(two), pa.array(cls[i]), pa.array(at)], names=["seed", "a", "pa"])
+            for i, j in _near(cls, pos, reach, old):
+                at = pos[i].astype(np.int64) << 16 | (pos[j] - pos[i])
+                yield pa.RecordBatch.from_arrays([pa.array(_two(seed[i], seed[j])), pa.array(cls[i]), pa.array(at)], names=["seed", "a", "pa"])
             tail = (cls == cls[-1]) & (pos >= pos[-1] - reach)
             held = tuple(c[tail] for c in cols)
 
     return run
 
 
+def _twos_own(reach: int, common: int, flush: int = 1 << 21):
+    """Common seeds with links to their first rows, sorted by class and place -> twos as ``_twos`` has them, with marks. Where
+    both seeds have first rows that make the same two, the links of the seeds are those of the two (``_KNOWN``). Of twos
+    that a part of the rows has more than ``common`` times only the first goes on, as ``_COMMON``; the others are
+    linked to it here, or known. Where words recur within ``reach`` words, as in "on and on and on", each two is taken once
+    of every ``reach`` words of a text."""
+
+    def own(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        two, cls, at, known = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.argsort(two, kind="stable")
+        two = two[by]
+        first = _firsts(two)
+        many = np.bincount(first, minlength=len(two))[first] > common
+        head = first == np.arange(len(two))
+        go, here = ~many | head, np.flatnonzero(many & ~head & ~known[by])
+        mark = np.where(known[by], _KNOWN, 0) | np.where(many, _COMMON, 0)
+        none = np.zeros(len(here), np.int8)
+        for batch, mark in (_rows(two[go], cls[by[go]], at[by[go]], None, None, place=pa.int64()), mark[go]), (_rows(None, cls[by[here]], at[by[here]], cls[by[first[here]]], at[by[first[here]]], place=pa.int64()), none):
+            yield from pa.Table.from_batches([batch]).append_column("mark", pa.array(mark, pa.int8())).to_batches(max_chunksize=1 << 17)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, held = [], 0, None
+        for batch in batches:
+            for lo in range(0, len(batch), 1 << 14):
+                cols = tuple(batch.column(i).to_numpy()[lo : lo + (1 << 14)] for i in range(5))
+                old = len(held[0]) if held else 0
+                if held:
+                    cols = tuple(np.concatenate(x) for x in zip(held, cols, strict=True))
+                seed, cls, pos, hub, place = cols
+                last = _last(seed, cls, pos)
+                for i, j in _near(cls, pos, reach, old):
+                    pi, back = pos[i], pos[i] - pos[last[i]]
+                    new = (back == 0) | (back != pos[j] - pos[last[j]]) | (pi // reach != (pi - back) // reach)
+                    i, j = i[new], j[new]
+                    known = (hub[i] == hub[j]) & (place[j] - place[i] <= reach) & (place[j] > place[i])
+                    parts.append((_two(seed[i], seed[j]), cls[i], pos[i].astype(np.int64) << 16 | (pos[j] - pos[i]), known))
+                    size += len(i)
+                tail = (cls == cls[-1]) & (pos >= pos[-1] - reach)
+                held = tuple(c[tail] for c in cols)
+                if size > flush:
+                    yield from own(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from own(parts)
+
+    return run
+
+
 def _around(words: int, min_words: int, flush: int = 1 << 19):
     """Rows of number, text and the places of shared long seeds -> all runs of ``min_words`` words that hold one, linked
     as seeds are."""
@@ -253,9 +342,16 @@ def chain(matches: list[tuple[int, int]], gain: float, gap: float) -> list[list[
     A match adds ``gain``, but no more than the words by which it goes on; every word skipped on either side costs ``gap``.
     """
     matches = sorted(set(matches))
+    best, back = [0.0] * len(matches), [-1] * len(matches)
+    if all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(matches)):  # what is just before is the best to follow
+        last, score = (0, 0), 0.0
+        for i, x in enumerate(matches):
+            score -= gap * (x[0] - last[0] + x[1] - last[1])
+            score, back[i] = (gain + score, i - 1) if score > 0 else (gain, -1)
+            best[i], last = score, x
+        return _taken(matches, best, back)
     rank = {p: r for r, p in enumerate(sorted({m[1] for m in matches}), 1)}
     tree: list[tuple[float, int]] = [(-1e18, -1)] * (len(rank) + 1)
-    best, back = [0.0] * len(matches), [-1] * len(matches)
     waiting: list[int] = []
     for i, (p, q) in enumerate(matches):
         if waiting and matches[waiting[0]][0] < p:  # matches at the same place don't follow each other
@@ -272,6 +368,11 @@ def chain(matches: list[tuple[int, int]], gain: float, gap: float) -> list[list[
         follow = top[0] - gap * (p + q)
         best[i], back[i] = (gain + follow, top[1]) if follow > 0 else (gain, -1)
         waiting.append(i)
+    return _taken(matches, best, back)
+
+
+def _taken(matches: list[tuple[int, int]], best: list[float], back: list[int]) -> list[list[tuple[int, int]]]:
+    """The chains of matches by their scores and the matches that they follow; each match is in the best of its chains."""
     used, out = [False] * len(matches), []
     for i in sorted(range(len(matches)), key=lambda i: -best[i]):
         found = []
@@ -297,9 +398,20 @@ def _chains(words: int, gap: float, least: int, size: int):
                     if len(c) >= least:
                         yield (*key, [x[0] for x in c], [x[1] for x in c])
 
+        def few(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """Without repeated links, and pairs that have too few (those at the ends may go on in other batches)."""
+            a, p, b, q = (batch.column(i).to_numpy() for i in range(4))
+            if not len(a):
+                return batch
+            pair = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            new = pair | np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+            of = np.cumsum(pair) - 1
+            weight = np.bincount(of, np.where(p < 0, least, new))[of]
+            return batch.filter(pa.array(new & ((weight >= least) | (of == 0) | (of == of[-1]))))
+
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         for batch in batches:
-            out = []
+            out, batch = [], few(batch)
             for a, p, b, q in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if (a, b) != key:
                     out += give()
@@ -346,6 +458,9 @@ def _extend(a: list[bytes], b: list[bytes], again: int = 3, reach: int = 6, drop
         i, j, same, score = i + n, j + n, same + n, score + n
         if n and score >= top:
             stop, top = (i, j, same), score
+        runs = {tuple(a[i + x : i + x + again]) for x in range(min(reach, len(a) - i - again) + 1)}
+        if not any(tuple(b[j + y : j + y + again]) in runs for y in range(min(reach, len(b) - j - again) + 1)):
+            break
         for e in range(1, reach + 1):
             moves = [(e, e), *((e, d) for d in range(e - 1, -1, -1)), *((d, e) for d in range(e - 1, -1, -1))]
             hit = next(((x, y) for x, y in moves if len(a) - i - x >= again and a[i + x : i + x + again] == b[j + y : j + y + again]), None)
@@ -420,24 +535,72 @@ def alignments(a: list[bytes], b: list[bytes], at: list[int], other: list[int],
     return out
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """As in ``common``; the shuffles of the table are deleted when it is stored, as no other has them."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return tables.materialize(df, label)
+    finally:
+        conf.unset(name) if was is None else conf.set(name, was)
+
+
 _SEEDS, _CHAINS = "seed long, a long, pa int, b long, pb int", "a long, b long, at array<int>, other array<int>"
 
 
 def _all_links(seeds: DataFrame, common: int) -> DataFrame:
     """Links of seeds; those of common seeds have the seed, and all occurrences of these are here, some linked to themselves."""
-    far = seeds.filter("b IS NULL").select("seed", "a", "pa").repartition("seed").sortWithinPartitions("seed", "a", "pa").mapInArrow(_meet(common, pa.int32()), _SEEDS)
-    return far.unionByName(seeds.filter("b IS NOT NULL"))
+    return _dealt(seeds).mapInArrow(lambda rows: _meet(common, pa.int32())(_in_order(rows)), _SEEDS)
+
+
+def _dealt(seeds: DataFrame) -> DataFrame:
+    """Rows of a seed come together, those with a link anywhere."""
+    return seeds.repartition(F.when(F.col("b").isNull(), F.col("seed")).otherwise(F.col("a"))).sortWithinPartitions("seed")
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by seed -> by seed, class and place, those with a link apart. (Spark sorts one number much faster than
+    three; no task has given more than some rows of a seed for each part of its rows, so a seed's rows fit in memory.)"""
+    held: list[pa.RecordBatch] = []
+
+    def order(rows: pa.RecordBatch) -> pa.RecordBatch:
+        seed, cls, pos = (rows.column(i).to_numpy() for i in range(3))
+        size = np.bincount(_firsts(seed), minlength=len(seed))
+        some = np.flatnonzero(np.repeat(size > 1, size))
+        at = np.arange(len(seed))
+        at[some] = some[np.lexsort((pos[some], cls[some], seed[some]))]
+        return rows.take(pa.array(at))
+
+    for batch in batches:
+        given = pc.is_valid(batch.column(3))
+        if batch.column(3).null_count < len(batch):
+            yield batch.filter(given)
+            batch = batch.filter(pc.invert(given))
+        if not len(batch):
+            continue
+        seed = batch.column(0).to_numpy()
+        end = int(np.searchsorted(seed, seed[-1]))
+        if end or (held and held[0].column(0)[0].as_py() != seed[0]):
+            yield order(pa.concat_batches([*held, batch.slice(0, end)]))
+            held = []
+        held.append(batch.slice(end))
+    if held:
+        yield order(pa.concat_batches(held))
 
 
 def _common_links(links: DataFrame, common: int, reach: int) -> DataFrame:
     """Links of texts by common seeds: those that have two of them within ``reach`` words, and those that have one of them
     within ``reach`` words of their only other link."""
-    often = materialize(links.filter("seed IS NOT NULL AND pa >= 0").select("seed", "a", "pa").distinct(), "common-seeds")
-    twos = often.repartition("a").sortWithinPartitions("a", "pa").mapInArrow(_twos(reach), "seed long, a long, pa long")
-    met = twos.repartition("seed").sortWithinPartitions("seed", "a", "pa").mapInArrow(_meet(common, pa.int64()), "seed long, a long, pa long, b long, pb long")
+    often = links.filter("seed IS NOT NULL AND pa >= 0").groupBy("seed", "a", "pa").agg(F.min(F.struct("b", "pb")).alias("x"))
+    often = materialize(often.select("seed", "a", "pa", "x.b", "x.pb"), "common-seeds")
+    kinds = "seed long, a long, pa long, b long, pb long"
+    twos = often.repartition("a").sortWithinPartitions("a", "pa").mapInArrow(_twos_own(reach, common), f"{kinds}, mark byte")
+    met = _dealt(twos).mapInArrow(lambda rows: _meet(common, pa.int64())(_in_order(rows)), kinds)
     place = lambda c, far: (F.shiftright(c, 16) + (F.col(c).bitwiseAND(0xFFFF) if far else 0)).cast("int").alias(c)
     met = met.filter("a <> b").select("a", "b", F.explode(F.array(*(F.struct(place("pa", x), place("pb", x)) for x in (False, True)))).alias("x"))
     one = links.filter("seed IS NULL AND pa >= 0").repartition("a").groupBy("a", "b").agg(F.count("*").alias("n"), F.first("pa").alias("p"), F.first("pb").alias("q")).filter("n = 1")
+    often = often.select("seed", "a", "pa")
     one = one.join(often, "a").filter(F.abs(F.col("pa") - F.col("p")) <= reach)
     one = one.join(often.select("seed", F.col("a").alias("b"), F.col("pa").alias("pb")), ["b", "seed"]).filter(F.abs(F.col("pb") - F.col("q")) <= reach)
     return met.select("a", "x.pa", "b", "x.pb").unionByName(one.select(*_LINK))
@@ -469,17 +632,16 @@ def repeated_passages(
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            classes = [_class(t) for t in texts]
-            cols = [pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(classes, pa.string()), pa.array([_number(c) for c in classes], pa.int64()), pa.array([len(t.split()) for t in texts], pa.int32())]
+            classes, sizes = zip(*map(_class_and_size, texts), strict=True) if texts else ((), ())
+            cols = [pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(classes, pa.string()), pa.array([_number(c) for c in classes], pa.int64()), pa.array(sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "sha", "class", "number", "n"])
 
     members = materialize(rows.mapInArrow(describe, f"id {kind}, sha string, class string, number long, n int"), "passage-members")
     heads = members.filter(F.col("n") >= min_words).groupBy("class").agg(F.min(F.struct("id", "sha")).alias("head"), F.first("number").alias("number"), F.first("n").alias("n"))
     heads = materialize(heads, "passage-heads")
 
-    seeds = materialize(rows.select("text").mapInArrow(_seeds(words, window, min_words, common), _SEEDS), "seeds")
+    seeds = rows.select("text").mapInArrow(_seeds(words, window, min_words, common), _SEEDS)
     links = materialize(_all_links(seeds, common), "links")
-    discard(seeds)
     near = links.filter("a <> b").select(*_LINK).unionByName(_common_links(links, common, min_words))
     chains = near.repartition("a").sortWithinPartitions("a", "b", "pa", "pb").mapInArrow(_chains(words, gap, least, long_seed(words, min_words)), _CHAINS)
     chains = materialize(chains.withColumn("late", F.lit(False)), "chains")
@@ -492,10 +654,9 @@ def repeated_passages(
     texts = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(wanted, ["id", "sha"]).dropDuplicates(["number"])
     texts = materialize(texts.select("number", "id", "text"), "passage-texts")
 
-    runs = materialize(texts.join(spots, "number").select("number", "text", "spots").mapInArrow(_around(words, min_words), _SEEDS), "runs")
+    runs = texts.join(spots, "number").select("number", "text", "spots").mapInArrow(_around(words, min_words), _SEEDS)
     stretches = _all_links(runs, 1).filter("a <> b").select(*_LINK).repartition("a").sortWithinPartitions("a", "b", F.col("pb") - F.col("pa"), "pa").mapInArrow(_stretches(words, min_words), _CHAINS)
     stretches = materialize(stretches.withColumn("late", F.lit(True)), "stretches")
-    discard(runs)
     chains = chains.unionByName(stretches).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("late", "at", "other"))).alias("chains"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

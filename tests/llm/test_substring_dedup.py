@@ -246,3 +246,39 @@ def test_links_of_a_seed_over_batches():
         assert sorted({r for r in found if r[0] is not None}) == stars
         twos = [(r["a"], r["pa"] >> 16, r["pa"] & 0xFFFF) for b in _twos(7)(iter(cut(by_class))) for r in b.to_pylist()]
         assert sorted(twos) == near
+
+
+def test_recurring_words_make_few_twos(spark):
+    """Words on and on: links by twos grow with the words, not with words times ``min_words``; the passages are found."""
+    from siftwell.llm.substring_dedup import _SEEDS, _all_links, _common_links, _seeds
+
+    rng = random.Random(25)
+    texts = {d: words(rng, 20) + ["on"] * 600 + words(rng, 20) for d in range(12)}
+    rows = spark.createDataFrame([(" ".join(w),) for w in texts.values()], "text string")
+    links = _all_links(rows.mapInArrow(_seeds(5, 6, 50, 8), _SEEDS), 8)
+    assert _common_links(links, 8, 50).count() < 4 * links.count()
+    assert {d for pair in pairs_of(spark, texts) for d in pair} == set(texts)
+
+
+def test_twos_of_a_part_of_the_rows():
+    """However rows are cut into batches and parts: every two goes on or has a link to the same two, unless it is known; no
+    mark without more than ``common`` of them."""
+    import pyarrow as pa
+
+    from siftwell.llm.substring_dedup import _COMMON, _twos, _twos_own
+
+    rng = random.Random(26)
+    rows = [(s, c, 3 * i + rng.randrange(3), 0, i) for c in range(1, 13) for i, s in enumerate(rng.sample(range(40), rng.choice([5, 20, 40])))]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+    for size, flush in (1, 5), (7, 100), (50, 10**6):
+        def cut(n):
+            return iter([pa.record_batch([pa.array(c, t) for c, t in zip(zip(*(r[:n] for r in rows[i : i + size]), strict=True), kinds[:n], strict=True)], names=["seed", "a", "pa", "b", "pb"][:n]) for i in range(0, len(rows), size)])
+
+        twos = sorted((r["seed"], r["a"], r["pa"]) for b in _twos(20)(cut(3)) for r in b.to_pylist())
+        found = [r for b in _twos_own(20, 3, flush)(cut(5)) for r in b.to_pylist()]
+        on = [(r["seed"], r["a"], r["pa"]) for r in found if r["b"] is None]
+        assert set(on) <= set(twos) and len(set(on)) == len(on)
+        count = {s: sum(t[0] == s for t in twos) for s, *_ in twos}
+        assert all(count[r["seed"]] > 3 for r in found if r["mark"] & _COMMON)
+        assert {s for s, *_ in on} == set(count)
+        assert all(t in set(on) for t in twos if count[t[0]] <= 3)
