@@ -135,6 +135,34 @@ def _class(text: bytes) -> str:
     return _class_and_size(text)[0]
 
 
+def pack(words: bytes) -> bytes:
+    """Words as they are stored and shuffled, in less than half the bytes; ``unpack`` gives them back."""
+    return len(words).to_bytes(4, "little") + pa.compress(words, "zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> bytes:
+    return pa.decompress(packed[4:], int.from_bytes(packed[:4], "little"), "zstd", asbytes=True)
+
+
+def _packed(min_words: int):
+    """Texts -> number, class and packed words of those with ``min_words``; repeated ones once for each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, bytes] = {}
+            for text in batch.column(0).cast(pa.binary()):
+                words = (text.as_py() or b"").lower().split()
+                if len(words) >= min_words:
+                    joined = b" ".join(words)
+                    cls = hashlib.blake2b(joined, digest_size=16).hexdigest()
+                    if cls not in out:
+                        out[cls] = pack(joined)
+            cols = [pa.array([_number(c) for c in out], pa.int64()), pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["number", "class", "text"])
+
+    return run
+
+
 def _number(cls: str) -> int:
     """The class as a number, for the rows of seeds."""
     return int(cls[:16], 16) - (1 << 63)
@@ -294,7 +322,7 @@ def _twos_own(reach: int, common: int, flush: int = 1 << 21):
 
 
 def _around(words: int, min_words: int, flush: int = 1 << 19):
-    """Rows of number, text and the places of shared long seeds -> all runs of ``min_words`` words that hold one, linked
+    """Rows of number, packed text and the places of shared long seeds -> all runs of ``min_words`` words that hold one, linked
     as seeds are."""
     reach = min_words - long_seed(words, min_words)
 
@@ -302,7 +330,7 @@ def _around(words: int, min_words: int, flush: int = 1 << 19):
         shingler, parts, held = Shingler(words), [], 0
         for batch in batches:
             numbers, spots = batch.column(0).to_numpy(), batch.column(2)
-            for i, seq in shingler.sequences([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
+            for i, seq in shingler.sequences([unpack(t) for t in batch.column(1).to_pylist()]):
                 runs = _runs(seq, words, min_words)
                 edge = np.zeros(len(runs) + 1, np.int64)
                 places = spots[i].values.to_numpy()
@@ -458,6 +486,8 @@ def _extend(a: list[bytes], b: list[bytes], again: int = 3, reach: int = 6, drop
         i, j, same, score = i + n, j + n, same + n, score + n
         if n and score >= top:
             stop, top = (i, j, same), score
+        if set(a[i : i + reach + again]).isdisjoint(b[j : j + reach + again]):
+            break
         runs = {tuple(a[i + x : i + x + again]) for x in range(min(reach, len(a) - i - again) + 1)}
         if not any(tuple(b[j + y : j + y + again]) in runs for y in range(min(reach, len(b) - j - again) + 1)):
             break
@@ -535,6 +565,39 @@ def alignments(a: list[bytes], b: list[bytes], at: list[int], other: list[int],
     return out
 
 
+def _cuts(lists: pa.ListArray) -> list[int]:
+    """Ends of the rows of a column of lists in what ``flatten`` gives."""
+    ends = lists.offsets.to_numpy()
+    return (ends - ends[0]).tolist()
+
+
+def _aligned(words: int, min_words: int, identity: float, **how: int):
+    """Rows of two ids, their packed texts and chains, sorted by the second text -> passages of ``min_words`` words and ``identity``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, right = None, []
+        for batch in batches:
+            keep, out = [], []
+            _, *places = batch.column(4).flatten().flatten()
+            cuts, (places, others) = _cuts(places[0]), (x.flatten().to_numpy() for x in places)
+            for i, (b, ta, tb, (start, stop)) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), itertools.pairwise(_cuts(batch.column(4))), strict=True)):
+                if b != last:
+                    last, right = b, unpack(tb.as_py()).split()
+                left, seen = unpack(ta.as_py()).split(), []
+                for lo, hi in itertools.pairwise(cuts[start : stop + 1]):
+                    for found in alignments(left, right, places[lo:hi].tolist(), others[lo:hi].tolist(), words, identity, seen, **how):
+                        if min(found[1] - found[0], found[3] - found[2]) >= min_words and found[4] >= identity:
+                            keep.append(i)
+                            seen.append(found)
+                            out.append((*found[:4], found[1] - found[0], found[4]))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int32(),) * 5 + (pa.float64(),)
+            taken = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", "other_id", "start_word", "end_word", "other_start", "other_end", "n_words", "identity"])
+
+    return run
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """As in ``common``; the shuffles of the table are deleted when it is stored, as no other has them."""
     conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -559,43 +622,67 @@ def _dealt(seeds: DataFrame) -> DataFrame:
     return seeds.repartition(F.when(F.col("b").isNull(), F.col("seed")).otherwise(F.col("a"))).sortWithinPartitions("seed")
 
 
+def _whole(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by a column -> batches that have all rows of each of its values."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch.column(key).to_numpy()
+        end = int(np.searchsorted(keys, keys[-1]))
+        if end or (held and held[0].column(key)[0].as_py() != keys[0]):
+            yield pa.concat_batches([*held, batch.slice(0, end)])
+            held = []
+        held.append(batch.slice(end))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _by_text(batches: Iterator[pa.RecordBatch], key: int, order) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by the text in a column -> by the text, then by what ``order`` makes of the columns. (Spark sorts one
+    number much faster than several; the links of one text fit in memory.)"""
+    for batch in _whole(batches, key):
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        yield batch.take(pa.array(np.lexsort((*order(*cols)[::-1], cols[key]))))
+
+
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by seed -> by seed, class and place, those with a link apart. (Spark sorts one number much faster than
     three; no task has given more than some rows of a seed for each part of its rows, so a seed's rows fit in memory.)"""
-    held: list[pa.RecordBatch] = []
+    apart: list[pa.RecordBatch] = []
 
-    def order(rows: pa.RecordBatch) -> pa.RecordBatch:
+    def met() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = pc.is_valid(batch.column(3))
+            if batch.column(3).null_count < len(batch):
+                apart.append(batch.filter(given))
+                batch = batch.filter(pc.invert(given))
+            yield batch
+
+    for rows in _whole(met(), 0):
+        yield from apart
+        apart.clear()
         seed, cls, pos = (rows.column(i).to_numpy() for i in range(3))
         size = np.bincount(_firsts(seed), minlength=len(seed))
         some = np.flatnonzero(np.repeat(size > 1, size))
         at = np.arange(len(seed))
         at[some] = some[np.lexsort((pos[some], cls[some], seed[some]))]
-        return rows.take(pa.array(at))
+        yield rows.take(pa.array(at))
+    yield from apart
 
-    for batch in batches:
-        given = pc.is_valid(batch.column(3))
-        if batch.column(3).null_count < len(batch):
-            yield batch.filter(given)
-            batch = batch.filter(pc.invert(given))
-        if not len(batch):
-            continue
-        seed = batch.column(0).to_numpy()
-        end = int(np.searchsorted(seed, seed[-1]))
-        if end or (held and held[0].column(0)[0].as_py() != seed[0]):
-            yield order(pa.concat_batches([*held, batch.slice(0, end)]))
-            held = []
-        held.append(batch.slice(end))
-    if held:
-        yield order(pa.concat_batches(held))
 
-
-def _common_links(links: DataFrame, common: int, reach: int) -> DataFrame:
-    """Links of texts by common seeds: those that have two of them within ``reach`` words, and those that have one of them
-    within ``reach`` words of their only other link."""
+def _common_seeds(links: DataFrame) -> DataFrame:
+    """Occurrences of common seeds, each with the first one."""
     often = links.filter("seed IS NOT NULL AND pa >= 0").groupBy("seed", "a", "pa").agg(F.min(F.struct("b", "pb")).alias("x"))
-    often = materialize(often.select("seed", "a", "pa", "x.b", "x.pb"), "common-seeds")
+    return materialize(often.select("seed", "a", "pa", "x.b", "x.pb"), "common-seeds")
+
+
+def _common_links(links: DataFrame, common: int, reach: int, often: DataFrame | None = None) -> DataFrame:
+    """Links of texts by common seeds (``often``, those of the links): those that have two of them within ``reach`` words, and
+    those that have one of them within ``reach`` words of their only other link."""
+    often = often or _common_seeds(links)
     kinds = "seed long, a long, pa long, b long, pb long"
-    twos = often.repartition("a").sortWithinPartitions("a", "pa").mapInArrow(_twos_own(reach, common), f"{kinds}, mark byte")
+    twos = often.repartition("a").sortWithinPartitions("a").mapInArrow(lambda rows: _twos_own(reach, common)(_by_text(rows, 1, lambda seed, a, pa, b, pb: (pa,))), f"{kinds}, mark byte")
     met = _dealt(twos).mapInArrow(lambda rows: _meet(common, pa.int64())(_in_order(rows)), kinds)
     place = lambda c, far: (F.shiftright(c, 16) + (F.col(c).bitwiseAND(0xFFFF) if far else 0)).cast("int").alias(c)
     met = met.filter("a <> b").select("a", "b", F.explode(F.array(*(F.struct(place("pa", x), place("pb", x)) for x in (False, True)))).alias("x"))
@@ -633,57 +720,41 @@ def repeated_passages(
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             classes, sizes = zip(*map(_class_and_size, texts), strict=True) if texts else ((), ())
-            cols = [pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(classes, pa.string()), pa.array([_number(c) for c in classes], pa.int64()), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "sha", "class", "number", "n"])
+            cols = [pa.array(classes, pa.string()), pa.array([_number(c) for c in classes], pa.int64()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "class", "number", "n"])
 
-    members = materialize(rows.mapInArrow(describe, f"id {kind}, sha string, class string, number long, n int"), "passage-members")
-    heads = members.filter(F.col("n") >= min_words).groupBy("class").agg(F.min(F.struct("id", "sha")).alias("head"), F.first("number").alias("number"), F.first("n").alias("n"))
+    members = materialize(rows.mapInArrow(describe, f"id {kind}, class string, number long, n int"), "passage-members")
+    heads = members.filter(F.col("n") >= min_words).groupBy("class").agg(F.min("id").alias("head"), F.first("number").alias("number"), F.first("n").alias("n"))
     heads = materialize(heads, "passage-heads")
 
     seeds = rows.select("text").mapInArrow(_seeds(words, window, min_words, common), _SEEDS)
     links = materialize(_all_links(seeds, common), "links")
-    near = links.filter("a <> b").select(*_LINK).unionByName(_common_links(links, common, min_words))
-    chains = near.repartition("a").sortWithinPartitions("a", "b", "pa", "pb").mapInArrow(_chains(words, gap, least, long_seed(words, min_words)), _CHAINS)
+    often = _common_seeds(links)
+    near = links.filter("a <> b").select(*_LINK).unionByName(_common_links(links, common, min_words, often))
+    chains = near.repartition("a").sortWithinPartitions("a").mapInArrow(lambda rows: _chains(words, gap, least, long_seed(words, min_words))(_by_text(rows, 0, lambda a, pa, b, pb: (b, pa, pb))), _CHAINS)
     chains = materialize(chains.withColumn("late", F.lit(False)), "chains")
     long = links.filter("a <> b AND pa < 0").select(F.explode(F.array(F.struct("a", "pa"), F.struct(F.col("b").alias("a"), F.col("pb").alias("pa")))).alias("x"))
     spots = materialize(long.groupBy(F.col("x.a").alias("number")).agg(F.collect_set(-1 - F.col("x.pa")).alias("spots")), "spots")
     discard(links)
+    discard(often)
 
     used = chains.select(F.explode(F.array("a", "b")).alias("number")).unionByName(spots.select("number")).distinct()
-    wanted = heads.join(used, "number", "left_semi").select("number", "head.id", "head.sha")
-    texts = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(wanted, ["id", "sha"]).dropDuplicates(["number"])
-    texts = materialize(texts.select("number", "id", "text"), "passage-texts")
+    wanted = heads.join(used, "number", "left_semi").join(spots, "number", "left").select("number", F.col("class").alias("own"), F.col("head").alias("id"), "spots")
+    texts = rows.select("text").mapInArrow(_packed(min_words), "number long, class string, text binary")
+    texts = texts.join(wanted, "number").filter("class = own").dropDuplicates(["number"])
+    texts = materialize(texts.select("number", "id", "text", "spots"), "passage-texts")
 
-    runs = texts.join(spots, "number").select("number", "text", "spots").mapInArrow(_around(words, min_words), _SEEDS)
-    stretches = _all_links(runs, 1).filter("a <> b").select(*_LINK).repartition("a").sortWithinPartitions("a", "b", F.col("pb") - F.col("pa"), "pa").mapInArrow(_stretches(words, min_words), _CHAINS)
+    runs = texts.filter("spots IS NOT NULL").select("number", "text", "spots").mapInArrow(_around(words, min_words), _SEEDS)
+    stretches = _all_links(runs, 1).filter("a <> b").select(*_LINK).repartition("a").sortWithinPartitions("a").mapInArrow(lambda rows: _stretches(words, min_words)(_by_text(rows, 0, lambda a, pa, b, pb: (b, pb - pa, pa))), _CHAINS)
     stretches = materialize(stretches.withColumn("late", F.lit(True)), "stretches")
-    chains = chains.unionByName(stretches).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("late", "at", "other"))).alias("chains"))
-
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, right = None, []
-        for batch in batches:
-            keep, out = [], []
-            for i, (b, ta, tb, chains) in enumerate(zip(batch.column(1).to_pylist(), *(batch.column(c).cast(pa.binary()) for c in (2, 3)), batch.column(4), strict=True)):
-                if b != last:
-                    last, right = b, tb.as_py().lower().split()
-                left, seen = ta.as_py().lower().split(), []
-                for _, at, other in (c.values() for c in chains.as_py()):
-                    for found in alignments(left, right, at, other, words, identity, seen, again=again, reach=reach, drop=drop):
-                        if min(found[1] - found[0], found[3] - found[2]) >= min_words and found[4] >= identity:
-                            keep.append(i)
-                            seen.append(found)
-                            out.append((*found[:4], found[1] - found[0], found[4]))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int32(),) * 5 + (pa.float64(),)
-            taken = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", "other_id", "start_word", "end_word", "other_start", "other_end", "n_words", "identity"])
+    chains = chains.unionByName(stretches).repartition("a").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("late", "at", "other"))).alias("chains"))
 
     left = texts.select(F.col("number").alias("a"), F.col("id").alias("ia"), F.col("text").alias("ta"))
     right = texts.select(F.col("number").alias("b"), F.col("id").alias("ib"), F.col("text").alias("tb"))
     pairs = chains.join(left, "a").join(right, "b").select("ia", "ib", "ta", "tb", "chains")
-    passages = pairs.mapInArrow(aligned, f"id {kind}, other_id {kind}, start_word int, end_word int, other_start int, other_end int, n_words int, identity double")
+    passages = pairs.mapInArrow(_aligned(words, min_words, identity, again=again, reach=reach, drop=drop), f"id {kind}, other_id {kind}, start_word int, end_word int, other_start int, other_end int, n_words int, identity double")
     passages = passages.dropDuplicates(["id", "other_id", "start_word", "end_word", "other_start", "other_end"]).withColumn("copy", F.lit(False))
-    copies = members.select("id", "class").distinct().join(heads.select("class", F.col("head.id").alias("other_id"), "n"), "class").filter("id <> other_id")
+    copies = members.select("id", "class").distinct().join(heads.select("class", F.col("head").alias("other_id"), "n"), "class").filter("id <> other_id")
     zero = F.lit(0)
     copies = copies.select("id", "other_id", zero.alias("start_word"), F.col("n").alias("end_word"), zero.alias("other_start"), F.col("n").alias("other_end"), F.col("n").alias("n_words"), F.lit(1.0).alias("identity"), F.lit(True).alias("copy"))
     return passages.unionByName(copies).withColumnRenamed("id", id_col)

@@ -282,3 +282,32 @@ def test_twos_of_a_part_of_the_rows():
         assert all(count[r["seed"]] > 3 for r in found if r["mark"] & _COMMON)
         assert {s for s, *_ in on} == set(count)
         assert all(t in set(on) for t in twos if count[t[0]] <= 3)
+
+
+def test_texts_on_disk(spark):
+    """Texts are stored packed, and a table of which all is used is deleted."""
+    import pathlib
+
+    from siftwell.llm import common as tables
+
+    rng = random.Random(27)
+    syllables = ["the", "in", "er", "on", "at", "re", "es", "nd", "ti", "ou"]
+    rows = []
+    for g in range(3):
+        base = ["".join(rng.choices(syllables, k=3)) for _ in range(2000)]
+        rows += [(4 * g + i, " ".join(f"e{i}" if rng.random() < 0.01 else w for w in base)) for i in range(4)]
+    size = sum(len(text) for _, text in rows)
+    with tables.scope(spark, "disk-test"):
+        found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        folder = pathlib.Path(tables.table_path(spark, "").removeprefix("file:")).parent
+    assert {tuple(sorted((r.doc_id, r.other_id))) for r in found} == {(4 * g + i, 4 * g + j) for g in range(3) for j in range(4) for i in range(j)}
+    stored = {p.name.rsplit("-", 1)[0]: sum(f.stat().st_size for f in p.rglob("*.parquet")) for p in folder.iterdir()}
+    tables.drop_scope(spark, "disk-test")
+    assert stored["passage-texts"] < 0.4 * size and not {"links", "common-seeds"} & set(stored)
+
+
+def test_packed_words():
+    from siftwell.llm.substring_dedup import pack, unpack
+
+    for text in (b"", b"a", "dérè üß\u00a0x".encode(), b"on " * 10**5):
+        assert unpack(pack(text)) == text
