@@ -50,8 +50,9 @@ class Shingler:
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
         return hashes, np.searchsorted(start, begins)
 
-    def sequences(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-        """(index of the text, hashes of its shingles in order). Fewer words than a shingle has: all of them are one."""
+    def chunks(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(index of the first text, hashes of words, hashes of shingles, indices of the texts' first words and the end). Shingles
+        go on over the ends of texts."""
         lo = 0
         while lo < len(texts):
             hi, size = lo + 1, len(texts[lo])
@@ -65,7 +66,14 @@ class Shingler:
             rows = rows[:n]
             for j in range(1, k):
                 rows = mix64(rows * _U(0x2545F4914F6CDD1D) + hashes[j : j + n])
-            for i in range(lo, hi):
+            yield lo, hashes, rows, first
+            lo = hi
+
+    def sequences(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """(index of the text, hashes of its shingles in order). Fewer words than a shingle has: all of them are one."""
+        k = self.words
+        for lo, hashes, rows, first in self.chunks(texts):
+            for i in range(lo, lo + len(first) - 1):
                 a, b = int(first[i - lo]), int(first[i - lo + 1])
                 if b - a >= k:
                     yield i, rows[a : b - k + 1]
@@ -76,7 +84,6 @@ class Shingler:
                     yield i, mix64(short + _U(b - a))
                 else:
                     yield i, rows[:0]
-            lo = hi
 
 
 def shingle_set(text: bytes, words: int) -> set[bytes]:

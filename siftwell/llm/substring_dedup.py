@@ -45,13 +45,32 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     n = len(hashes)
     if n <= window:
         return np.array([int(hashes.argmin())]) if n else np.zeros(0, np.int64)
+    at = _least(hashes, window)
+    return at[np.concatenate(([True], at[1:] != at[:-1]))].astype(np.int64)  # places never go back
+
+
+def _least(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Position of the first smallest hash of each ``window`` neighbours."""
+    n = len(hashes)
     least, at, size = hashes, np.arange(n, dtype=np.int32), 1  # of the ``size`` neighbours from each, the first smallest
     while size < window:
         step = min(size, window - size)
         at = np.where(least[:-step] <= least[step:], at[:-step], at[step:])
         least = np.minimum(least[:-step], least[step:])
         size += step
-    return at[np.concatenate(([True], at[1:] != at[:-1]))].astype(np.int64)  # places never go back
+    return at
+
+
+def _winnowed(hashes: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``winnow`` keeps of texts with ``n`` hashes from ``start`` on: positions in all hashes, and how many of each text."""
+    if not len(n) or n.min() < window:
+        found = [winnow(hashes[a : a + k], window) + a for a, k in zip(start.tolist(), n.tolist(), strict=True)]
+        return np.concatenate([np.zeros(0, np.int64), *found]), np.array([len(x) for x in found], np.int64)
+    windows = n - window + 1
+    ends = np.cumsum(windows)
+    at = _least(hashes, window)[np.arange(ends[-1]) + np.repeat(start - ends + windows, windows)]
+    new = np.concatenate(([True], at[1:] != at[:-1]))  # windows of two texts have no place in common
+    return at[new].astype(np.int64), np.add.reduceat(new, ends - windows, dtype=np.int64)
 
 
 def _firsts(seed: np.ndarray) -> np.ndarray:
@@ -108,15 +127,19 @@ def _seeds(words: int, window: int, min_words: int, common: int, flush: int = 1
 
         for batch in batches:
             texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            for i, seq in shingler.sequences(texts):
-                cls = _class(texts[i])
-                if len(seq) + words - 1 < max(min_words, words) or cls in seen:
-                    continue
-                seen.add(cls)
-                at, runs = winnow(seq, window), _runs(seq, words, size)
-                far = winnow(runs, max(1, min_words - size + 1))
-                parts.append((np.concatenate((seq[at], runs[far])).view(np.int64), np.full(len(at) + len(far), _number(cls)), np.concatenate((at, -1 - far)).astype(np.int32)))
-                held += len(at) + len(far)
+            for lo, _, rows, first in shingler.chunks(texts):
+                mine, numbers = [], []
+                for i in np.flatnonzero(np.diff(first) >= max(min_words, words)).tolist():
+                    cls = _class(texts[lo + i])
+                    if cls not in seen:
+                        seen.add(cls)
+                        mine.append(i)
+                        numbers.append(_number(cls))
+                start, n, runs = first[mine], np.diff(first)[mine] - words + 1, _runs(rows, words, size)
+                for found, on, sign, less in (rows, n, 1, 0), (runs, n - size + words, -1, -1):
+                    at, many = _winnowed(found, start, on, window if sign > 0 else max(1, min_words - size + 1))
+                    parts.append((found[at].view(np.int64), np.repeat(np.array(numbers, np.int64), many), (sign * (at - np.repeat(start, many)) + less).astype(np.int32)))
+                    held += len(at)
             if held > flush:
                 yield from _own(parts, common)
                 parts, held = [], 0
@@ -414,42 +437,31 @@ def _taken(matches: list[tuple[int, int]], best: list[float], back: list[int]) -
 
 
 def _chains(words: int, gap: float, least: int, size: int):
-    """Rows sorted by a and b -> (a, b, places, other places), one row for each chain of ``least`` seeds or more. A link of
-    ``size`` words, which has places below 0, counts as every second of ``words`` words in it."""
+    """Rows of whole texts a, sorted by a, b, place and other place -> (a, b, places, other places), one row for each chain of
+    ``least`` seeds or more. A link of ``size`` words, which has places below 0, counts as every second of ``words`` words in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, matches = None, []
-
-        def give() -> Iterator[tuple]:
-            if key is not None and len(matches) >= least:
-                for c in chain(matches, words, gap):
-                    if len(c) >= least:
-                        yield (*key, [x[0] for x in c], [x[1] for x in c])
-
-        def few(batch: pa.RecordBatch) -> pa.RecordBatch:
-            """Without repeated links, and pairs that have too few (those at the ends may go on in other batches)."""
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        for batch in batches:
             a, p, b, q = (batch.column(i).to_numpy() for i in range(4))
             if not len(a):
-                return batch
+                continue
             pair = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            new = pair | np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+            new = pair | np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])))  # links may be repeated
             of = np.cumsum(pair) - 1
-            weight = np.bincount(of, np.where(p < 0, least, new))[of]
-            return batch.filter(pa.array(new & ((weight >= least) | (of == 0) | (of == of[-1]))))
-
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        for batch in batches:
-            out, batch = [], few(batch)
-            for a, p, b, q in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (a, b) != key:
-                    out += give()
-                    key, matches = (a, b), []
-                matches += [(p, q)] if p >= 0 else [(j - 1 - p, j - 1 - q) for j in range(0, size - words + 1, 2 * words)]
+            keep = new & (np.bincount(of, np.where(p < 0, least, new))[of] >= least)
+            a, p, b, q, of = (x[keep] for x in (a, p, b, q, of))
+            edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))).tolist() if len(of) else [0]
+            out = []
+            at, other = p.tolist(), q.tolist()
+            for lo, hi in itertools.pairwise(edge):
+                matches = list(zip(at[lo:hi], other[lo:hi], strict=True))
+                if at[lo] < 0:
+                    matches = [m for i, j in matches for m in ([(i, j)] if i >= 0 else [(k - 1 - i, k - 1 - j) for k in range(0, size - words + 1, 2 * words)])]
+                if len(matches) >= least:
+                    out += [(a[lo], b[lo], [x[0] for x in c], [x[1] for x in c]) for c in chain(matches, words, gap) if len(c) >= least]
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "at", "other"])
-        out = list(give())
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "at", "other"])
 
     return run
 

@@ -311,3 +311,19 @@ def test_packed_words():
 
     for text in (b"", b"a", "dérè üß\u00a0x".encode(), b"on " * 10**5):
         assert unpack(pack(text)) == text
+
+
+def test_winnowing_many_texts_at_once():
+    import numpy as np
+
+    from siftwell.llm.substring_dedup import _winnowed, winnow
+
+    rng = random.Random(28)
+    for window in (1, 2, 6, 9):
+        for least in (1, window):
+            n = [rng.randint(least, 40) for _ in range(30)]
+            start = [sum(n[:i]) + 3 * i for i in range(30)]
+            hashes = np.array([rng.randrange(50) for _ in range(sum(n) + 90)], np.uint64)
+            at, many = _winnowed(hashes, np.array(start), np.array(n), window)
+            want = [winnow(hashes[s : s + k], window) + s for s, k in zip(start, n, strict=True)]
+            assert at.tolist() == np.concatenate(want).tolist() and many.tolist() == [len(w) for w in want]
