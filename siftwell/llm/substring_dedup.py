@@ -519,6 +519,9 @@ def align(a: list[bytes], b: list[bytes], at: list[int], other: list[int], words
     """The passage around a chain: start and end in a, start and end in b (in words), share of equal words. Without its
     extensions where only these fall short of ``identity``."""
     i, j, same = at[0] + words, other[0] + words, words
+    on, end, stop = other[0] - at[0], at[-1] + words, other[-1] + words
+    if end - i == stop - j and a[i:end] == b[j:stop] and other == [p + on for p in at]:  # one run of equal words
+        i, j, same, at, other = end, stop, same + end - i, at[:1], other[:1]
     for p, q in zip(at[1:], other[1:], strict=True):
         p, q = p + words, q + words  # ends of the next match
         da, db = p - i, q - j
